@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "counting",
+    "timelines",
 )
 
 

@@ -6,6 +6,7 @@ usage: python tools/compare.py [--sf 0.01] [--time] [name-or-prefix ...]
 from __future__ import annotations
 
 import argparse
+import logging
 import math
 import os
 import sys
@@ -55,6 +56,8 @@ def main() -> int:
     args = parser.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = local_session(args.cpus)
+    spark.sparkContext.setLogLevel("OFF")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL + 1)
     con = database(sf_dir)
     bad = 0
     for name, q in load_all().items():
