@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "counting",
     "timelines",
+    "hospital",
 )
 
 
