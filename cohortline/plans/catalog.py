@@ -8,6 +8,7 @@ MODULES = (
     "counting",
     "timelines",
     "hospital",
+    "icu",
 )
 
 
