@@ -13,7 +13,7 @@ MISSING_RANGE = ("", "nan", "none", "null", "<na>")
 POSITIVE_TEXT = ("yes", "true", "1", "1.0", "y")
 NEGATIVE_TEXT = ("no", "false", "0", "0.0", "n")
 # Spellings of death in a follow-up form.
-DECEASED_TEXT = ("1", "1.0", "true", "yes", "y", "是", "死亡", "dead", "deceased")
+DECEASED_TEXT = ("true", "1", "yes", "y", "死亡", "deceased", "dead")
 
 
 def squeezed(value: Column) -> Column:

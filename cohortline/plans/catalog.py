@@ -9,6 +9,7 @@ MODULES = (
     "timelines",
     "hospital",
     "icu",
+    "followup",
 )
 
 
