@@ -10,6 +10,7 @@ MODULES = (
     "hospital",
     "icu",
     "followup",
+    "metrics",
 )
 
 
