@@ -11,6 +11,7 @@ MODULES = (
     "icu",
     "followup",
     "metrics",
+    "tables",
 )
 
 
