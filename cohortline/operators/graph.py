@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cohortline.operators.ordered import position
-from cohortline.operators.pairs import hashed_number, hashed_unit
+from cohortline.operators.pairs import hashed_number
 
 PROFILE_TOP = 3
 SIDES = ("head", "tail")
@@ -80,6 +80,12 @@ def concept_pools(concepts: DataFrame, width: int = 65_536) -> DataFrame:
     return position(members, ["kind", "name"], ["concept_id"], "idx", F.floor(F.col("concept_id") / width))
 
 
+def _ordered_pools(kind: str) -> Column:
+    """Pools of one kind in profile order; a profile has at most three per kind."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "name", "size"))))
+    return F.transform(entries, lambda x: F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), x["size"].alias("size")))
+
+
 def negative_triples(
     triple_rows: DataFrame, concepts: DataFrame, profile: DataFrame, pools: DataFrame, draws: int = 1, seed: int = 42
 ) -> DataFrame:
@@ -91,13 +97,7 @@ def negative_triples(
     """
     sizes = pools.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("size"))
     listed = profile.join(sizes, ["kind", "name"]).groupBy("relation_id", "side").agg(
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "name", "size")))),
-                lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), x["size"].alias("size")),
-            ).alias(f"{kind}_pools")
-            for kind in ("domain", "vocabulary")
-        ]
+        *[_ordered_pools(kind).alias(f"{kind}_pools") for kind in ("domain", "vocabulary")]
     )
     place = pools.groupBy("concept_id").agg(
         *[F.max(F.when(F.col("kind") == k, F.struct("name", "idx"))).alias(k) for k in ("domain", "vocabulary", "all")]
@@ -158,7 +158,3 @@ def negative_triples(
 def _roll(seed: int, purpose: str) -> Column:
     return hashed_number(F.lit(seed), F.col("head_id"), F.col("relation_id"), F.col("tail_id"), F.col("draw"), F.lit(purpose))
 
-
-__all__ = [
-    "clean_concepts", "relation_ids", "triples", "limited", "relation_profile", "concept_pools", "negative_triples", "hashed_unit",
-]

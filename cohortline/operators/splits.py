@@ -182,36 +182,37 @@ def quota_table(df: DataFrame, keys: Sequence[str], total: int, extra_last: bool
     it, the rest is shared evenly, the odd rows going to the largest classes (`extra_last`) or the smallest.
     The table has one row per class.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("n", *keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_n", *keys)
+    whole = Window.partitionBy(F.lit(1))
     laid = sizes.withColumns({
-        "i": F.row_number().over(order) - 1,
-        "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")),
-        "k": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))),
+        "_i": F.row_number().over(order) - 1,
+        "_before": F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")),
+        "_k": F.count(F.lit(1)).over(whole),
     })
-    share = F.floor((F.lit(total) - F.col("before")) / (F.col("k") - F.col("i")))
-    marked = laid.withColumn("_first", F.min(F.when(F.col("n") > share, F.struct("i", "before"))).over(Window.partitionBy(F.lit(1))))
-    rest = F.greatest(F.lit(total) - F.col("_first.before"), F.lit(0))
-    tail = F.col("k") - F.col("_first.i")
-    place = F.col("i") - F.col("_first.i")
+    share = F.floor((F.lit(total) - F.col("_before")) / (F.col("_k") - F.col("_i")))
+    marked = laid.withColumn("_first", F.min(F.when(F.col("_n") > share, F.struct("_i", "_before"))).over(whole))
+    rest = F.greatest(F.lit(total) - F.col("_first._before"), F.lit(0))
+    tail = F.col("_k") - F.col("_first._i")
+    place = F.col("_i") - F.col("_first._i")
     odd = (place >= tail - rest % tail) if extra_last else (place < rest % tail)
-    quota = F.when(F.col("_first").isNull() | (place < 0), F.col("n")).otherwise(
+    quota = F.when(F.col("_first").isNull() | (place < 0), F.col("_n")).otherwise(
         F.floor(rest / tail) + odd.cast("bigint")
     )
-    return marked.select(*keys, quota.cast("bigint").alias("quota"))
+    return marked.select(*keys, quota.cast("bigint").alias("_quota"))
 
 
 def balanced_cap(df: DataFrame, keys: Sequence[str], row_key: str, total: int, seed: int = 42) -> DataFrame:
     """At most `total` rows, spread evenly over classes, chosen in hash order."""
     ranked = hash_rank(df, keys, row_key, seed, "_rank")
-    return ranked.join(quota_table(df, keys, total), list(keys)).where(F.col("_rank") < F.col("quota")).select(*df.columns)
+    return ranked.join(quota_table(df, keys, total), list(keys)).where(F.col("_rank") < F.col("_quota")).select(*df.columns)
 
 
 def shortest_first_cap(df: DataFrame, keys: Sequence[str], length: str, row_key: str, total: int) -> DataFrame:
     """At most `total` rows, spread evenly over classes, the shortest of each class first."""
     ranked = position(df, keys, [length, row_key], "_rank")
     quota = quota_table(df, keys, total, extra_last=False)
-    return ranked.join(quota, list(keys)).where(F.col("_rank") < F.col("quota")).select(*df.columns)
+    return ranked.join(quota, list(keys)).where(F.col("_rank") < F.col("_quota")).select(*df.columns)
 
 
 def subject_cap(df: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ MODULES = (
     "followup",
     "metrics",
     "tables",
+    "sampling",
 )
 
 

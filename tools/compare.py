@@ -57,7 +57,8 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = local_session(args.cpus)
     spark.sparkContext.setLogLevel("OFF")
-    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL + 1)
+    for quiet in ("DataFrameQueryContextLogger", "SQLQueryContextLogger"):
+        logging.getLogger(quiet).setLevel(logging.CRITICAL + 1)
     con = database(sf_dir)
     bad = 0
     for name, q in load_all().items():
