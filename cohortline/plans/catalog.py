@@ -13,6 +13,7 @@ MODULES = (
     "metrics",
     "tables",
     "sampling",
+    "files",
 )
 
 

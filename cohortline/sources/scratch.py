@@ -1,0 +1,14 @@
+"""Working folders next to the checkpoints, where every executor can reach them."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import SparkSession
+
+from cohortline.session import checkpoint_dir
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}/{name}"
