@@ -103,9 +103,8 @@ COMPATIBLE_UNITS = {
 }
 
 
-def concept_of(label: Column, rules=CONCEPT_RULES) -> Column:
-    """First rule whose include pattern is found and whose exclude pattern is not."""
-    seen = text.rule_text(label)
+def concept_of(seen: Column, rules=CONCEPT_RULES) -> Column:
+    """First rule whose include pattern is found and whose exclude pattern is not, in a label made `rule_text`."""
 
     def fires(include: str, exclude: str | None) -> Column:
         return seen.rlike(include) if exclude is None else seen.rlike(include) & ~seen.rlike(exclude)
@@ -117,7 +116,8 @@ def concept_of(label: Column, rules=CONCEPT_RULES) -> Column:
 def classify_labels(df: DataFrame, label: str) -> DataFrame:
     """Add `concept`. The patterns run once per distinct label, not once per row."""
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    concepts = labels.withColumn("concept", concept_of(F.col(label))).where(F.col("concept").isNotNull())
+    seen = labels.withColumn("_seen", text.rule_text(F.col(label)))
+    concepts = seen.select(label, concept_of(F.col("_seen")).alias("concept")).where(F.col("concept").isNotNull())
     return df.join(concepts, label)
 
 

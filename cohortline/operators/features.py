@@ -148,9 +148,9 @@ def candidate_labels(samples: DataFrame, vocabulary_rows: DataFrame, negatives:
     `samples`: sample_id, target (one row per target); `vocabulary_rows`: idx (dense from 0), target. Each
     pick is a number from a hash, looked up by an equi join; a few spare picks replace hits on own targets.
     """
-    size = vocabulary_rows.groupBy().agg(F.count(F.lit(1)).alias("_size")).withColumn("_all", F.lit(1))
-    keys = samples.groupBy("sample_id").agg(F.count_distinct("target").alias("_own")).withColumn("_all", F.lit(1))
-    asked = keys.join(F.broadcast(size), "_all").withColumn(
+    size = vocabulary_rows.agg(F.count(F.lit(1))).scalar()
+    keys = samples.groupBy("sample_id").agg(F.count_distinct("target").alias("_own"))
+    asked = keys.withColumn("_size", size).withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(negatives * 4) + F.col("_own").cast("int")))
     )
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)

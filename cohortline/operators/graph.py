@@ -80,12 +80,6 @@ def concept_pools(concepts: DataFrame, width: int = 65_536) -> DataFrame:
     return position(members, ["kind", "name"], ["concept_id"], "idx", F.floor(F.col("concept_id") / width))
 
 
-def _ordered_pools(kind: str) -> Column:
-    """Pools of one kind in profile order; a profile has at most three per kind."""
-    entries = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "name", "size"))))
-    return F.transform(entries, lambda x: F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), x["size"].alias("size")))
-
-
 def negative_triples(
     triple_rows: DataFrame, concepts: DataFrame, profile: DataFrame, pools: DataFrame, draws: int = 1, seed: int = 42
 ) -> DataFrame:
@@ -97,59 +91,49 @@ def negative_triples(
     """
     sizes = pools.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("size"))
     listed = profile.join(sizes, ["kind", "name"]).groupBy("relation_id", "side").agg(
-        *[_ordered_pools(kind).alias(f"{kind}_pools") for kind in ("domain", "vocabulary")]
+        *[
+            F.max(F.when((F.col("kind") == kind) & (F.col("place") == i + 1), F.col(c))).alias(f"{kind}{i}_{c}")
+            for kind in ("domain", "vocabulary") for i in range(PROFILE_TOP) for c in ("name", "size")
+        ]
     )
-    place = pools.groupBy("concept_id").agg(
-        *[F.max(F.when(F.col("kind") == k, F.struct("name", "idx"))).alias(k) for k in ("domain", "vocabulary", "all")]
+    places = pools.join(sizes, ["kind", "name"]).groupBy("concept_id").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("domain", "vocabulary", "all") for c in ("name", "idx", "size")]
     )
-    own_sizes = place.join(sizes.where(F.col("kind") == "domain").select(F.col("name").alias("_d"), F.col("size").alias("domain_size")), F.col("domain.name") == F.col("_d"), "left").join(
-        sizes.where(F.col("kind") == "vocabulary").select(F.col("name").alias("_v"), F.col("size").alias("vocabulary_size")), F.col("vocabulary.name") == F.col("_v"), "left"
-    ).drop("_d", "_v")
-    total = sizes.where(F.col("kind") == "all").select(F.col("size").alias("all_size"), F.lit(1).alias("_all"))
-    sides = {s: own_sizes.select(
-        F.col("concept_id").alias(f"{s}_id"), F.struct("domain", "vocabulary", F.col("all").alias("every"), "domain_size", "vocabulary_size").alias(s)
-    ) for s in SIDES}
     drawn = triple_rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
         "corrupted", F.when(_roll(seed, "side") % 2 == 0, "head").otherwise("tail")
     )
-    typed = drawn.join(sides["head"], "head_id").join(sides["tail"], "tail_id").join(
-        listed.withColumnRenamed("side", "corrupted"), ["relation_id", "corrupted"], "left"
-    ).withColumn("_all", F.lit(1)).join(F.broadcast(total), "_all")
-    own = F.when(F.col("corrupted") == "head", F.col("head")).otherwise(F.col("tail"))
-
-    def pool(kind: str, name: Column, size: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), size.alias("size"))
-
-    none = F.array().cast("array<struct<kind:string,name:string,size:bigint>>")
-    ordered = F.concat(
-        F.coalesce("domain_pools", none), F.array(pool("domain", own["domain"]["name"], own["domain_size"])),
-        F.coalesce("vocabulary_pools", none), F.array(pool("vocabulary", own["vocabulary"]["name"], own["vocabulary_size"])),
-        F.array(pool("all", F.lit("*"), F.col("all_size"))),
-    )
-
-    def member_place(side: str, p: Column) -> Column:
-        of = F.col(side)
-        return (
-            F.when((p["kind"] == "domain") & (p["name"] == of["domain"]["name"]), of["domain"]["idx"])
-            .when((p["kind"] == "vocabulary") & (p["name"] == of["vocabulary"]["name"]), of["vocabulary"]["idx"])
-            .when(p["kind"] == "all", of["every"]["idx"])
-        )
-
-    def left_over(p: Column) -> Column:
-        taken = sum((member_place(s, p).isNotNull().cast("bigint") for s in SIDES), F.lit(0).cast("bigint"))
-        return p["size"] - taken
-
-    usable = F.filter(ordered, lambda p: p["name"].isNotNull() & (left_over(p) > 0))
-    chosen = typed.withColumn("_pool", F.try_element_at(usable, F.lit(1))).where(F.col("_pool").isNotNull())
-    forbidden = F.array_sort(F.filter(F.array(*[member_place(s, F.col("_pool")) for s in SIDES]), lambda x: x.isNotNull()))
-    picked = chosen.withColumns({"_left": left_over(F.col("_pool")), "_skip": forbidden}).withColumn(
-        "_pick", _roll(seed, "pick") % F.col("_left")
-    )
-    skipped = F.aggregate("_skip", F.col("_pick"), lambda at, f: F.when(at >= f, at + 1).otherwise(at))
-    placed = picked.select(
-        "head_id", "relation_id", "tail_id", "draw", "corrupted", F.col("_pool.kind").alias("kind"), F.col("_pool.name").alias("name"),
-        skipped.alias("idx"),
-    )
+    typed = drawn
+    for side in SIDES:
+        typed = typed.join(places.select(
+            F.col("concept_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in places.columns if c != "concept_id"]
+        ), f"{side}_id")
+    typed = typed.join(listed.withColumnRenamed("side", "corrupted"), ["relation_id", "corrupted"], "left")
+    at_head = F.col("corrupted") == "head"
+    own = lambda c: F.when(at_head, F.col(f"head_{c}")).otherwise(F.col(f"tail_{c}"))
+    typed = typed.withColumns({f"own_{c}": own(c) for c in ("domain_name", "domain_size", "vocabulary_name", "vocabulary_size")})
+
+    def entry(kind: str, name: Column, size: Column) -> Column:
+        """The pool with the places of head and tail in it, null when it has no other member."""
+        head, tail = [F.when(name == F.col(f"{s}_{kind}_name"), F.col(f"{s}_{kind}_idx")) for s in SIDES]
+        left = size - head.isNotNull().cast("bigint") - tail.isNotNull().cast("bigint")
+        return F.when(left > 0, F.struct(
+            F.lit(kind).alias("kind"), name.alias("name"), left.alias("left"), head.alias("head_idx"), tail.alias("tail_idx")))
+
+    in_order = [
+        *[entry("domain", F.col(f"domain{i}_name"), F.col(f"domain{i}_size")) for i in range(PROFILE_TOP)],
+        entry("domain", F.col("own_domain_name"), F.col("own_domain_size")),
+        *[entry("vocabulary", F.col(f"vocabulary{i}_name"), F.col(f"vocabulary{i}_size")) for i in range(PROFILE_TOP)],
+        entry("vocabulary", F.col("own_vocabulary_name"), F.col("own_vocabulary_size")),
+        entry("all", F.lit("*"), F.col("head_all_size")),
+    ]
+    # inline keeps the choice one expression; as a plain struct it would be evaluated once per field
+    chosen = typed.select("head_id", "relation_id", "tail_id", "draw", "corrupted", F.inline(F.array(F.coalesce(*in_order))))
+    low = F.least("head_idx", "tail_idx")
+    high = F.when(F.col("head_idx").isNotNull() & F.col("tail_idx").isNotNull(), F.greatest("head_idx", "tail_idx"))
+    picked = chosen.withColumn("_pick", _roll(seed, "pick") % F.col("left"))
+    once = picked.withColumn("_once", F.col("_pick") + F.when(F.col("_pick") >= low, 1).otherwise(0))
+    idx = F.col("_once") + F.when(F.col("_once") >= high, 1).otherwise(0)
+    placed = once.select("head_id", "relation_id", "tail_id", "draw", "corrupted", "kind", "name", idx.alias("idx"))
     return placed.join(pools, ["kind", "name", "idx"]).select(
         "head_id", "relation_id", "tail_id", "draw", "corrupted", "kind", F.col("concept_id").alias("negative_id")
     )

@@ -172,7 +172,7 @@ def skip_reasons(durations: DataFrame) -> DataFrame:
 def index_range_rows(labels: DataFrame, rows: DataFrame, ranges: str = "input_idx_ranges") -> DataFrame:
     """Rows of a trial timeline at the label's parsed index ranges."""
     known = text.clean_text(F.col(ranges), text.MISSING_RANGE)
-    picked = labels.withColumn("row_idx", F.explode(values.index_ranges(known)).cast("bigint"))
+    picked = labels.withColumn("row_idx", F.explode(values.index_ranges(known).cast("array<bigint>")))
     return picked.join(rows, ["subject", "row_idx"])
 
 

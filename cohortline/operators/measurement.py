@@ -52,8 +52,17 @@ HIDDEN_ALWAYS = ("admissions", "patients", "discharge", "radiology")
 TEXT_COLUMNS = ("Item", "Value", "Unit", "Category")
 
 
+def known_attributes(attrs: Column) -> Column:
+    """Attribute map without missing values, its values trimmed: cleaned once, then only looked up."""
+    return F.map_filter(
+        F.transform_values(attrs, lambda k, v: F.trim(v)),
+        lambda k, v: v.isNotNull() & ~F.lower(v).isin(*text.MISSING_TEXT),
+    )
+
+
 def _get(attrs: Column, names: Sequence[str]) -> Column:
-    return text.first_non_empty(*[F.try_element_at(attrs, F.lit(n)) for n in names])
+    found = [F.try_element_at(attrs, F.lit(n)) for n in names]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
 def _row(item: Column, value: Column, unit: Column) -> Column:
@@ -61,7 +70,7 @@ def _row(item: Column, value: Column, unit: Column) -> Column:
 
 
 def hospital_rows(file_name: Column, attrs: Column) -> Column:
-    """(item, value, unit) rows of one hospital source row, by the rule of its table."""
+    """(item, value, unit) rows of one hospital source row, by the rule of its table, from its known attributes."""
     none = F.lit("")
     chain = F.when(file_name.isin(*EXCLUDED_TABLES), F.array().cast("array<struct<item:string,value:string,unit:string>>"))
     for table, (item, value, unit) in ATTRIBUTES.items():
@@ -97,7 +106,7 @@ def hospital_rows(file_name: Column, attrs: Column) -> Column:
 def hospital_table(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Measurement rows of hospital source rows. `rows`: file_name, starttime, attrs and the `keep` columns."""
     categories = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    known = rows.where(F.col("file_name").isin(*CATEGORIES))
+    known = rows.where(F.col("file_name").isin(*CATEGORIES)).withColumn("attrs", known_attributes(F.col("attrs")))
     exploded = known.select(
         *keep, "file_name", "starttime", F.posexplode(hospital_rows(F.col("file_name"), F.col("attrs"))).alias("part", "r")
     )

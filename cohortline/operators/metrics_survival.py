@@ -202,15 +202,21 @@ def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Seq
     cases = spread.where((F.col("time") <= F.col("grid_time")) & (F.col("ipcw") > 0)).groupBy(*gkeys, "grid_time", "risk").agg(
         F.sum("ipcw").alias("weight")
     )
-    bounds = cases.withColumn("low_at", F.col("risk") - TIE).withColumn("high_at", F.col("risk") + TIE)
-    count = Running("below", "sum", F.col("_p_n"))
-    strictly = lookup(bounds, controls, gkeys, "low_at", "at", [count], strict=True)
-    both = lookup(strictly, controls, gkeys, "high_at", "at", [Running("below_or_tied", "sum", F.col("_p_n"))])
+    # one scan along the risks: a low bound comes before controls of its value, a high bound after them
+    marks = F.explode(F.array(
+        F.struct(F.lit(0).alias("mark"), (F.col("risk") - TIE).alias("at")),
+        F.struct(F.lit(2).alias("mark"), (F.col("risk") + TIE).alias("at")),
+    ))
+    zero = F.lit(0).cast("bigint")
+    asked = cases.select(*gkeys, "grid_time", "weight", marks.alias("m"), zero.alias("n")).select(*gkeys, "grid_time", "weight", "m.*", "n")
+    points = controls.select(
+        *gkeys, F.lit(None).cast("double").alias("grid_time"), F.lit(0.0).alias("weight"), F.lit(1).alias("mark"), "at", "n"
+    )
+    counted = scan(asked.unionByName(points), gkeys, ["at", "mark"], [Running("below", "sum", F.col("n"))]).where(F.col("mark") != 1)
     totals = controls.groupBy(*gkeys).agg(F.sum("n").alias("n_controls"))
-    below = F.coalesce("below", F.lit(0))
-    tied = F.coalesce("below_or_tied", F.lit(0)) - below
-    per_time = both.join(totals, gkeys).groupBy(*gkeys, "grid_time").agg(
-        (F.sum(F.col("weight") * (below + 0.5 * tied)) / (F.sum("weight") * F.first("n_controls"))).alias("auc")
+    # half the counts below the low bound and half of those up to the high bound: ties count half
+    per_time = counted.join(totals, gkeys).groupBy(*gkeys, "grid_time").agg(
+        (F.sum(F.col("weight") * F.col("below")) / 2 / (F.sum("weight") / 2 * F.first("n_controls"))).alias("auc")
     )
     survival = step_value(per_time, km_curve(rows, keys), keys, "grid_time", "survival")
     # at most one row per grid point and key

@@ -27,13 +27,12 @@ def hash_rank(df: DataFrame, keys: Sequence[str], key: str, seed: int | str, nam
 
 def ratio_split(subjects: DataFrame, key: str, train: int, val: int, seed: int = 42) -> DataFrame:
     """Random split of distinct subjects: floor(n * ratio) for train and validation, the rest is test."""
-    distinct = subjects.select(key).distinct().withColumn("_all", F.lit(1))
-    ranked = hash_rank(distinct, ["_all"], key, seed)
-    size = distinct.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = subjects.select(key).distinct()
+    ranked = hash_rank(distinct.withColumn("_all", F.lit(1)), ["_all"], key, seed)
+    sized = ranked.withColumn("_n", distinct.agg(F.count(F.lit(1))).scalar())
     n_train, n_val = F.floor(F.col("_n") * train / 1000), F.floor(F.col("_n") * val / 1000)
     split = F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_val, "val").otherwise("test")
-    # `size` is a single row, so it is safe to broadcast
-    return ranked.join(F.broadcast(size), "_all").select(key, split.alias("split"))
+    return sized.select(key, split.alias("split"))
 
 
 def class_split(df: DataFrame, key: str, label: str, train: int, val: int, seed: int = 42) -> DataFrame:
@@ -65,14 +64,14 @@ def strata(matrix: DataFrame, key: str, labels: Sequence[str], min_size: int = 1
 
     Label totals are one row and signatures a small aggregate; only those meet the subjects again.
     """
-    signed = matrix.withColumn("_signature", signature(labels)).withColumn("_all", F.lit(1))
-    totals = matrix.agg(*[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))).alias(f"_total_{c}") for c in labels])
+    signed = matrix.withColumn("_signature", signature(labels))
+    totals = matrix.agg(F.struct(*[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))).alias(c) for c in labels])).scalar()
     candidates = [
-        F.when(F.col(c) == 1, F.struct(F.col(f"_total_{c}").alias("n"), F.lit(c).alias("label"))) for c in labels
+        F.when(F.col(c) == 1, F.struct(F.col(f"_totals.{c}").alias("n"), F.lit(c).alias("label"))) for c in labels
     ]
     rarest = F.least(*candidates)["label"] if len(candidates) > 1 else candidates[0]["label"]
     sizes = signed.groupBy("_signature").agg(F.count(F.lit(1)).alias("_size"))
-    joined = signed.join(F.broadcast(totals.withColumn("_all", F.lit(1))), "_all").join(sizes, "_signature")
+    joined = signed.withColumn("_totals", totals).join(sizes, "_signature")
     stratum = F.when(F.col("_size") >= min_size, F.concat(F.lit("s:"), "_signature")).otherwise(
         F.concat(F.lit("p:"), F.coalesce(rarest, F.lit("none")))
     )
@@ -108,9 +107,9 @@ def split_label_rates(split: DataFrame, matrix: DataFrame, key: str, labels: Seq
 def balance_score(split: DataFrame, counts: DataFrame, key: str, ratios: dict[str, int]) -> DataFrame:
     """Sum over splits and labels of ((count - target) / target)^2 for two label counts n0, n1."""
     per_split = split.join(counts, key).groupBy("split").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).withColumn("_all", F.lit(1))
+    totals = counts.agg(F.struct(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))).scalar()
     ratio = F.create_map(*[F.lit(x) for s, r in ratios.items() for x in (s, r / 1000)])[F.col("split")]
-    joined = per_split.withColumn("_all", F.lit(1)).join(F.broadcast(totals), "_all")
+    joined = per_split.withColumn("_t", totals).select("*", "_t.*")
 
     def part(count: str, total: str) -> Column:
         target = F.greatest(F.col(total) * ratio, F.lit(1.0))

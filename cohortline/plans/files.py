@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cohortline.operators import phenotype as ph
 from cohortline.functions import text
@@ -73,8 +74,8 @@ def tables_labels(merged: DataFrame) -> tuple[list[str], list[str]]:
     return label_columns(merged.columns)
 
 
-@F.pandas_udf("string")
-def _as_gb18030(values):
+@F.pandas_udf(T.StringType())
+def _as_gb18030(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.encode("gb18030").decode("iso-8859-1"))
 
 

@@ -233,9 +233,8 @@ def diagnosis_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cc AS (SELECT DISTINCT p_size || '' || p_partkey % 9 AS code, CAST(p_size % 18 AS INTEGER) AS category FROM part WHERE p_size % 2 = 0),
     g AS (SELECT * FROM (VALUES ('Q1', '20'), ('Q2', '40'), ('Q3', '999')) v(code, target)),
     m AS (SELECT l.*, coalesce(d.category, t.category) AS category FROM l LEFT JOIN cc d USING (code)
-      LEFT JOIN g ON g.code = l.code LEFT JOIN cc t ON t.code = g.target)
-    SELECT diagnosisstring, arg_max(category, i) AS category FROM m WHERE category IS NOT NULL AND
-      (code NOT LIKE 'Q%' OR code IN ('Q1', 'Q2', 'Q3')) GROUP BY 1""",
+      LEFT JOIN g ON g.code = l.code LEFT JOIN cc t ON t.code = coalesce(g.target, CASE WHEN l.code LIKE 'Q%' THEN '20' END))
+    SELECT diagnosisstring, arg_max(category, i) AS category FROM m WHERE category IS NOT NULL GROUP BY 1""",
 )
 def diagnosis_code_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings (part names) to categories through their code lists, directly or over a code map."""
@@ -247,7 +246,7 @@ def diagnosis_code_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") % 18).cast("int").alias("category"),
     ).distinct()
     newer = spark.createDataFrame([("Q1", "20"), ("Q2", "40"), ("Q3", "999")], "code string, target string")
-    # odd sizes are not in the category table and no mapped code starts with their digits
+    # odd sizes are in no table; Q0 and Q4..Q9 share their first letter with all three keys: the smallest target wins the tie
     return li.diagnosis_categories(strings, category, newer)
 
 

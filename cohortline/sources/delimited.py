@@ -49,7 +49,7 @@ def file_kinds(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _gb18030(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda raw: None if raw is None else raw.encode("iso-8859-1").decode("gb18030"))
