@@ -85,21 +85,21 @@ def concordance(
     """
     tie = 0.0 if strict else TIE
     kind = F.lit(0) if strict else F.when(F.col(event) == 1, 0).otherwise(1)
-    points = df.groupBy(*keys, F.col(time).cast("double").alias("t"), kind.alias("k"), F.col(risk).cast("double").alias("r")).agg(
-        F.count(F.lit(1)).alias("w")
+    points = df.groupBy(*keys, F.col(time).cast("double").alias("_t"), kind.alias("_k"), F.col(risk).cast("double").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_w")
     )
-    asked = df.where(F.col(event) == 1).groupBy(*keys, F.col(time).cast("double").alias("t"), F.col(risk).cast("double").alias("r")).agg(
-        F.count(F.lit(1)).alias("w")
+    asked = df.where(F.col(event) == 1).groupBy(*keys, F.col(time).cast("double").alias("_t"), F.col(risk).cast("double").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_w")
     )
     marks = F.explode(F.array(
-        F.struct(F.lit(0).alias("mark"), (F.col("r") - F.lit(tie)).alias("v")),
-        F.struct(F.lit(2).alias("mark"), (F.col("r") + F.lit(tie)).alias("v")),
+        F.struct(F.lit(0).alias("mark"), (F.col("_r") - F.lit(tie)).alias("_v")),
+        F.struct(F.lit(2).alias("mark"), (F.col("_r") + F.lit(tie)).alias("_v")),
     ))
-    rows = points.select(*keys, "t", "k", F.lit(1).alias("mark"), F.col("r").alias("v"), "w").unionByName(
-        asked.select(*keys, "t", F.lit(0).alias("k"), marks.alias("m"), "w").select(*keys, "t", "k", "m.mark", "m.v", "w")
+    rows = points.select(*keys, "_t", "_k", F.lit(1).alias("mark"), F.col("_r").alias("_v"), "_w").unionByName(
+        asked.select(*keys, "_t", F.lit(0).alias("_k"), marks.alias("m"), "_w").select(*keys, "_t", "_k", "m.mark", "m._v", "_w")
     )
-    places = position(rows.select(*keys, "v", "mark").distinct(), keys, ["v", "mark"], "rank")
-    ranked = cut(rows.join(places, [*keys, "v", "mark"]))
+    places = position(rows.select(*keys, "_v", "mark").distinct(), keys, ["_v", "mark"], "rank")
+    ranked = cut(rows.join(places, [*keys, "_v", "mark"]))
     top = ranked.agg(F.max("rank")).first()[0]
     bits = max(1, int(top or 0).bit_length())
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
@@ -107,28 +107,28 @@ def concordance(
     prefix = F.expr("shiftright(rank, level)")
     spread = ranked.withColumn("level", level)
     is_point = F.col("mark") == 1
-    low = spread.where(is_point & ~digit).withColumn("prefix", prefix).groupBy(*keys, "level", "prefix", "t", "k").agg(
-        F.sum("w").alias("pw")
-    ).select(*keys, "level", "prefix", "t", "k", "pw", F.lit(0).alias("q"), F.lit(0).cast("bigint").alias("low_w"), F.lit(0).cast("bigint").alias("high_w"))
-    high = spread.where(~is_point & digit).withColumn("prefix", prefix - 1).groupBy(*keys, "level", "prefix", "t", "k").agg(
-        F.sum(F.when(F.col("mark") == 0, F.col("w")).otherwise(0)).alias("low_w"),
-        F.sum(F.when(F.col("mark") == 2, F.col("w")).otherwise(0)).alias("high_w"),
-    ).select(*keys, "level", "prefix", "t", "k", F.lit(0).cast("bigint").alias("pw"), F.lit(1).alias("q"), "low_w", "high_w")
+    low = spread.where(is_point & ~digit).withColumn("prefix", prefix).groupBy(*keys, "level", "prefix", "_t", "_k").agg(
+        F.sum("_w").alias("_pw")
+    ).select(*keys, "level", "prefix", "_t", "_k", "_pw", F.lit(0).alias("_q"), F.lit(0).cast("bigint").alias("low_w"), F.lit(0).cast("bigint").alias("high_w"))
+    high = spread.where(~is_point & digit).withColumn("prefix", prefix - 1).groupBy(*keys, "level", "prefix", "_t", "_k").agg(
+        F.sum(F.when(F.col("mark") == 0, F.col("_w")).otherwise(0)).alias("low_w"),
+        F.sum(F.when(F.col("mark") == 2, F.col("_w")).otherwise(0)).alias("high_w"),
+    ).select(*keys, "level", "prefix", "_t", "_k", F.lit(0).cast("bigint").alias("_pw"), F.lit(1).alias("_q"), "low_w", "high_w")
     # later (t, k) first; at an equal place the question comes before the points, so only later points count
     merged = low.unionByName(high)
     counted = scan(
-        merged, [*keys, "level", "prefix"], ["t", "k", "q"], [Running("later", "sum", F.col("pw"))], descending=True
-    ).where(F.col("q") == 1)
+        merged, [*keys, "level", "prefix"], ["_t", "_k", "_q"], [Running("later", "sum", F.col("_pw"))], descending=True
+    ).where(F.col("_q") == 1)
     sums = counted.groupBy(*keys).agg(
         F.sum(F.col("low_w") * F.col("later")).alias("lower"), F.sum(F.col("high_w") * F.col("later")).alias("lower_or_tied")
     )
-    by_time = points.groupBy(*keys, "t", "k").agg(F.sum("w").alias("pw")).select(*keys, "t", "k", "pw", F.lit(0).alias("q"), F.lit(0).cast("bigint").alias("qw"))
-    by_event = asked.groupBy(*keys, "t").agg(F.sum("w").alias("qw")).select(
-        *keys, "t", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("pw"), F.lit(1).alias("q"), "qw"
+    by_time = points.groupBy(*keys, "_t", "_k").agg(F.sum("_w").alias("_pw")).select(*keys, "_t", "_k", "_pw", F.lit(0).alias("_q"), F.lit(0).cast("bigint").alias("_qw"))
+    by_event = asked.groupBy(*keys, "_t").agg(F.sum("_w").alias("_qw")).select(
+        *keys, "_t", F.lit(0).alias("_k"), F.lit(0).cast("bigint").alias("_pw"), F.lit(1).alias("_q"), "_qw"
     )
-    outlast = scan(by_time.unionByName(by_event), keys, ["t", "k", "q"], [Running("later", "sum", F.col("pw"))],
-                   F.floor(F.col("t")), descending=True).where(F.col("q") == 1)
-    comparable = outlast.groupBy(*keys).agg(F.sum(F.col("qw") * F.col("later")).alias("comparable"))
+    outlast = scan(by_time.unionByName(by_event), keys, ["_t", "_k", "_q"], [Running("later", "sum", F.col("_pw"))],
+                   F.floor(F.col("_t")), descending=True).where(F.col("_q") == 1)
+    comparable = outlast.groupBy(*keys).agg(F.sum(F.col("_qw") * F.col("later")).alias("comparable"))
     joined = comparable.join(sums, list(keys), "left")
     lower = F.coalesce("lower", F.lit(0).cast("bigint"))
     tied = F.coalesce("lower_or_tied", F.lit(0).cast("bigint")) - lower
@@ -140,12 +140,12 @@ def concordance(
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Linear percentiles from counts of distinct values and their running sum; no group is held in memory."""
-    points = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = points.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    ranked = scan(points, keys, ["v"], [Running("upto", "sum", F.col("n"))], F.floor(F.col("v"))).join(total, list(keys))
+    points = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_vv")).agg(F.count(F.lit(1)).alias("_nn"))
+    total = points.groupBy(*keys).agg(F.sum("_nn").alias("_n"))
+    ranked = scan(points, keys, ["_vv"], [Running("upto", "sum", F.col("_nn"))], F.floor(F.col("_vv"))).join(total, list(keys))
 
     def value_at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") > place, F.col("v")))
+        return F.min(F.when(F.col("upto") > place, F.col("_vv")))
 
     columns = []
     for i, share in enumerate(shares):

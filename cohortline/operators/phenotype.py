@@ -114,15 +114,21 @@ def cross_center_table(prevalence: DataFrame, variants: DataFrame, centers: Sequ
     )
 
 
-def encounter_support(rows: DataFrame, keys: Sequence[str] = ("item_key", "unit_key"), time: str = "time") -> DataFrame:
+def encounter_support(
+    rows: DataFrame, keys: Sequence[str] = ("item_key", "unit_key"), time: str = "time", conflicts: bool = False
+) -> DataFrame:
     """Rows, first and last time per (scope, encounter, phenotype): one partial and one final aggregate.
 
-    Counts add and times take min/max, so supports of two parts merge by the same aggregate.
+    Counts add and times take min/max, so supports of two parts merge by the same aggregate. Patient and
+    diagnosis belong to the encounter, so they are group keys (a hash aggregate; a text minimum would need a
+    sort). Where a source may contradict itself, `conflicts` keeps the smallest of each instead.
     """
-    return rows.groupBy("scope", "encounter", *keys).agg(
-        F.min("patient").alias("patient"), F.min("diagnosis").alias("diagnosis"),
-        F.count(F.lit(1)).alias("measurement_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"),
-    )
+    measures = [F.count(F.lit(1)).alias("measurement_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time")]
+    if conflicts:
+        return rows.groupBy("scope", "encounter", *keys).agg(
+            F.min("patient").alias("patient"), F.min("diagnosis").alias("diagnosis"), *measures
+        )
+    return rows.groupBy("scope", "encounter", *keys, "patient", "diagnosis").agg(*measures)
 
 
 def merge_support(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("item_key", "unit_key")) -> DataFrame:
