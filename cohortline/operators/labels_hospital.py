@@ -152,9 +152,10 @@ def transfer_target(careunit: Column, eventtype: Column) -> Column:
 
 def single_item_target(items: DataFrame) -> DataFrame:
     """Targets of tasks that allow one item only: blocks with several are left out."""
-    alone = Window.partitionBy("subject_id", "event_idx", "task")
-    counted = items.withColumn("_n", F.count("target").over(alone))
-    return counted.where(F.col("_n") == 1).drop("_n")
+    single = items.where(F.col("target").isNotNull()).groupBy("subject_id", "event_idx", "task").agg(
+        F.min("target").alias("target"), F.count(F.lit(1)).alias("_n")
+    )
+    return single.where(F.col("_n") == 1).drop("_n")
 
 
 def next_event_targets(blocks: DataFrame) -> DataFrame:

@@ -348,3 +348,20 @@ def cross_center_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select(*rounded).orderBy(
         F.col("centers_present").desc(), F.col("minimum_prevalence").desc(), F.col("geometric_mean_prevalence").desc()
     )
+
+
+@query(
+    "drug_codes_and_units", "F7 F26",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lpad(CAST(l_partkey AS VARCHAR), 11, '0') AS ndc,
+      CASE WHEN l_linenumber <= 3 THEN 'if' || l_returnflag ELSE l_linestatus END AS unit FROM lineitem""",
+)
+def drug_codes_and_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded drug codes, and the interface unit where there is one, else the system's."""
+    from cohortline.functions.values import interface_or_system
+
+    interface = F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("if"), "l_returnflag")).otherwise("nan")
+    return b.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        text.ndc_key(F.concat(F.col("l_partkey").cast("string"), F.lit(".0"))).alias("ndc"),
+        interface_or_system(text.clean_text(interface), F.col("l_linestatus")).alias("unit"),
+    )

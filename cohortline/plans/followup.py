@@ -294,8 +294,8 @@ def drug_level_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "item_codes", "J3 S11",
     """WITH a AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'nan' ELSE 'V' || p_size % 5 END AS v,
-        CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS c FROM part WHERE p_partkey % 2 = 0),
-    z AS (SELECT p_partkey AS k, 'W' AS v, p_type AS c FROM part WHERE p_partkey % 6 = 0)
+        CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS c FROM part WHERE p_size <= 30),
+    z AS (SELECT p_partkey AS k, 'W' AS v, p_type AS c FROM part WHERE p_type = 'PROMO')
     SELECT p_partkey, coalesce(z.v || '/' || z.c, CASE WHEN a.c <> '' THEN CASE WHEN a.v IN ('', 'nan') THEN a.c ELSE a.v || '/' || a.c END END,
       'ITEMID/' || p_partkey) AS item_code FROM part LEFT JOIN a ON a.k = p_partkey LEFT JOIN z ON z.k = p_partkey""",
 )
@@ -303,10 +303,10 @@ def item_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = b.table(spark, sf_dir, "part")
     size = F.col("p_size")
     vocabulary = F.when(size % 5 == 0, "").when(size % 5 == 1, "nan").otherwise(F.concat(F.lit("V"), (size % 5).cast("string")))
-    low = part.where(F.col("p_partkey") % 2 == 0).select(
+    low = part.where(size <= 30).select(
         "p_partkey", vocabulary.alias("vocabulary"), F.when(size % 4 == 0, "").otherwise(F.col("p_brand")).alias("code")
     )
-    high = part.where(F.col("p_partkey") % 6 == 0).select("p_partkey", F.lit("W").alias("vocabulary"), F.col("p_type").alias("code"))
+    high = part.where(F.col("p_type") == "PROMO").select("p_partkey", F.lit("W").alias("vocabulary"), F.col("p_type").alias("code"))
     return joins.prioritised_codes(part.select("p_partkey"), [low, high], "p_partkey")
 
 
@@ -316,7 +316,7 @@ def item_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT p_size, max(p_name) AS n FROM part GROUP BY 1)
     SELECT p_partkey, code, CASE WHEN p_partkey % 3 = 2 AND CAST(split_part(code, '/', 2) AS INTEGER) <= 40 THEN 'main ' || n
       WHEN p_partkey % 3 = 2 THEN '' WHEN p_partkey % 3 = 0 AND p_size <= 10 THEN 'main ' || n
-      WHEN p_partkey % 3 = 0 THEN 'cpt ' || n WHEN p_size % 2 = 0 THEN 'pcs ' || n ELSE '' END AS description
+      WHEN p_partkey % 3 = 0 THEN 'cpt ' || n WHEN p_size <= 30 THEN 'pcs ' || n ELSE '' END AS description
     FROM c JOIN part USING (p_partkey) JOIN d USING (p_size)""",
 )
 def code_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,21 +330,21 @@ def code_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = names.where("p_size <= 40").select(text_of("LOINC/").alias("code"), said("main ").alias("description")).unionByName(
         names.where("p_size <= 10").select(text_of("CPT4/").alias("code"), said("main ").alias("description")))
     cpt = names.select(size.alias("code"), said("cpt ").alias("description"))
-    pcs = names.where("p_size % 2 = 0").select(size.alias("code"), said("pcs ").alias("description"))
+    pcs = names.where("p_size <= 30").select(size.alias("code"), said("pcs ").alias("description"))
     return joins.code_descriptions(codes, main, {"CPT4": cpt, "ICD10PCS": pcs})
 
 
 @query(
     "diagnosis_title_codes", "S13 J1",
     """WITH t AS (SELECT p_name AS title, p_partkey FROM part UNION ALL SELECT lower(p_name), p_partkey FROM part
-        UNION ALL SELECT upper(p_name), p_partkey FROM part WHERE p_partkey % 2 = 0
-        UNION ALL SELECT lower(p_name), p_partkey FROM part WHERE p_partkey % 2 = 0)
+        UNION ALL SELECT upper(p_name), p_partkey FROM part WHERE p_size <= 25
+        UNION ALL SELECT lower(p_name), p_partkey FROM part WHERE p_size <= 25)
     SELECT title, 'C' || max(p_partkey) AS icd_code FROM t GROUP BY title""",
 )
 def diagnosis_title_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = b.table(spark, sf_dir, "part")
     rows = part.select(F.col("p_name").alias("long_title"), "p_partkey").unionByName(
-        part.where("p_partkey % 2 = 0").select(F.upper("p_name").alias("long_title"), "p_partkey"))
+        part.where("p_size <= 25").select(F.upper("p_name").alias("long_title"), "p_partkey"))
     coded = rows.withColumn("icd_code", F.concat(F.lit("C"), F.col("p_partkey").cast("string")))
     return joins.title_codes(coded, ["p_partkey"])
 

@@ -165,12 +165,12 @@ def icu_dialysis_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Codes of all parts, and a map from one in three of them, cut to differing lengths."""
+    """Codes of all parts, and a map from those of two types, cut to differing lengths."""
     part = b.table(spark, sf_dir, "part")
     code = F.concat(F.col("p_size").cast("string"), F.lit("Z"), F.col("p_partkey").cast("string"))
     codes = part.select(code.alias("code"))
     cut_length = F.lit(2) + F.col("p_partkey") % 4
-    mapping = part.where(F.col("p_partkey") % 3 == 0).select(
+    mapping = part.where(F.col("p_type").isin("PROMO", "SMALL")).select(
         F.substring(code, F.lit(1), cut_length.cast("int")).alias("code"), F.col("p_type").alias("target")
     ).groupBy("code").agg(F.max("target").alias("target"))
     return codes, mapping
@@ -180,7 +180,7 @@ def part_codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     "longest_prefix_codes", "J11",
     """WITH c AS (SELECT DISTINCT p_size || 'Z' || p_partkey AS code FROM part),
     m AS (SELECT substr(p_size || 'Z' || p_partkey, 1, 2 + p_partkey % 4) AS code, max(p_type) AS target FROM part
-      WHERE p_partkey % 3 = 0 GROUP BY 1),
+      WHERE p_type IN ('PROMO', 'SMALL') GROUP BY 1),
     p AS (SELECT code, i, substr(code, 1, i) AS pre FROM c, range(1, 20) r(i) WHERE i <= length(code)),
     hit AS (SELECT p.code, p.i, m.target, m.code = p.pre AS exact FROM p JOIN m ON starts_with(m.code, p.pre)),
     best AS (SELECT code, max(i) AS i FROM hit GROUP BY code),
@@ -198,18 +198,18 @@ def diagnosis_strings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     nation = b.table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     rows = b.table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     path = F.concat_ws("|", "r_name", "n_name", "c_mktsegment", (F.col("c_custkey") % 4).cast("string"))
-    strings = rows.select(F.col("c_custkey").alias("uniquepid"), path.alias("diagnosisstring"))
-    known = strings.where(F.col("uniquepid") % 7 == 0).groupBy("diagnosisstring").agg(
+    strings = rows.select(F.col("c_custkey").alias("uniquepid"), path.alias("diagnosisstring"), "c_acctbal")
+    known = strings.where(F.col("c_acctbal") < 1000).groupBy("diagnosisstring").agg(
         (F.min("uniquepid") % 18).cast("int").alias("category")
     )
-    return strings, known
+    return strings.drop("c_acctbal"), known
 
 
 ROLL_SQL = """
-ds AS (SELECT c_custkey AS pid, r_name AS p1, r_name || '|' || n_name AS p2, r_name || '|' || n_name || '|' || c_mktsegment AS p3,
+ds AS (SELECT c_custkey AS pid, c_acctbal AS bal, r_name AS p1, r_name || '|' || n_name AS p2, r_name || '|' || n_name || '|' || c_mktsegment AS p3,
     r_name || '|' || n_name || '|' || c_mktsegment || '|' || (c_custkey % 4) AS p4
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-kn AS (SELECT p4, any_value(p3) AS p3, any_value(p2) AS p2, CAST(min(pid) % 18 AS INTEGER) AS category FROM ds WHERE pid % 7 = 0 GROUP BY p4),
+kn AS (SELECT p4, any_value(p3) AS p3, any_value(p2) AS p2, CAST(min(pid) % 18 AS INTEGER) AS category FROM ds WHERE bal < 1000 GROUP BY p4),
 v3 AS (SELECT p3, category, count(*) AS n, any_value(p2) AS p2 FROM kn GROUP BY p3, category
   QUALIFY row_number() OVER (PARTITION BY p3 ORDER BY n DESC, category) = 1),
 v2 AS (SELECT p2, category, count(*) AS n2 FROM v3 GROUP BY p2, category
@@ -230,7 +230,7 @@ def diagnosis_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH s AS (SELECT p_name AS diagnosisstring, min(p_size || '.' || p_partkey % 9 || ',' || 'Q' || p_size % 10) AS codes
         FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_name),
     l AS (SELECT diagnosisstring, replace(split_part(codes, ',', i), '.', '') AS code, i FROM s, range(1, 3) r(i)),
-    cc AS (SELECT DISTINCT p_size || '' || p_partkey % 9 AS code, CAST(p_size % 18 AS INTEGER) AS category FROM part WHERE p_size % 2 = 0),
+    cc AS (SELECT DISTINCT p_size || '' || p_partkey % 9 AS code, CAST(p_size % 18 AS INTEGER) AS category FROM part WHERE p_size <= 25),
     g AS (SELECT * FROM (VALUES ('Q1', '20'), ('Q2', '40'), ('Q3', '999')) v(code, target)),
     m AS (SELECT l.*, coalesce(d.category, t.category) AS category FROM l LEFT JOIN cc d USING (code)
       LEFT JOIN g ON g.code = l.code LEFT JOIN cc t ON t.code = coalesce(g.target, CASE WHEN l.code LIKE 'Q%' THEN '20' END))
@@ -241,12 +241,12 @@ def diagnosis_code_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = b.table(spark, sf_dir, "part")
     code = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 9).cast("string"), F.lit(",Q"), (F.col("p_size") % 10).cast("string"))
     strings = part.select(F.col("p_name").alias("diagnosisstring"), F.when(F.col("p_partkey") % 5 != 0, code).alias("icd9code"))
-    category = part.where(F.col("p_size") % 2 == 0).select(
+    category = part.where(F.col("p_size") <= 25).select(
         F.concat(F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")).alias("code"),
         (F.col("p_size") % 18).cast("int").alias("category"),
     ).distinct()
     newer = spark.createDataFrame([("Q1", "20"), ("Q2", "40"), ("Q3", "999")], "code string, target string")
-    # odd sizes are in no table; Q0 and Q4..Q9 share their first letter with all three keys: the smallest target wins the tie
+    # sizes over 25 are in no table; Q0 and Q4..Q9 share their first letter with all three keys: the smallest target wins the tie
     return li.diagnosis_categories(strings, category, newer)
 
 

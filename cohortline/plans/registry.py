@@ -27,7 +27,13 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Job], Job
     def add(job: Job) -> Job:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Query(name, job, sql, tuple(covers.split()))
+
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # times without a zone are compared as UTC, whatever zone the session came with
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return job(spark, sf_dir)
+
+        QUERIES[name] = Query(name, in_utc, sql, tuple(covers.split()))
         return job
 
     return add

@@ -422,12 +422,12 @@ def missing_source_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "split_routing", "J8 S9 O6",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE o_custkey % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 <> 9""",
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY'""",
 )
 def split_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows routed to the split of their subject; subjects in no split are dropped."""
     who = F.col("c_custkey")
-    split = b.table(spark, sf_dir, "customer").where(who % 10 != 9).select(
+    split = b.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") != "MACHINERY").select(
         who.alias("o_custkey"), F.when(who % 10 == 0, "test").when(who % 10 == 1, "val").otherwise("train").alias("split")
     )
     owner = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(split, "o_custkey")
@@ -436,8 +436,8 @@ def split_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "joint_task_index", "L23 O4",
-    """WITH a AS (SELECT 'hospital' AS center, 'ED_Hospitalization' AS task, o_orderkey AS sample, o_custkey AS patient FROM orders WHERE o_orderkey % 2 = 0
-      UNION ALL SELECT 'hospital', 'unknown_task', o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0
+    """WITH a AS (SELECT 'hospital' AS center, 'ED_Hospitalization' AS task, o_orderkey AS sample, o_custkey AS patient FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT 'hospital', 'unknown_task', o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '5-LOW'
       UNION ALL SELECT 'icu', CASE WHEN o_orderkey % 3 = 0 THEN 'mortality' ELSE 'diagnosis' END, o_orderkey, o_custkey FROM orders),
     d AS (SELECT l_orderkey AS sample, arg_min(l_returnflag, (l_partkey, l_suppkey)) AS diagnosis FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
     SELECT center, center || ':' || task AS task_key, 'binary_classification' AS task_type, sample, patient, diagnosis FROM a LEFT JOIN d USING (sample)
@@ -451,8 +451,8 @@ def joint_task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     orders = b.table(spark, sf_dir, "orders")
     index = lambda center, task, rows: rows.select(F.lit(center).alias("center"), task.alias("task"), key.alias("sample"), F.col("o_custkey").alias("patient"))
-    merged = index("hospital", F.lit("ED_Hospitalization"), orders.where(key % 2 == 0)).unionByName(
-        index("hospital", F.lit("unknown_task"), orders.where(key % 5 == 0))
+    merged = index("hospital", F.lit("ED_Hospitalization"), orders.where(F.col("o_orderstatus") == "F")).unionByName(
+        index("hospital", F.lit("unknown_task"), orders.where(F.col("o_orderpriority") == "5-LOW"))
     ).unionByName(index("icu", F.when(key % 3 == 0, "mortality").otherwise("diagnosis"), orders))
     binary = task_table(spark).where(F.col("task_type") == BINARY).select("center", "task", "task_type")
     first = joins.first_entry(

@@ -264,13 +264,13 @@ def rows_of_kept_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "embedding_plan", "E5",
-    """SELECT p_partkey AS key, p_name AS text, CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'changed' END AS state FROM part
-    WHERE p_partkey % 3 = 0 OR p_size % 7 = 0""",
+    """SELECT p_partkey AS key, p_name AS text, CASE WHEN p_type = 'PROMO' THEN 'missing' ELSE 'changed' END AS state FROM part
+    WHERE p_type = 'PROMO' OR p_size % 7 = 0""",
 )
 def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = b.table(spark, sf_dir, "part")
     wanted = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"))
-    cached = part.where("p_partkey % 3 <> 0").select(
+    cached = part.where("p_type <> 'PROMO'").select(
         F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 7 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("text")
     )
     return ft.embedding_plan(wanted, cached)
@@ -383,7 +383,7 @@ def icu_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "nested_measurements", "M5 S14 F19",
-    """WITH p AS (SELECT DISTINCT p_partkey AS id, p_name AS n FROM part WHERE p_partkey % 4 <> 0),
+    """WITH p AS (SELECT DISTINCT p_partkey AS id, p_name AS n FROM part WHERE p_type <> 'ECONOMY'),
     l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS id, l_linenumber FROM lineitem),
     m AS (SELECT o, id, max(l_linenumber) AS k FROM l GROUP BY ALL)
     SELECT CAST(o AS VARCHAR) AS sample_id, '2000-01-01 00:00:00' AS "Time", coalesce(n, CAST(m.id AS VARCHAR)) AS "Item",
@@ -402,7 +402,7 @@ def nested_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = nested.select(
         "sample_id", F.from_json("lab_json", "map<string,string>").alias("labs"), F.from_json("culture_json", "map<string,string>").alias("cultures")
     )
-    names = b.table(spark, sf_dir, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"))
+    names = b.table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"))
     return mt.nested_table(rows, names, names).withColumn("Time", times.time_text(F.col("Time")))
 
 
