@@ -34,45 +34,44 @@ def task_rows(anchors: DataFrame, targets: Mapping[str, Column], begin: Column,
     )
 
 
-def anchors_of(blocks: DataFrame, kind: str) -> DataFrame:
-    return blocks.where(F.col("file_name") == kind).select(*KEYS)
-
-
-def with_next(blocks: DataFrame, anchors: DataFrame, wanted: Mapping[str, tuple[str, bool]]) -> DataFrame:
-    """Add the next block of a table after each anchor, in the same admission (True) or in any."""
-    slim = blocks.select("subject_id", "hadm_id", "event_idx", "file_name", "starttime")
-    result = anchors
-    for same_admission in (True, False):
-        chosen = {name: kind for name, (kind, same) in wanted.items() if same == same_admission}
-        if not chosen:
-            continue
-        keys = ["subject_id", "hadm_id"] if same_admission else ["subject_id"]
-        conditions = {name: F.col("file_name") == kind for name, kind in chosen.items()}
-        found = next_of_kind(slim, keys, conditions, ["event_idx", "starttime"])
-        result = result.join(
-            found.select("subject_id", "event_idx", *chosen), ["subject_id", "event_idx"], "left"
-        )
-    return result
+def with_neighbours(blocks: DataFrame) -> DataFrame:
+    """Blocks with the next admission and ICU block of their admission and the next emergency and admission block at all.
+
+    Two scans serve every task builder; each neighbour is a struct (event_idx, starttime), null when there is none.
+    """
+    kind, admitted = F.col("file_name"), F.col("hadm_id").isNotNull()
+    same = next_of_kind(
+        blocks, ["subject_id", "hadm_id"],
+        {"next_admission_same": admitted & (kind == "admissions"), "next_icu_same": admitted & (kind == "icustays")},
+        ["event_idx", "starttime"],
+    )
+    return next_of_kind(
+        same, ["subject_id"], {"next_ed": kind == "edstays", "next_admission": kind == "admissions"}, ["event_idx", "starttime"]
+    )
+
+
+
+def anchors_of(blocks: DataFrame, kind: str, *neighbours: str) -> DataFrame:
+    return blocks.where(F.col("file_name") == kind).select(*KEYS, *neighbours)
 
 
 def emergency_tasks(blocks: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Hospitalisation, death in hospital, ICU within 12 h, re-attendance within 72 h, critical outcome."""
-    anchors = context.until_time(anchors_of(blocks, "edstays"), blocks, F.col("end_time"))
-    anchors = anchors.where(F.col("context_end").isNotNull())
-    anchors = with_next(
-        blocks, anchors,
-        {"admission": ("admissions", True), "icu": ("icustays", True), "ed": ("edstays", False)},
-    )
+    """Hospitalisation, death in hospital, ICU within 12 h, re-attendance within 72 h, critical outcome.
+
+    `blocks` of all task builders come from `with_neighbours`.
+    """
+    asked = anchors_of(blocks, "edstays", "next_admission_same", "next_icu_same", "next_ed")
+    anchors = context.until_time(asked, blocks, F.col("end_time")).where(F.col("context_end").isNotNull())
     last = blocks.where(F.col("starttime").isNotNull()).groupBy("subject_id", "hadm_id").agg(
         F.max_by(F.struct("event_idx", "starttime"), "event_idx").alias("_last")
     )
     anchors = anchors.join(last, ["subject_id", "hadm_id"], "left").join(subjects, "subject_id", "left")
     last_time = F.when(F.col("_last.event_idx") > F.col("event_idx"), F.col("_last.starttime"))
     dead = F.col("death_time").isNotNull() & last_time.isNotNull() & ~(last_time < F.col("death_time"))
-    moved = F.col("icu").isNotNull() & (times.gap_hours(F.col("end_time"), F.col("icu.starttime")) < 12)
-    back = F.col("ed").isNotNull() & (times.gap_hours(F.col("end_time"), F.col("ed.starttime")) < 72)
+    moved = F.col("next_icu_same").isNotNull() & (times.gap_hours(F.col("end_time"), F.col("next_icu_same.starttime")) < 12)
+    back = F.col("next_ed").isNotNull() & (times.gap_hours(F.col("end_time"), F.col("next_ed.starttime")) < 72)
     targets = {
-        "ED_Hospitalization": yes_no(F.col("admission").isNotNull()),
+        "ED_Hospitalization": yes_no(F.col("next_admission_same").isNotNull()),
         "ED_Inpatient_Mortality": yes_no(dead),
         "ED_ICU_Tranfer_12hour": yes_no(moved),
         "ED_Reattendance_3day": yes_no(back),
@@ -98,26 +97,24 @@ def admission_tasks(blocks: DataFrame, subjects: DataFrame) -> DataFrame:
 
 def intensive_tasks(blocks: DataFrame, subjects: DataFrame) -> DataFrame:
     """Death within days of the context end, long stays, and return to intensive care."""
-    anchors = context.forward_context(anchors_of(blocks, "icustays"), blocks)
+    anchors = context.forward_context(anchors_of(blocks, "icustays", "next_icu_same"), blocks)
     anchors = anchors.where(F.col("context_end").isNotNull()).join(subjects, "subject_id", "left")
-    anchors = with_next(blocks, anchors, {"icu": ("icustays", True)})
     until_death = times.gap_hours(F.col("context_end_starttime"), F.col("death_time"))
     stay = times.gap_hours(F.col("starttime"), F.col("end_time"))
     targets = {
         f"ICU_Mortality_{d}day": yes_no(F.col("death_time").isNotNull() & (until_death < d * 24)) for d in ICU_DEATH_DAYS
     }
     targets |= {f"ICU_Stay_{d}day": yes_no(stay >= d * 24) for d in (7, 14)}
-    targets["ICU_Readmission"] = yes_no(F.col("icu").isNotNull())
+    targets["ICU_Readmission"] = yes_no(F.col("next_icu_same").isNotNull())
     return task_rows(anchors, targets, F.col("event_idx"), F.col("context_end") + 1)
 
 
 def discharge_tasks(blocks: DataFrame) -> DataFrame:
     """Readmission within 30 and 60 days."""
-    anchors = context.backward_context(anchors_of(blocks, "discharge"), blocks)
+    anchors = context.backward_context(anchors_of(blocks, "discharge", "next_admission"), blocks)
     anchors = anchors.where(F.col("context_begin").isNotNull())
-    anchors = with_next(blocks, anchors, {"admission": ("admissions", False)})
-    gap = times.gap_hours(F.col("starttime"), F.col("admission.starttime"))
-    again = F.col("admission").isNotNull()
+    gap = times.gap_hours(F.col("starttime"), F.col("next_admission.starttime"))
+    again = F.col("next_admission").isNotNull()
     targets = {f"Readmission_{d}day": yes_no(again & (gap < 24 * d)) for d in (30, 60)}
     return task_rows(anchors, targets, F.col("context_begin"), F.col("event_idx") + 1)
 
@@ -243,15 +240,10 @@ def duration_tasks(samples: DataFrame, blocks: DataFrame, subjects: DataFrame) -
         "anchor_idx", F.when(F.col("event") == "discharge", F.col("context_end") - 1).otherwise(F.col("context_begin"))
     )
     slim = blocks.select("subject_id", "hadm_id", "event_idx", "file_name", "starttime", "end_time")
-    after_same = next_of_kind(slim, ["subject_id", "hadm_id"], {"icu": F.col("file_name") == "icustays"}, ["starttime"])
-    after_any = next_of_kind(
-        after_same, ["subject_id"],
-        {"admission": F.col("file_name") == "admissions", "ed": F.col("file_name") == "edstays"}, ["starttime"],
-    )
-    anchor = after_any.select(
+    anchor = blocks.select(
         "subject_id", F.col("event_idx").alias("anchor_idx"), F.col("starttime").alias("anchor_start"),
-        F.col("end_time").alias("anchor_end"), F.col("icu.starttime").alias("next_icu"),
-        F.col("admission.starttime").alias("next_admission"), F.col("ed.starttime").alias("next_ed"),
+        F.col("end_time").alias("anchor_end"), F.col("next_icu_same.starttime").alias("next_icu"),
+        F.col("next_admission.starttime").alias("next_admission"), F.col("next_ed.starttime").alias("next_ed"),
     )
     last = slim.select("subject_id", (F.col("event_idx") + 1).alias("context_end"), F.col("starttime").alias("context_time"))
     stay = slim.where(F.col("file_name") == "admissions").groupBy("subject_id", "hadm_id").agg(

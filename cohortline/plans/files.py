@@ -12,7 +12,7 @@ from cohortline.plans.counting import RAW_SQL, SUPPORT_SQL, raw_measurements
 from cohortline.plans.registry import query
 from cohortline.plans.timelines import BLOCKS_SQL, block_table
 from cohortline.sources import delimited, refresh, tables
-from cohortline.sources.scratch import scratch_path
+from cohortline.session import scratch_path
 from cohortline.streaming import jobs
 
 

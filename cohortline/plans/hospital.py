@@ -13,8 +13,8 @@ from cohortline.session import cut
 
 
 def stored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The block table written out once: the label builders read it several times."""
-    return cut(block_table(spark, sf_dir))
+    """The block table with its neighbours, written out once: the label builders read it several times."""
+    return cut(lh.with_neighbours(block_table(spark, sf_dir)))
 
 
 TASK_COLUMNS = ["subject_id", "hadm_id", "task", "event", "context_begin", "context_end", "target"]
