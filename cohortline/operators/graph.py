@@ -10,6 +10,7 @@ from cohortline.operators.pairs import hashed_number
 
 PROFILE_TOP = 3
 SIDES = ("head", "tail")
+KINDS = ("domain", "vocabulary")
 
 
 def clean_concepts(raw: DataFrame) -> DataFrame:
@@ -91,54 +92,66 @@ def negative_triples(
     """
     sizes = pools.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("size"))
     listed = profile.join(sizes, ["kind", "name"]).groupBy("relation_id", "side").agg(
-        *[
-            F.max(F.when((F.col("kind") == kind) & (F.col("place") == i + 1), F.col(c))).alias(f"{kind}{i}_{c}")
-            for kind in ("domain", "vocabulary") for i in range(PROFILE_TOP) for c in ("name", "size")
-        ]
+        *[_ordered_pools(kind).alias(f"{kind}_pools") for kind in KINDS]
     )
     places = pools.join(sizes, ["kind", "name"]).groupBy("concept_id").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("domain", "vocabulary", "all") for c in ("name", "idx", "size")]
+        *[F.max(F.when(F.col("kind") == k, F.struct("name", "idx", "size"))).alias(k) for k in (*KINDS, "all")]
     )
     drawn = triple_rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
         "corrupted", F.when(_roll(seed, "side") % 2 == 0, "head").otherwise("tail")
     )
     typed = drawn
     for side in SIDES:
-        typed = typed.join(places.select(
-            F.col("concept_id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in places.columns if c != "concept_id"]
-        ), f"{side}_id")
+        typed = typed.join(places.select(F.col("concept_id").alias(f"{side}_id"), *[F.col(k).alias(f"{side}_{k}") for k in (*KINDS, "all")]), f"{side}_id")
     typed = typed.join(listed.withColumnRenamed("side", "corrupted"), ["relation_id", "corrupted"], "left")
     at_head = F.col("corrupted") == "head"
-    own = lambda c: F.when(at_head, F.col(f"head_{c}")).otherwise(F.col(f"tail_{c}"))
-    typed = typed.withColumns({f"own_{c}": own(c) for c in ("domain_name", "domain_size", "vocabulary_name", "vocabulary_size")})
-
-    def entry(kind: str, name: Column, size: Column) -> Column:
-        """The pool with the places of head and tail in it, null when it has no other member."""
-        head, tail = [F.when(name == F.col(f"{s}_{kind}_name"), F.col(f"{s}_{kind}_idx")) for s in SIDES]
-        left = size - head.isNotNull().cast("bigint") - tail.isNotNull().cast("bigint")
-        return F.when(left > 0, F.struct(
-            F.lit(kind).alias("kind"), name.alias("name"), left.alias("left"), head.alias("head_idx"), tail.alias("tail_idx")))
-
-    in_order = [
-        *[entry("domain", F.col(f"domain{i}_name"), F.col(f"domain{i}_size")) for i in range(PROFILE_TOP)],
-        entry("domain", F.col("own_domain_name"), F.col("own_domain_size")),
-        *[entry("vocabulary", F.col(f"vocabulary{i}_name"), F.col(f"vocabulary{i}_size")) for i in range(PROFILE_TOP)],
-        entry("vocabulary", F.col("own_vocabulary_name"), F.col("own_vocabulary_size")),
-        entry("all", F.lit("*"), F.col("head_all_size")),
-    ]
+
+    def own(kind: str) -> Column:
+        mine = F.when(at_head, F.col(f"head_{kind}")).otherwise(F.col(f"tail_{kind}"))
+        return F.filter(F.array(F.struct(F.lit(kind).alias("kind"), mine["name"].alias("name"), mine["size"].alias("size"))), lambda p: p["name"].isNotNull())
+
+    none = F.array().cast("array<struct<kind:string,name:string,size:bigint>>")
+    whole = F.array(F.struct(F.lit("all").alias("kind"), F.lit("*").alias("name"), F.col("head_all.size").alias("size")))
+    every = F.concat(F.coalesce("domain_pools", none), own("domain"), F.coalesce("vocabulary_pools", none), own("vocabulary"), whole)
+    # a pool of three always has a member left, so the relation's own domains usually settle it
+    settled = F.exists(F.coalesce("domain_pools", none), lambda p: p["size"] > 2)
+
+    def taken(p: Column, side: str) -> Column:
+        return F.coalesce((p["kind"] == "all") | ((p["kind"] == "domain") & (p["name"] == F.col(f"{side}_domain.name")))
+                          | ((p["kind"] == "vocabulary") & (p["name"] == F.col(f"{side}_vocabulary.name"))), F.lit(False)).cast("bigint")
+
+    usable = F.filter(
+        F.when(settled, F.col("domain_pools")).otherwise(every),
+        lambda p: (p["size"] > 2) | (p["size"] - taken(p, "head") - taken(p, "tail") > 0),
+    )
     # inline keeps the choice one expression; as a plain struct it would be evaluated once per field
-    chosen = typed.select("head_id", "relation_id", "tail_id", "draw", "corrupted", F.inline(F.array(F.coalesce(*in_order))))
+    ids = ["head_id", "relation_id", "tail_id", "draw", "corrupted"]
+    chosen = typed.select(*ids, *[f"{s}_{k}" for s in SIDES for k in (*KINDS, "all")], F.inline(F.slice(usable, 1, 1)))
+
+    def place(side: str) -> Column:
+        kind, name = F.col("kind"), F.col("name")
+        return F.when(kind == "all", F.col(f"{side}_all.idx")).when(
+            (kind == "domain") & (name == F.col(f"{side}_domain.name")), F.col(f"{side}_domain.idx")
+        ).when((kind == "vocabulary") & (name == F.col(f"{side}_vocabulary.name")), F.col(f"{side}_vocabulary.idx"))
+
+    placed = chosen.select(*ids, "kind", "name", "size", place("head").alias("head_idx"), place("tail").alias("tail_idx"))
+    left = F.col("size") - F.col("head_idx").isNotNull().cast("bigint") - F.col("tail_idx").isNotNull().cast("bigint")
+    picked = placed.select(*ids, "kind", "name", "head_idx", "tail_idx", F.inline(F.array(F.struct((_roll(seed, "pick") % left).alias("pick")))))
     low = F.least("head_idx", "tail_idx")
     high = F.when(F.col("head_idx").isNotNull() & F.col("tail_idx").isNotNull(), F.greatest("head_idx", "tail_idx"))
-    picked = chosen.withColumn("_pick", _roll(seed, "pick") % F.col("left"))
-    once = picked.withColumn("_once", F.col("_pick") + F.when(F.col("_pick") >= low, 1).otherwise(0))
+    once = picked.withColumn("_once", F.col("pick") + F.when(F.col("pick") >= low, 1).otherwise(0))
     idx = F.col("_once") + F.when(F.col("_once") >= high, 1).otherwise(0)
-    placed = once.select("head_id", "relation_id", "tail_id", "draw", "corrupted", "kind", "name", idx.alias("idx"))
-    return placed.join(pools, ["kind", "name", "idx"]).select(
+    return once.select(*ids, "kind", "name", idx.alias("idx")).join(pools, ["kind", "name", "idx"]).select(
         "head_id", "relation_id", "tail_id", "draw", "corrupted", "kind", F.col("concept_id").alias("negative_id")
     )
 
 
+def _ordered_pools(kind: str) -> Column:
+    """Pools of one kind in profile order; a profile has at most three per kind."""
+    entries = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "name", "size"))))
+    return F.transform(entries, lambda x: F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), x["size"].alias("size")))
+
+
 def _roll(seed: int, purpose: str) -> Column:
     return hashed_number(F.lit(seed), F.col("head_id"), F.col("relation_id"), F.col("tail_id"), F.col("draw"), F.lit(purpose))
 
