@@ -52,61 +52,73 @@ HIDDEN_ALWAYS = ("admissions", "patients", "discharge", "radiology")
 TEXT_COLUMNS = ("Item", "Value", "Unit", "Category")
 
 
-def known_attributes(attrs: Column) -> Column:
-    """Attribute map without missing values, its values trimmed: cleaned once, then only looked up."""
-    return F.map_filter(
-        F.transform_values(attrs, lambda k, v: F.trim(v)),
-        lambda k, v: v.isNotNull() & ~F.lower(v).isin(*text.MISSING_TEXT),
-    )
-
-
 def _get(attrs: Column, names: Sequence[str]) -> Column:
-    found = [F.try_element_at(attrs, F.lit(n)) for n in names]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
+    return text.first_non_empty(*[F.try_element_at(attrs, F.lit(n)) for n in names])
 
 
 def _row(item: Column, value: Column, unit: Column) -> Column:
     return F.struct(item.alias("item"), value.alias("value"), unit.alias("unit"))
 
 
+def table_rules() -> dict[str, list[tuple]]:
+    """Rows each table gives, as (item names, fixed item, item suffix, value names, unit names, fixed unit).
+
+    Of several names the first known attribute counts; no value name means a row without a value.
+    """
+    rules = {t: [(item, "", "", value, unit, "")] for t, (item, value, unit) in ATTRIBUTES.items()}
+    rules |= {t: [(item, "", "", (), (), "")] for t, item in NAMED_ONLY.items()}
+    for t in ("inputevents", "ingredientevents"):
+        rules[t] = [(("item_name",), "", "_Amount", ("amount",), ("amountuom",), ""), (("item_name",), "", "_Rate", ("rate",), ("rateuom",), "")]
+    for t in ("triage", "vitalsign"):
+        rules[t] = [((), name.capitalize(), "", (name,), (), unit) for name, unit in VITALS]
+    rules["patients"] = [((), label, "", (name,), (), unit) for name, label, unit in DEMOGRAPHICS]
+    return rules
+
+
+def _rule_map() -> Column:
+    """The rules as one constant map, so that a row only meets the rules of its own table."""
+    def words(names: Sequence[str]) -> Column:
+        return F.array(*[F.lit(n) for n in names]).cast("array<string>")
+
+    entries = []
+    for name, rules in table_rules().items():
+        listed = F.array(*[
+            F.struct(words(i).alias("items"), F.lit(fixed).alias("fixed"), F.lit(suffix).alias("suffix"), words(v).alias("vals"), words(u).alias("units"),
+                     F.lit(unit).alias("unit"))
+            for i, fixed, suffix, v, u, unit in rules
+        ])
+        entries += [F.lit(name), listed]
+    return F.create_map(*entries)
+
+
 def hospital_rows(file_name: Column, attrs: Column) -> Column:
-    """(item, value, unit) rows of one hospital source row, by the rule of its table, from its known attributes."""
-    none = F.lit("")
-    chain = F.when(file_name.isin(*EXCLUDED_TABLES), F.array().cast("array<struct<item:string,value:string,unit:string>>"))
-    for table, (item, value, unit) in ATTRIBUTES.items():
-        unit_of = F.coalesce(_get(attrs, unit), none) if unit else none
-        chain = chain.when(file_name == table, F.array(_row(_get(attrs, item), _get(attrs, value), unit_of)))
-    for table, item in NAMED_ONLY.items():
-        chain = chain.when(file_name == table, F.array(_row(_get(attrs, item), none, none)))
-    name = F.coalesce(_get(attrs, ("item_name",)), none)
-    dosed = F.array(
-        _row(F.concat(name, F.lit("_Amount")), _get(attrs, ("amount",)), F.coalesce(_get(attrs, ("amountuom",)), none)),
-        _row(F.concat(name, F.lit("_Rate")), _get(attrs, ("rate",)), F.coalesce(_get(attrs, ("rateuom",)), none)),
-    )
-    chain = chain.when(file_name.isin("inputevents", "ingredientevents"), dosed)
+    """(item, value, unit) rows of one hospital source row, by the rules of its table; missing spellings count as none."""
+    def first(names: Column) -> Column:
+        found = F.transform(names, lambda n: F.trim(F.try_element_at(attrs, n)))
+        return F.try_element_at(F.filter(found, lambda x: ~F.lower(x).isin(*text.MISSING_TEXT)), F.lit(1))
+
+    def by_rule(r: Column) -> Column:
+        name = F.coalesce(first(r["items"]), F.when(r["suffix"] != "", F.lit("")))
+        item = F.when(r["fixed"] != "", r["fixed"]).otherwise(F.concat(name, r["suffix"]))
+        raw = F.when(F.size(r["vals"]) == 0, F.lit("")).otherwise(first(r["vals"]))
+        sex = F.when(r["fixed"] == "Gender", F.coalesce(text.mapped(F.upper(raw), SEXES), raw)).otherwise(raw)
+        return _row(item, sex, F.coalesce(first(r["units"]), r["unit"]))
+
     culture = F.concat_ws("_", *[F.coalesce(F.try_element_at(attrs, F.lit(n)), F.lit("Unknown")) for n in ("test_name", "org_name", "ab_name")])
-    chain = chain.when(file_name == "microbiologyevents", F.array(_row(culture, _get(attrs, ("dilution_value", "interpretation")), none)))
+    cultures = F.array(_row(culture, _get(attrs, ("dilution_value", "interpretation")), F.lit("")))
     parsed = values.item_and_unit(_get(attrs, ("result_name",)))
-    chain = chain.when(
-        file_name == "omr",
-        values.pressure_parts(parsed["item"], _get(attrs, ("result_value", "value")), parsed["unit"]),
+    observations = values.pressure_parts(parsed["item"], _get(attrs, ("result_value", "value")), parsed["unit"])
+    ruled = F.transform(F.try_element_at(_rule_map(), file_name), by_rule)
+    chain = F.when(file_name == "microbiologyevents", cultures).when(file_name == "omr", observations).when(
+        ~file_name.isin(*EXCLUDED_TABLES), ruled
     )
-    vitals = F.array(*[_row(F.lit(k.capitalize()), _get(attrs, (k,)), F.lit(u)) for k, u in VITALS])
-    chain = chain.when(file_name.isin("triage", "vitalsign"), vitals)
-
-    def demographic(name: str) -> Column:
-        raw = _get(attrs, (name,))
-        return F.coalesce(text.mapped(F.upper(raw), SEXES), raw) if name == "gender" else raw
-
-    person = F.array(*[_row(F.lit(label), demographic(k), F.lit(u)) for k, label, u in DEMOGRAPHICS])
-    chain = chain.when(file_name == "patients", person)
     return F.filter(chain, lambda r: r["item"].isNotNull() & (r["item"] != "") & r["value"].isNotNull())
 
 
 def hospital_table(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Measurement rows of hospital source rows. `rows`: file_name, starttime, attrs and the `keep` columns."""
     categories = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    known = rows.where(F.col("file_name").isin(*CATEGORIES)).withColumn("attrs", known_attributes(F.col("attrs")))
+    known = rows.where(F.col("file_name").isin(*CATEGORIES))
     exploded = known.select(
         *keep, "file_name", "starttime", F.posexplode(hospital_rows(F.col("file_name"), F.col("attrs"))).alias("part", "r")
     )

@@ -84,7 +84,9 @@ def scan(
 ) -> DataFrame:
     """Running values per key in `order` (all ascending, or all descending).
 
-    `order` must be a total order within a key and `keys` must not be null.
+    `order` must be a total order within a key and `keys` must not be null. A given `bucket` must follow the
+    order and costs no job of its own; without one the rows are cut by range, which also splits a key whose
+    rows crowd into one bucket (many rows at one time, say).
     """
     rows = range_buckets(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
     parts = [*keys, BUCKET]
@@ -122,10 +124,10 @@ def position(
 
 
 def runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, name: str, bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, name: str, bucket: Column | None = None
 ) -> DataFrame:
     """Number the runs of equal `kind` per key from 0 (gaps and islands), one shuffle of the rows."""
-    rows = df.withColumn(BUCKET, bucket)
+    rows = range_buckets(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
     parts = [*keys, BUCKET]
     within = Window.partitionBy(*parts).orderBy(*order)
     change = F.coalesce((F.col(kind) != F.lag(kind).over(within)).cast("bigint"), F.lit(0).cast("bigint"))

@@ -102,16 +102,16 @@ def number_events(df: DataFrame, order: Sequence[str], bucket_seconds: int, name
 
 
 def blocks(
-    df: DataFrame, order: Sequence[str], bucket_seconds: int, first: Sequence[str] = (),
+    df: DataFrame, order: Sequence[str], bucket_seconds: int | None, first: Sequence[str] = (),
 ) -> DataFrame:
     """Consecutive rows of one source table as one block per subject.
 
     start is the first known time of the block, end its last, admission and the `first` columns are
     those of its first row. Blocks ignore admission limits. Items stay rows of their own (`block_items`),
-    so a run of any length is never gathered in one cell.
+    so a run of any length is never gathered in one cell. Without `bucket_seconds` timelines are cut by range.
     """
     place = F.struct(*order)
-    numbered = runs(df, ["subject_id"], order, "file_name", "event_idx", time_bucket(order[0], bucket_seconds))
+    numbered = block_items(df, order, bucket_seconds)
     return numbered.groupBy("subject_id", "event_idx").agg(
         F.min("file_name").alias("file_name"),
         F.min_by("time", F.when(F.col("time").isNotNull(), place)).alias("starttime"),
@@ -122,9 +122,10 @@ def blocks(
     )
 
 
-def block_items(df: DataFrame, order: Sequence[str], bucket_seconds: int) -> DataFrame:
+def block_items(df: DataFrame, order: Sequence[str], bucket_seconds: int | None) -> DataFrame:
     """The rows with their block number."""
-    return runs(df, ["subject_id"], order, "file_name", "event_idx", time_bucket(order[0], bucket_seconds))
+    bucket = None if bucket_seconds is None else time_bucket(order[0], bucket_seconds)
+    return runs(df, ["subject_id"], order, "file_name", "event_idx", bucket)
 
 
 IDX_BUCKET = 4096

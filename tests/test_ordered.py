@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortline.operators.joins import within_interval
-from cohortline.operators.ordered import Running, lookup, position, runs, scan
+from cohortline.operators.ordered import BUCKET, Running, lookup, position, range_buckets, runs, scan
 
 
 @pytest.fixture(scope="module")
@@ -48,10 +48,16 @@ def test_position_and_runs(rows):
     assert numbered.where(F.col("p") < 0).count() == 0
     same = numbered.withColumn("w", F.row_number().over(w) - 1).where("p <> w").count()
     assert same == 0
-    islands = runs(rows, ["key"], ["t", "i"], "kind", "run", F.floor(F.col("t") / 25))
     change = F.coalesce((F.lag("kind").over(w) != F.col("kind")).cast("int"), F.lit(0))
-    want = islands.withColumn("c", change).withColumn("w", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    assert want.where("run <> w").count() == 0
+    for bucket in (F.floor(F.col("t") / 25), None):
+        islands = runs(rows, ["key"], ["t", "i"], "kind", "run", bucket)
+        want = islands.withColumn("c", change).withColumn("w", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        assert want.where("run <> w").count() == 0
+
+
+def test_hot_key_is_spread(rows):
+    spread = range_buckets(rows, ["key"], ["t", "i"]).where("key = 'hot'").groupBy(BUCKET).count()
+    assert spread.count() > 1
 
 
 @pytest.mark.parametrize("strict", [False, True])
