@@ -113,9 +113,12 @@ def concept_of(seen: Column, rules=CONCEPT_RULES) -> Column:
     return reduce(lambda c, r: c.when(fires(r[1], r[2]), r[0]), rest, F.when(fires(first[1], first[2]), first[0]))
 
 
-def classify_labels(df: DataFrame, label: str) -> DataFrame:
-    """Add `concept`. The patterns run once per distinct label, not once per row."""
-    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
+def classify_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Add `concept`. The patterns run once per distinct label, not once per row.
+
+    The labels come from the item dictionary where there is one, so the rows are not read an extra time.
+    """
+    labels = (df if dictionary is None else dictionary).select(label).where(F.col(label).isNotNull()).distinct()
     seen = labels.withColumn("_seen", text.rule_text(F.col(label)))
     concepts = seen.select(label, concept_of(F.col("_seen")).alias("concept")).where(F.col("concept").isNotNull())
     return df.join(concepts, label)

@@ -297,7 +297,8 @@ prevalence AS (SELECT *, CAST(entity_count AS DOUBLE) / scanned_entities AS p FR
 
 
 def center_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concepts.with_compatible_unit(concepts.classify_labels(center_rows(spark, sf_dir), "item"), "unit")
+    dictionary = b.table(spark, sf_dir, "part").select(text.mapped(F.col("p_type"), CENTER_LABELS).alias("item"))
+    return concepts.with_compatible_unit(concepts.classify_labels(center_rows(spark, sf_dir), "item", dictionary), "unit")
 
 
 def scanned_entities(rows: DataFrame) -> DataFrame:
