@@ -192,11 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each component: that with its smallest id. All columns stay as they are.
 
-    Rows repeated under one id are one document. Documents without an id are dropped where their component has one, and
-    else stay, since nothing tells them apart.
+    Rows repeated under one id are one document. Documents without an id stay, since nothing tells them apart.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone_ids = gone.where("doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone_ids, F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
