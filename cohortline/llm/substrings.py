@@ -4,7 +4,7 @@ The reference is what repeats. In a first pass, each window of MIN words has an
 sequences. A window can only occur twice if its anchor does, so anchors are counted, and a bitmap of fixed size tells later passes
 which windows may repeat. Those windows are counted by 96 bits; of each that repeats, the document with the smallest row
 number gives its text to the reference. The reference is cut into shards of bounded size. Documents stream past the suffix automata
-of the shards that share a long sequence with them; where the matching statistic reaches MIN words, the span goes.
+of the shards that hold a home of one of their windows; where the matching statistic reaches MIN words, the span goes.
 """
 
 from __future__ import annotations
@@ -12,18 +12,19 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortline.llm.common import Memo, row_function, utf8, values, words
+from cohortline.llm.common import row_function, utf8, values, words
 from cohortline.session import cut, scratch_path
 
 MIN = 35
-#: Words of an anchor, and of the sequences by which documents find shards
-ANCHOR, ROUTE = 16, 30
+#: Words of an anchor
+ANCHOR = 16
 #: The bitmap of repeated anchors has 2 ** FILTER_BITS bits: 16 MB. It lets more through if it fills, never less.
 FILTER_BITS = 27
 BLOCK_BITS = 20
@@ -53,15 +54,38 @@ class Powers:
         return self.held[0][:n], self.held[1][:n]
 
 
+#: Bytes that part words, and bytes of a text hashed at a time
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOT = 1 << 22
+
+
+def located(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~SPACE[np.frombuffer(raw, np.uint8)]
+    steps = np.diff(inside)
+    return np.flatnonzero(steps > 0), np.flatnonzero(steps < 0)
+
+
 class Hashes:
-    """Hashes of all runs of n words of a text, from the hashes of its words."""
+    """Hashes of all words, and of all runs of n words, of a text."""
 
     def __init__(self):
-        self.of_word = Memo(xxhash.xxh64_intdigest)
         self.powers = (Powers(P1), Powers(P2))
 
-    def words(self, parts: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.of_word.__getitem__, parts), np.uint64, len(parts))
+    def words(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One number for each word, wherever it stands; long texts in lots that end between words."""
+        found, first = [], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + LOT)))
+            low, high = int(starts[first]), int(ends[last - 1])
+            up, down = self.powers[0](high - low + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((np.frombuffer(raw, np.uint8, high - low, low).astype(np.uint64) + np.uint64(1)) * up[:high - low], out=total[1:])
+            a, b = starts[first:last] - low, ends[first:last] - low
+            found.append(mixed((total[b] - total[a]) * down[a]))
+            first = last
+        return np.concatenate(found) if found else np.empty(0, np.uint64)
 
     def runs(self, h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
         """One number for each run of n words; equal runs have equal numbers wherever they stand."""
@@ -87,10 +111,10 @@ def window_keys(hashes: Hashes, h: np.ndarray, n: int, size: int) -> tuple[np.nd
 
 def anchors(text: bytes, hashes: Hashes, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchors of a text's windows and at how many places each stands."""
-    parts = words(text)
-    if len(parts) < n:
+    starts, ends = located(text)
+    if len(starts) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys, inner = window_keys(hashes, hashes.words(parts), n, size)
+    keys, inner = window_keys(hashes, hashes.words(text, starts, ends), n, size)
     width = n - size + 1
     low = np.zeros(width - 1, np.uint64)
     highest = least(np.concatenate((low, keys, low)), width, np.maximum)
@@ -254,6 +278,15 @@ SCANNED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.IntegerType())), T.StructField("sha", T.StringType())])
 GONE = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("text", T.BinaryType())])
 
+PASSING = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("texts", T.ArrayType(T.BinaryType()))])
+
+
+def pieces_of(raw: bytes, runs: list[int], wanted: list[int]) -> tuple[list[int], list[bytes]]:
+    """The wanted ones of a text's runs: the word each starts at, and its words."""
+    starts, ends = located(raw)
+    wanted = sorted(wanted)
+    return [runs[2 * k] for k in wanted], [raw[starts[runs[2 * k]]:ends[runs[2 * k + 1] - 1]] for k in wanted]
+
 
 def digest(parts: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(parts)).hexdigest()
@@ -262,22 +295,13 @@ def digest(parts: list[bytes]) -> str:
 def without(raw: bytes, spans: list[int]) -> tuple[int, str, bytes]:
     """Words removed, digest of the kept ones, and the text without the removed words and the white space after them."""
     parts = words(raw)
+    if not spans:
+        return 0, digest(parts), raw
     gone = cover(spans, len(parts))
-    kept = [p for p, g in zip(parts, gone.tolist(), strict=True) if not g]
-    left, at = [], 0
-    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-    starts, place = [], 0
-    if edges:
-        for p in parts:
-            place = raw.index(p, place)
-            starts.append(place)
-            place += len(p)
-        starts.append(len(raw))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            left.append(raw[at:starts[a]])
-            at = starts[b]
-    left.append(raw[at:])
-    return int(gone.sum()), digest(kept), b"".join(left)
+    starts = np.append(located(raw)[0], len(raw))
+    edges = starts[np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))].tolist()
+    left = [raw[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(raw)], strict=True)]
+    return int(gone.sum()), digest(list(compress(parts, (~gone).tolist()))), b"".join(left)
 
 
 def repeats(docs: DataFrame, keep: list[str], text_col: str, whole: bool, n: int = MIN, filter_bits: int = FILTER_BITS, shard: int = SHARD, stream: int = STREAM) -> DataFrame:
@@ -295,12 +319,12 @@ def repeats(docs: DataFrame, keep: list[str], text_col: str, whole: bool, n: int
         hashes, bits = Hashes(), np.frombuffer(sent.value, np.uint8)
 
         def one(raw: bytes) -> tuple:
-            parts = words(raw)
-            if len(parts) < n:
-                return len(parts), [], digest(parts)
-            keys, _ = window_keys(hashes, hashes.words(parts), n, ANCHOR)
+            starts, ends = located(raw)
+            if len(starts) < n:
+                return len(starts), [], digest(words(raw))
+            keys, _ = window_keys(hashes, hashes.words(raw, starts, ends), n, ANCHOR)
             runs = spans_of(is_set(bits, keys, filter_bits), n)
-            return len(parts), runs, None if runs else digest(parts)
+            return len(starts), runs, None if runs else digest(words(raw))
 
         return one
 
@@ -320,11 +344,11 @@ def repeats(docs: DataFrame, keep: list[str], text_col: str, whole: bool, n: int
         for batch in batches:
             held, size = [], 0
             for rid, raw, runs in zip(*(values(batch.column(c)) for c in ("rid", "text", "runs")), strict=True):
-                parts = words(raw)
-                for a, b in zip(runs[::2], runs[1::2], strict=True):
-                    h = hashes.words(parts[a:b])
+                starts, ends = located(raw)
+                for k, (a, b) in enumerate(zip(runs[::2], runs[1::2], strict=True)):
+                    h = hashes.words(raw, starts[a:b], ends[a:b])
                     keys = hashes.runs(h, n)
-                    held.append((keys, (hashes.runs(h, n, 1) >> np.uint64(32)).astype(np.uint32), np.full(len(keys), rid, np.int64)))
+                    held.append((keys, (hashes.runs(h, n, 1) >> np.uint64(32)).astype(np.uint32), np.full(len(keys), rid, np.int64), np.full(len(keys), k, np.int32)))
                     size += len(keys)
                 if size > 200_000:
                     yield put(held)
@@ -333,68 +357,57 @@ def repeats(docs: DataFrame, keep: list[str], text_col: str, whole: bool, n: int
                 yield put(held)
 
     def put(held: list) -> pa.RecordBatch:
-        key, check, rid = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(rid)], names=["key", "mark", "rid"])
+        key, check, rid, run = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int32)), pa.array(rid), pa.array(run)], names=["key", "mark", "rid", "run"])
 
-    counted = able.mapInArrow(windows, "key long, mark int, rid long").groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")).where("n > 1")
+    every = able.mapInArrow(windows, "key long, mark int, rid long, run int")
+    counted = every.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")).where("n > 1")
+    counted = cut(counted.select("key", "rid"))
     homes = counted.groupBy("rid").agg(F.collect_list("key").alias("keys")).join(able, "rid").select("rid", "keys", "text", "runs")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
             for rid, own, raw, runs in zip(*(values(batch.column(c)) for c in ("rid", "keys", "text", "runs")), strict=True):
-                parts, own, out = words(raw), np.array(own, np.int64), []
+                starts, ends = located(raw)
+                own, out = np.array(own, np.int64), []
                 for a, b in zip(runs[::2], runs[1::2], strict=True):
-                    h = hashes.words(parts[a:b])
-                    routes = window_keys(hashes, h, n, ROUTE)[0]
-                    hit = np.isin(hashes.runs(h, n).view(np.int64), own)
+                    hit = np.isin(hashes.runs(hashes.words(raw, starts[a:b], ends[a:b]), n).view(np.int64), own)
                     edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).tolist()
                     for first, last in zip(edges[::2], edges[1::2], strict=True):
                         for at in range(first, last, PIECE):
-                            end = min(last, at + PIECE)
+                            end = min(last, at + PIECE) + n - 2
                             place = xxhash.xxh64_intdigest(f"{rid}:{(a + at) // PIECE}") % shards
-                            out.append((place, b" ".join(parts[a + at:a + end + n - 1]), np.unique(routes[at:end]).view(np.int64)))
+                            out.append((place, raw[starts[a + at]:ends[a + end]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
-                    names=["shard", "passage", "routes"])
+                    [pa.array([rid] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())],
+                    names=["home", "shard", "passage"])
 
     path = scratch_path(spark, "reference")
-    homes.mapInArrow(passages, "shard int, passage binary, routes array<long>").write.option("compression", "zstd").parquet(path)
-    reference = spark.read.parquet(path)
-    routes = reference.select("shard", F.explode("routes").alias("route")).distinct()
-
-    def routed(raw: bytes, runs: list[int]) -> list[int]:
-        parts = words(raw)
-        return np.unique(np.concatenate([window_keys(hashes_of(), hashes_of().words(parts[a:b]), n, ROUTE)[0] for a, b in zip(runs[::2], runs[1::2], strict=True)])).view(np.int64).tolist()
-
-    held_hashes: list[Hashes] = []
-
-    def hashes_of() -> Hashes:
-        if not held_hashes:
-            held_hashes.append(Hashes())
-        return held_hashes[0]
-
-    asked = able.select("rid", F.explode(row_function(lambda: routed, T.ArrayType(T.LongType()))(F.col("text"), F.col("runs"))).alias("route"))
-    pairs = cut(asked.join(routes, "route").select("rid", "shard").distinct())
-    spoken = F.expr("aggregate(sequence(0, size(runs) div 2 - 1), 0L, (s, k) -> s + runs[2 * k + 1] - runs[2 * k])")
-    texts = pairs.join(able, "rid").select("shard", "rid", "text", "runs", spoken.alias("n"))
-    loads = pairs.join(able.select("rid", spoken.alias("n")), "rid").groupBy("shard").agg(F.ceil(F.sum("n") / stream).cast("int").alias("salts"))
-    passing = texts.join(loads, "shard").select("shard", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "rid", "text", "runs")
+    homes.mapInArrow(passages, "home long, shard int, passage binary").write.option("compression", "zstd").parquet(path)
+    reference = spark.read.schema("home long, shard int, passage binary").parquet(path)
+    near = every.select("key", "rid", "run").join(counted.withColumnRenamed("rid", "home"), "key").select("rid", "run", "home").distinct()
+    pairs = near.join(reference.select("home", "shard").distinct(), "home").groupBy("rid", "shard").agg(F.collect_set("run").alias("wanted"))
+    pairs = cut(pairs)
+    spoken = F.expr("aggregate(wanted, 0L, (s, k) -> s + runs[2 * k + 1] - runs[2 * k])")
+    loads = cut(pairs.join(able.select("rid", "runs"), "rid").groupBy("shard").agg(F.ceil(F.sum(spoken) / stream).cast("int").alias("salts")))
+    salted = pairs.join(loads, "shard").select("rid", "shard", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), "wanted")
+    passing = salted.join(able, "rid").select("shard", "salt", F.lit(1).alias("kind"), "rid", row_function(lambda: pieces_of, PASSING)(F.col("text"), F.col("runs"), F.col("wanted")).alias("p"))
+    passing = passing.select("shard", "salt", "kind", "rid", "p.starts", "p.texts")
     copies = reference.join(loads, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"),
-                                                   F.lit(None).cast("long").alias("rid"), F.col("passage").alias("text"), F.lit(None).cast("array<int>").alias("runs"))
+                                                   F.lit(None).cast("long").alias("rid"), F.array().cast("array<int>").alias("starts"), F.array("passage").alias("texts"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, automaton = None, Automaton()
         for batch in batches:
             rids, found = [], []
-            for place, salt, kind, rid, raw, runs in zip(*(values(batch.column(c)) for c in ("shard", "salt", "kind", "rid", "text", "runs")), strict=True):
+            for place, salt, kind, rid, starts, texts in zip(*(values(batch.column(c)) for c in ("shard", "salt", "kind", "rid", "starts", "texts")), strict=True):
                 if at != (place, salt):
                     at, automaton = (place, salt), Automaton()
-                parts = words(raw)
                 if kind == 0:
-                    automaton.add(parts)
+                    automaton.add(words(texts[0]))
                     continue
-                spans = [x + a for a, b in zip(runs[::2], runs[1::2], strict=True) for x in automaton.matches(parts[a:b], n)]
+                spans = [x + a for a, raw in zip(starts, texts, strict=True) for x in automaton.matches(words(raw), n)]
                 if spans:
                     rids.append(rid)
                     found.append(spans)
