@@ -127,6 +127,8 @@ class Scorer:
         self.known: dict[str, float] = {}
         for gram, own in sorted(rows, key=lambda x: len(x[0])):
             self.known[gram] = own + (self.rest[gram[:-1]] * self.probability(gram[1:]) if len(gram) > 1 else self.flat)
+        #: Negative log probability of an n-gram's last symbol; and of a word, with its number of symbols as the imaginary part
+        self.last = Memo(lambda gram: -log(self.probability(gram)))
         self.words = Memo(self.of_word)
 
     def probability(self, gram: str) -> float:
@@ -141,18 +143,20 @@ class Scorer:
                 share *= self.rest.get(near[:-1], 1.0)
         return share * self.flat
 
-    def of_word(self, word: bytes) -> tuple[float, int]:
-        total, n = 0.0, 0
+    def of_word(self, word: bytes) -> complex:
+        total, n, order = 0.0, 0, self.order
         for piece in pieces_of(word):
             marked = START + piece + END
-            for k in range(1, len(marked)):
-                total -= log(self.probability(marked[max(0, k - self.order + 1):k + 1]))
-            n += len(marked) - 1
-        return total, n
+            size = len(marked)
+            near = [marked[:k] for k in range(2, min(order, size + 1))]
+            near += [marked[k:k + order] for k in range(size - order + 1)]
+            total += sum(map(self.last.__getitem__, near))
+            n += size - 1
+        return complex(total, n)
 
     def __call__(self, raw: bytes) -> tuple[float, int]:
-        found = list(map(self.words.__getitem__, words(raw)))
-        return sum(x[0] for x in found), sum(x[1] for x in found)
+        found = sum(map(self.words.__getitem__, words(raw)), 0j)
+        return found.real, int(found.imag)
 
 
 SCORE = T.StructType([T.StructField("nll", T.DoubleType()), T.StructField("symbols", T.LongType())])

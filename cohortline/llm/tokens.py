@@ -10,9 +10,18 @@ from pyspark.sql.types import BinaryType, LongType
 
 from cohortline.llm.common import Memo, row_function, utf8, words
 
-#: How the tokenizer cuts printable ASCII after lower-casing; fixed by the vocabulary file's own pre-tokenizer.
-ASCII_PIECES = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
-PRINTABLE = re.compile(rb"[!-~]*")
+#: How the tokenizer cuts lower-case words of printable ASCII and Latin letters; fixed by the vocabulary file's own pre-tokenizer
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^a-zà-öø-ſ0-9]+"
+#: Words that its normalizer changes by lower-casing alone: no character here composes with another (İ becomes two)
+PLAIN = "[!-~À-ÖØ-ſ]*"
+UNEVEN = "İ"
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def load(path: str):
@@ -25,34 +34,56 @@ def load(path: str):
     return tokenizer
 
 
-def whole_tokens(path: str) -> frozenset[bytes]:
+def whole_tokens(path: str) -> frozenset[str]:
     """The proof, made once per vocabulary: the strings that the tokenizer encodes, alone, as one token.
 
-    Each vocabulary entry that ends a word is decoded and encoded again; it is kept if one token results. Only
-    printable lower-case ASCII is kept, so a match needs no normalization. The set is bounded by the vocabulary.
+    Each vocabulary entry that ends a word is decoded and encoded again; it is kept if one token results and its normalized
+    form is itself, so that a pre-token equal to it counts one. The set is bounded by the vocabulary.
     """
-    tokenizer = load(path)
-    ends = (x[:-4].encode() for x in tokenizer.get_vocab(with_added_tokens=False) if x.endswith("</w>"))
-    able = [x for x in ends if x and PRINTABLE.fullmatch(x) and x == x.lower()]
-    encoded = tokenizer.encode_batch([x.decode() for x in able], add_special_tokens=False)
+    tokenizer, bytes_of = load(path), {c: b for b, c in byte_letters().items()}
+    able = []
+    for entry in tokenizer.get_vocab(with_added_tokens=False):
+        try:
+            text = bytes(bytes_of[c] for c in entry[:-4]).decode() if entry.endswith("</w>") else ""
+        except UnicodeDecodeError:
+            continue
+        if text and re.fullmatch(PLAIN, text) and text == text.lower():
+            able.append(text)
+    encoded = tokenizer.encode_batch(able, add_special_tokens=False)
     return frozenset(x for x, e in zip(able, encoded, strict=True) if len(e.ids) == 1)
 
 
-def counter(path: str, whole: frozenset[bytes]):
+class Pieces:
+    """Cuts a word as the tokenizer does, or says that the library has to."""
+
+    def __init__(self, tokenizer):
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.plain, self.cut, self.letters = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall, byte_letters()
+
+    def __call__(self, word: str) -> list[str] | None:
+        if not self.plain(word) or UNEVEN in word or ("<" in word and any(s in word for s in self.special)):
+            return None
+        return self.cut(word.lower())
+
+    def coded(self, piece: str) -> str:
+        return piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+
+
+def counter(path: str, whole: frozenset[str]):
     """A function from a text's bytes to its number of tokens.
 
     White space parts words for every rule of the tokenizer, so a text's count is the sum over its words. A word is
     cut into pre-tokens; those in `whole` count one, only the rest is merged. A word with other characters than
-    printable ASCII, or with a special string, goes to the library as it is.
+    printable ASCII and Latin letters, or with a special string, goes to the library as it is.
     """
-    tokenizer, cut = load(path), re.compile(ASCII_PIECES)
-    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-    merged = Memo(lambda piece: 1 if piece in whole else len(tokenizer.model.tokenize(piece.decode())))
+    tokenizer = load(path)
+    pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
+    merged = Memo(lambda piece: 1 if piece in whole else len(merge(pieces.coded(piece))))
 
     def of(word: bytes) -> int:
-        if PRINTABLE.fullmatch(word) and not any(s in word for s in special):
-            return sum(map(merged.__getitem__, cut.findall(word.lower())))
-        return len(tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        text = word.decode("utf-8", "replace")
+        found = pieces(text)
+        return len(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else sum(map(merged.__getitem__, found))
 
     counts = Memo(of)
     return lambda text: sum(map(counts.__getitem__, words(text)))
@@ -65,9 +96,18 @@ def n_tokens(spark: SparkSession, text: str | Column, path: str) -> Column:
 
 
 def encoder(path: str):
-    """A function from a text's bytes to its ids as little-endian unsigned 32-bit numbers, word by word."""
+    """A function from a text's bytes to its ids as little-endian unsigned 32-bit numbers, word by word and piece by piece."""
     tokenizer = load(path)
-    ids = Memo(lambda word: array("I", tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes(), 100_000)
+    pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
+    packed = lambda ids: array("I", ids).tobytes()
+    merged = Memo(lambda piece: packed([t.id for t in merge(pieces.coded(piece))]), 150_000)
+
+    def of(word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        found = pieces(text)
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(merged.__getitem__, found))
+
+    ids = Memo(of, 150_000)
     return lambda text: b"".join(map(ids.__getitem__, words(text)))
 
 
