@@ -11,10 +11,9 @@ from pyspark.sql.types import BinaryType, LongType
 from cohortline.llm.common import Memo, row_function, utf8, words
 
 #: How the tokenizer cuts lower-case words of printable ASCII and Latin letters; fixed by the vocabulary file's own pre-tokenizer
-PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ſ]+|[0-9]|[^a-zà-öø-ſ0-9]+"
-#: Words that its normalizer changes by lower-casing alone: no character here composes with another (İ becomes two)
-PLAIN = "[!-~À-ÖØ-ſ]*"
-UNEVEN = "İ"
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+"
+#: Words that its normalizer changes by lower-casing alone: no character here composes with another, and İ, which becomes two, is out
+PLAIN = "[!-~À-ÖØ-įı-ſ]*"
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +60,7 @@ class Pieces:
         self.plain, self.cut, self.letters = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall, byte_letters()
 
     def __call__(self, word: str) -> list[str] | None:
-        if not self.plain(word) or UNEVEN in word or ("<" in word and any(s in word for s in self.special)):
+        if not self.plain(word) or ("<" in word and any(s in word for s in self.special)):
             return None
         return self.cut(word.lower())
 
@@ -100,14 +99,14 @@ def encoder(path: str):
     tokenizer = load(path)
     pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
     packed = lambda ids: array("I", ids).tobytes()
-    merged = Memo(lambda piece: packed([t.id for t in merge(pieces.coded(piece))]), 150_000)
+    merged = Memo(lambda piece: packed([t.id for t in merge(pieces.coded(piece))]), 300_000)
 
     def of(word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         found = pieces(text)
         return packed(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(merged.__getitem__, found))
 
-    ids = Memo(of, 150_000)
+    ids = Memo(of, 300_000)
     return lambda text: b"".join(map(ids.__getitem__, words(text)))
 
 
