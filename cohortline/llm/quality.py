@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from cohortline.llm.common import Memo, row_function, utf8, values, words
+from cohortline.llm.substrings import bitmap
 from cohortline.session import cut
 
 ORDER = 5
@@ -29,6 +30,8 @@ LONGEST = 64
 QUANTILE, SLACK = 0.99, 0.10
 #: Symbols of the language's usual perplexity that each document is mixed with, so that few words decide nothing
 PRIOR = 100.0
+#: Bits of the bitmap of trusted ids, 2 MB
+FILTER_BITS = 24
 #: Log perplexities are ordered in steps of this size
 STEP = 0.001
 NO_LANG = "und"
@@ -201,6 +204,20 @@ def verdict(score: Column, lang: Column, known: dict[str | None, tuple[float, fl
     return value, most, value <= most
 
 
+def labelled(good: DataFrame, own: Column, bits: int = FILTER_BITS) -> Column:
+    """False for most ids that aren't among the good ones, so that their texts don't move; never false for one that is.
+
+    A bitmap of hashes, of one size whatever the number of ids, is broadcast; the join that follows is exact.
+    """
+    sent = good.sparkSession.sparkContext.broadcast(bitmap(good.select(F.xxhash64(F.col("_id").cast("string")).alias("anchor")), bits))
+
+    def maybe():
+        held, last = sent.value, (1 << bits) - 1
+        return lambda h: bool(held[(h & last) >> 3] >> (7 - (h & 7)) & 1)
+
+    return row_function(maybe, T.BooleanType())(F.xxhash64(own.cast("string")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
         slack: float = SLACK, prior: float = PRIOR, order: int = ORDER, most: int = MOST_NGRAMS) -> tuple[Column, DataFrame, dict]:
     """Train, score every document, and find the limits: (score column for docs, written scores, limits).
@@ -209,8 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are id, lang, nll, symbols.
     """
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("_id")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    column = scores(docs, model(plain.join(good, F.col("id") == F.col("_id"), "left_semi"), "text", order, most), text_col, order)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(labelled(good, F.col(id_col)))
+    trusted = plain.join(good.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
+    column = scores(docs, model(trusted, "text", order, most), text_col, order)
     scored = cut(docs.select(F.col(id_col).alias("id"), language(lang_col).alias("lang"), column.alias("s")).select("id", "lang", "s.*"))
     marked = scored.join(good.withColumn("trusted", F.lit(True)), F.col("id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     return column, scored, limits(marked, quantile, slack, prior)
