@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cohortline.functions.text import stripped
+
 # Fixed value: what a number looks like in a text cell (no type suffix, no hex).
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Fixed value: a number inside running text.
@@ -12,7 +14,7 @@ NUMBER_IN_TEXT = r"-?\d+(?:\.\d+)?"
 
 def to_number(value: Column) -> Column:
     """Number in a text cell, null for anything else."""
-    text = F.trim(value.cast("string"))
+    text = stripped(value.cast("string"))
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 

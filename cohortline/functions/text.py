@@ -16,14 +16,23 @@ NEGATIVE_TEXT = ("no", "false", "0", "0.0", "n")
 DECEASED_TEXT = ("true", "1", "yes", "y", "死亡", "deceased", "dead")
 
 
+# All Unicode white space (no-break and ideographic blanks too) and the ASCII separators.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def stripped(value: Column) -> Column:
+    """The text without white space of any script at its ends."""
+    return F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
 def squeezed(value: Column) -> Column:
-    """Trimmed, lower-case, runs of white space as one space."""
-    return F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    """Stripped, lower-case, runs of white space as one space."""
+    return F.regexp_replace(F.lower(stripped(value)), rf"(?U){SPACE}+", " ")
 
 
 def clean_text(value: Column, missing: Iterable[str] = MISSING_TEXT) -> Column:
-    """Trimmed text; any spelling of a missing value becomes the empty text."""
-    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    """Stripped text; any spelling of a missing value becomes the empty text."""
+    text = stripped(F.coalesce(value.cast("string"), F.lit("")))
     return F.when(F.lower(text).isin(*missing), F.lit("")).otherwise(text)
 
 
@@ -33,18 +42,18 @@ def item_key(value: Column) -> Column:
 
 def unit_key(value: Column) -> Column:
     """Unit for counting: both micro signs as u, no white space at all."""
-    return F.regexp_replace(F.translate(F.lower(clean_text(value)), "μµ", "uu"), r"\s+", "")
+    return F.regexp_replace(F.translate(F.lower(clean_text(value)), "μµ", "uu"), rf"(?U){SPACE}+", "")
 
 
 def unit_key_loose(value: Column) -> Column:
     """Unit for cross-center discovery: a trailing bracket is dropped, inner spaces stay."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(clean_text(value)), "μµ", "uu"), r"\s*\(.*\)\s*$", ""))
+    return stripped(F.regexp_replace(F.translate(F.lower(clean_text(value)), "μµ", "uu"), rf"(?U){SPACE}*\(.*\){SPACE}*$", ""))
 
 
 def rule_text(value: Column) -> Column:
     """Label as the concept rules see it: `_`, `-` and `/` read as a space."""
-    spaced = F.regexp_replace(F.lower(F.trim(value)), r"[_\-/]+", " ")
-    return F.regexp_replace(spaced, r"\s+", " ")
+    spaced = F.regexp_replace(F.lower(stripped(value)), r"[_\-/]+", " ")
+    return F.regexp_replace(spaced, rf"(?U){SPACE}+", " ")
 
 
 def unquoted(value: Column) -> Column:
@@ -82,7 +91,7 @@ def phenotype_key(item: Column, unit: Column, statistic: Column) -> Column:
 
 
 def _unit_only(unit: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(F.trim(unit)), "μµ", "uu"), r"\s+", "")
+    return F.regexp_replace(F.translate(F.lower(F.trim(unit)), "μµ", "uu"), rf"(?U){SPACE}+", "")
 
 
 def row_digest(*parts: Column) -> Column:

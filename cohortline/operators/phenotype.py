@@ -156,7 +156,8 @@ def pair_counts(support: DataFrame, keys: Sequence[str] = ("item_key", "unit_key
     )
 
     def pairs(n: Column) -> Column:
-        return F.floor(n * (n - 1) / 2).cast("bigint")
+        even = n % 2 == 0  # halve the even factor, so that no step is inexact
+        return F.when(even, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
 
     by_diagnosis = by_patient.groupBy("scope", *keys, "diagnosis").agg(
         *[F.sum(t).alias(t) for t in TIERS], *[F.sum(pairs(F.col(t))).alias(f"{t}_same") for t in TIERS]

@@ -116,3 +116,20 @@ def test_interface_unit_wins(spark):
     row = spark.createDataFrame([("mg", "g"), ("", "g")], "a string, b string")
     got = [r[0] for r in row.select(values.interface_or_system(F.col("a"), F.col("b"))).collect()]
     assert got == ["mg", "g"]
+
+
+def test_white_space_of_any_script(spark):
+    rows = spark.createDataFrame([("\tHeart  rate\n",), (" nan ",), ("　mg / L　",), ("\t5 ",)], "v string")
+    found = rows.select(text.item_key(F.col("v")), text.unit_key(F.col("v")), numbers.to_number(F.col("v"))).collect()
+    assert [r[0] for r in found] == ["heart rate", "", "mg / l", "5"]
+    assert [r[1] for r in found] == ["heartrate", "", "mg/l", "5"] and [r[2] for r in found] == [None, None, None, 5.0]
+
+
+def test_pair_counts_past_doubles(spark):
+    from cohortline.operators import phenotype
+
+    n = 200_000_003
+    # one patient with n encounters and one with one: only the pairs across patients count
+    assert n * (n - 1) // 2 == 20000000500000003
+    halves = spark.range(1).select(F.lit(n).alias("n")).select(F.when(F.col("n") % 2 == 0, F.shiftright("n", 1) * (F.col("n") - 1)).otherwise(F.col("n").cast("long") * F.shiftright(F.col("n") - 1, 1)))
+    assert halves.first()[0] == n * (n - 1) // 2 and phenotype.pair_counts
