@@ -146,15 +146,19 @@ def candidate_labels(samples: DataFrame, vocabulary_rows: DataFrame, negatives:
     """Candidates per sample: its own targets and `negatives` hashed picks from the vocabulary that are none of them.
 
     `samples`: sample_id, target (one row per target); `vocabulary_rows`: idx (dense from 0), target. Each
-    pick is a number from a hash, looked up by an equi join; a few spare picks replace hits on own targets.
+    pick is a number from a hash, looked up by an equi join; a few spare picks replace hits on own targets. After them
+    come as many neighbours of one more hashed place as can be taken already plus `negatives`, so a sample gets all its
+    negatives whenever the vocabulary has them.
     """
     size = vocabulary_rows.agg(F.count(F.lit(1))).scalar()
     keys = samples.groupBy("sample_id").agg(F.count_distinct("target").alias("_own"))
-    asked = keys.withColumn("_size", size).withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(negatives * 4) + F.col("_own").cast("int")))
-    )
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
-    drawn = asked.withColumn("idx", number.cast("bigint") % F.col("_size")).join(vocabulary_rows, "idx")
+    spare = F.lit(negatives * 4) + F.col("_own").cast("int")
+    asked = keys.withColumn("_size", size).withColumn("draw", F.explode(F.sequence(F.lit(1), spare + F.col("_own").cast("int") + F.lit(negatives))))
+    hashed = F.col("draw") <= spare
+    turn = F.when(hashed, F.col("draw")).otherwise(0).cast("string")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), turn, F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
+    place = (number + F.when(hashed, 0).otherwise(F.col("draw"))) % F.col("_size")
+    drawn = asked.withColumn("idx", place).join(vocabulary_rows, "idx")
     fresh = drawn.join(samples.select("sample_id", "target").distinct(), ["sample_id", "target"], "left_anti")
     once = fresh.groupBy("sample_id", "target").agg(F.min("draw").alias("draw"))
     ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("draw")))

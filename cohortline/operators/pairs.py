@@ -16,13 +16,13 @@ GROUP = ["split", "query_id", "scope", "diagnosis"]
 
 
 def hashed_number(*parts: Column) -> Column:
-    """Whole number below 2^32 from a hash of the parts."""
+    """Whole number below 2^60 from a hash of the parts."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def hashed_unit(*parts: Column) -> Column:
-    return hashed_number(*parts) / F.lit(float(2**32))
+    return hashed_number(*parts) / F.lit(float(2**60))
 
 
 def pair_groups(values: DataFrame) -> DataFrame:

@@ -140,6 +140,11 @@ def merge_support(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("ite
     )
 
 
+def pairs_among(n: Column) -> Column:
+    """C(n, 2) of a bigint: the even factor is halved, so that no step is inexact."""
+    return F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+
+
 def pair_counts(support: DataFrame, keys: Sequence[str] = ("item_key", "unit_key")) -> DataFrame:
     """Exact pairs of encounters of different patients within (scope, phenotype, diagnosis), for all tiers at once.
 
@@ -155,19 +160,15 @@ def pair_counts(support: DataFrame, keys: Sequence[str] = ("item_key", "unit_key
         *[F.count(F.when(fits[t], 1)).alias(t) for t in TIERS]
     )
 
-    def pairs(n: Column) -> Column:
-        even = n % 2 == 0  # halve the even factor, so that no step is inexact
-        return F.when(even, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
-
     by_diagnosis = by_patient.groupBy("scope", *keys, "diagnosis").agg(
-        *[F.sum(t).alias(t) for t in TIERS], *[F.sum(pairs(F.col(t))).alias(f"{t}_same") for t in TIERS]
+        *[F.sum(t).alias(t) for t in TIERS], *[F.sum(pairs_among(F.col(t))).alias(f"{t}_same") for t in TIERS]
     )
     by_phenotype = by_diagnosis.groupBy("scope", *keys).agg(
         *[
             F.struct(
                 F.sum(t).alias("eligible_encounters"),
                 F.count(F.when(F.col(t) > 0, 1)).alias("diagnosis_clusters"),
-                F.sum(pairs(F.col(t)) - F.col(f"{t}_same")).alias("pair_count"),
+                F.sum(pairs_among(F.col(t)) - F.col(f"{t}_same")).alias("pair_count"),
             ).alias(t)
             for t in TIERS
         ]

@@ -83,7 +83,7 @@ def pair_subject_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roll(purpose: str) -> str:
-    return f"('0x' || substr(md5('42|' || query_id || '|' || draw || '|{purpose}'), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5('42|' || query_id || '|' || draw || '|{purpose}'), 1, 15))::BIGINT"
 
 
 @query(
@@ -98,7 +98,7 @@ def roll(purpose: str) -> str:
     cq AS (SELECT query_id FROM (SELECT DISTINCT query_id, query_id // 6 AS it FROM groups) WHERE it IN (
       SELECT it FROM (SELECT DISTINCT query_id, query_id // 6 AS it FROM groups) GROUP BY it HAVING count(*) = 6)),
     d0 AS (SELECT query_id, CAST(draw AS INTEGER) AS draw FROM cq, range(8) r(draw)),
-    d1 AS (SELECT d0.*, wt.scope, greatest({roll('group')} / 4294967296.0 * tw, pow(2, -52)) AS th FROM d0 JOIN wt USING (query_id) WHERE si = {roll('scope')} % ns),
+    d1 AS (SELECT d0.*, wt.scope, greatest({roll('group')} / 1152921504606846976.0 * tw, pow(2, -52)) AS th FROM d0 JOIN wt USING (query_id) WHERE si = {roll('scope')} % ns),
     d2 AS (SELECT d1.*, (SELECT arg_min(struct_pack(g := group_id, p := patient_count), cumulative_weight) FROM groups g WHERE g.split = 'train' AND g.query_id = d1.query_id
         AND g.scope = d1.scope AND g.cumulative_weight >= th) AS gp FROM d1),
     d3 AS (SELECT query_id, draw, scope, gp.g AS group_id, {roll('left')} % gp.p AS li, {roll('right')} % (gp.p - 1) AS r0 FROM d2),
@@ -152,7 +152,7 @@ re AS (SELECT DISTINCT l_partkey AS a, CASE WHEN l_linenumber = 7 THEN l_partkey
   FROM lineitem WHERE l_linenumber <> 6),
 tr AS MATERIALIZED (SELECT a AS head_id, CAST(dense_rank() OVER (ORDER BY rel) - 1 AS INTEGER) AS relation_id, z AS tail_id FROM re
   WHERE a <> z AND a IN (SELECT concept_id FROM co) AND z IN (SELECT concept_id FROM co)),
-triples AS (SELECT *, CASE WHEN ('0x' || substr(md5('42|' || head_id || '|' || relation_id || '|' || tail_id), 1, 8))::BIGINT % 1000 < 100 THEN 'eval' ELSE 'train' END AS split FROM tr),
+triples AS (SELECT *, CASE WHEN ('0x' || substr(md5('42|' || head_id || '|' || relation_id || '|' || tail_id), 1, 15))::BIGINT % 1000 < 100 THEN 'eval' ELSE 'train' END AS split FROM tr),
 pf AS (SELECT relation_id, side, kind, name, count(*) AS n FROM (
     SELECT relation_id, 'head' AS side, 'domain' AS kind, domain_id AS name FROM tr JOIN co ON concept_id = head_id UNION ALL
     SELECT relation_id, 'head', 'vocabulary', vocabulary_id FROM tr JOIN co ON concept_id = head_id UNION ALL
@@ -182,7 +182,7 @@ def relation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neg_roll(purpose: str) -> str:
-    return f"('0x' || substr(md5('42|' || head_id || '|' || relation_id || '|' || tail_id || '|' || draw || '|{purpose}'), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5('42|' || head_id || '|' || relation_id || '|' || tail_id || '|' || draw || '|{purpose}'), 1, 15))::BIGINT"
 
 
 @query(

@@ -281,7 +281,9 @@ def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH s AS (SELECT DISTINCT l_orderkey AS sample_id, CAST(l_partkey AS VARCHAR) AS target FROM lineitem),
     v AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, CAST(p_partkey AS VARCHAR) AS target, count(*) OVER () AS n FROM part),
     k AS (SELECT sample_id, count(*) AS own FROM s GROUP BY 1),
-    d AS (SELECT sample_id, draw, ('0x' || substr(md5(sample_id || '|' || draw || '|42'), 1, 8))::BIGINT AS h FROM k, range(1, 60) r(draw) WHERE draw <= own + 12),
+    r AS (SELECT sample_id, own, unnest(range(1, 2 * own + 16)) AS draw FROM k),
+    d AS (SELECT sample_id, draw, ('0x' || substr(md5(sample_id || '|' || CASE WHEN draw <= own + 12 THEN draw ELSE 0 END || '|42'), 1, 15))::BIGINT
+      + CASE WHEN draw <= own + 12 THEN 0 ELSE draw END AS h FROM r),
     p AS (SELECT sample_id, v.target, min(draw) AS draw FROM d JOIN v ON v.idx = h % v.n GROUP BY ALL),
     c AS (SELECT p.* FROM p LEFT JOIN s ON s.sample_id = p.sample_id AND s.target = p.target WHERE s.target IS NULL
       QUALIFY row_number() OVER (PARTITION BY p.sample_id ORDER BY draw) <= 3)

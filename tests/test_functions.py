@@ -125,11 +125,18 @@ def test_white_space_of_any_script(spark):
     assert [r[1] for r in found] == ["heartrate", "", "mg/l", "5"] and [r[2] for r in found] == [None, None, None, 5.0]
 
 
-def test_pair_counts_past_doubles(spark):
-    from cohortline.operators import phenotype
-
-    n = 200_000_003
-    # one patient with n encounters and one with one: only the pairs across patients count
-    assert n * (n - 1) // 2 == 20000000500000003
-    halves = spark.range(1).select(F.lit(n).alias("n")).select(F.when(F.col("n") % 2 == 0, F.shiftright("n", 1) * (F.col("n") - 1)).otherwise(F.col("n").cast("long") * F.shiftright(F.col("n") - 1, 1)))
-    assert halves.first()[0] == n * (n - 1) // 2 and phenotype.pair_counts
+def test_pairs_past_doubles(spark):
+    from cohortline.operators.phenotype import pairs_among
+
+    given = [0, 1, 2, 3, 200_000_003, 3_000_000_000]
+    rows = spark.createDataFrame([(n,) for n in given], "n long").select("n", pairs_among(F.col("n")).alias("k")).collect()
+    assert all(r["k"] == r["n"] * (r["n"] - 1) // 2 for r in rows)
+
+
+def test_negatives_are_filled_from_a_tiny_vocabulary(spark):
+    from cohortline.operators.features import candidate_labels
+
+    samples = spark.range(400).select(F.col("id").alias("sample_id"), (F.col("id") % 6).cast("string").alias("target"))
+    vocabulary = spark.range(6).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("target"))
+    rows = candidate_labels(samples, vocabulary, 4).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("label").alias("own")).collect()
+    assert len(rows) == 400 and all((r["n"], r["own"]) == (5, 1) for r in rows)
