@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from cohortline.llm.common import Memo, row_function, utf8, values, words
+from cohortline.llm.common import row_function, utf8, values, words
 from cohortline.llm.substrings import bitmap
 from cohortline.session import cut
 
 ORDER = 5
 #: Mark a word's start and end; neither is a character of a word
 START, END = "\x02", "\x03"
-#: n-grams that scoring tasks hold: beyond that those with the smallest counts are left to their shorter contexts
-MOST_NGRAMS = 400_000
+#: n-grams, the most used ones, whose costs are sent to all scoring tasks; a document's others are joined with theirs
+HELD = 200_000
 #: Longer words are scored and counted in pieces of this many characters
 LONGEST = 64
 #: Share of a language's trusted documents that a threshold lets pass, and what is added to its log perplexity
@@ -96,80 +96,151 @@ def discounts(grams: DataFrame) -> dict[int, tuple[float, float, float]]:
     return found
 
 
-def model(trusted: DataFrame, text_col: str = "text", order: int = ORDER, most: int = MOST_NGRAMS) -> DataFrame:
-    """gram, length, own: each kept n-gram with its discounted share among those of its context.
-
-    Counts meet their contexts' totals in a shuffled join per context. Counts cover all trusted rows. If there are more than
-    `most` n-grams, those with the smallest counts go, at whatever count that takes; what they held goes to the shorter context.
+def model(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: gram, length, own (its discounted share among those of its context); context, rest (what that
+    leaves to the next shorter context). Counts cover all trusted rows; none is left out. They meet their contexts' totals in
+    shuffled joins.
     """
     grams = cut(ngram_counts(word_counts(trusted.select(utf8(text_col).alias("text"))), order))
     table = discounts(grams)
-    sizes = grams.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-    above = F.sum("k").over(Window.orderBy(F.desc("n")))
-    least = sizes.withColumn("above", above).where(F.col("above") <= most).agg(F.min("n")).first()[0]
-    context = F.expr("substring(gram, 1, length - 1)")
-    off = F.coalesce(*(F.when(F.col("length") == length, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)) for length, (d1, d2, d3) in sorted(table.items())))
-    totals = grams.groupBy(context.alias("context"), F.col("length").alias("_length")).agg(F.sum("n").alias("total"))
-    kept = grams.withColumn("context", context).where((F.col("n") >= (least or 1 << 20)) | (F.col("length") == 1))
-    joined = kept.join(totals, (kept["context"] == totals["context"]) & (F.col("length") == F.col("_length")))
-    return joined.select("gram", "length", (F.greatest(F.col("n") - off, F.lit(0.0)) / F.col("total")).alias("own"))
-
-
-class Scorer:
-    """Negative log probability and number of symbols of texts, from the model's rows."""
-
-    def __init__(self, rows: list[tuple[str, float]], order: int = ORDER):
-        self.order = order
-        held: dict[str, float] = {}
-        for gram, own in rows:
-            held[gram[:-1]] = held.get(gram[:-1], 0.0) + own
-        #: What a context leaves to the next shorter one
-        self.rest = {context: max(1.0 - total, 1e-6) for context, total in held.items()}
-        self.flat = self.rest.get("", 1.0) / (1 + sum(1 for gram, _ in rows if len(gram) == 1))
-        #: Probabilities of the kept n-grams' last symbols, with what the shorter contexts add
-        self.known: dict[str, float] = {}
-        for gram, own in sorted(rows, key=lambda x: len(x[0])):
-            self.known[gram] = own + (self.rest[gram[:-1]] * self.probability(gram[1:]) if len(gram) > 1 else self.flat)
-        #: Negative log probability of an n-gram's last symbol; and of a word, with its number of symbols as the imaginary part
-        self.last = Memo(lambda gram: -log(self.probability(gram)))
-        self.words = Memo(self.of_word)
-
-    def probability(self, gram: str) -> float:
-        """Of the last symbol after the others."""
-        share = 1.0
-        for k in range(len(gram)):
-            near = gram[k:]
-            p = self.known.get(near)
-            if p is not None:
-                return share * p
-            if k < len(gram) - 1:
-                share *= self.rest.get(near[:-1], 1.0)
-        return share * self.flat
-
-    def of_word(self, word: bytes) -> complex:
-        total, n, order = 0.0, 0, self.order
-        for piece in pieces_of(word):
-            marked = START + piece + END
-            size = len(marked)
-            near = [marked[:k] for k in range(2, min(order, size + 1))]
-            near += [marked[k:k + order] for k in range(size - order + 1)]
-            total += sum(map(self.last.__getitem__, near))
-            n += size - 1
-        return complex(total, n)
+    grams = grams.withColumn("context", F.expr("substring(gram, 1, length - 1)"))
+    off = [F.coalesce(*(F.when(F.col("length") == length, d[k]) for length, d in sorted(table.items()))) for k in range(3)]
+    once, twice = F.col("n") == 1, F.col("n") == 2
+    contexts = grams.groupBy("context", "length").agg(
+        F.sum("n").alias("total"), F.count_if(once).alias("ones"), F.count_if(twice).alias("twos"), F.count_if(F.col("n") > 2).alias("more"))
+    contexts = cut(contexts.select("context", "total", ((F.col("ones") * off[0] + F.col("twos") * off[1] + F.col("more") * off[2]) / F.col("total")).alias("rest")))
+    own = (F.col("n") - F.when(once, off[0]).when(twice, off[1]).otherwise(off[2])) / F.col("total")
+    return cut(grams.join(contexts.drop("rest"), "context").select("gram", "length", own.alias("own"))), contexts.drop("total")
+
+
+def probabilities(needed: DataFrame, own: DataFrame, rest: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, p for each needed n-gram and its ends: the probability of its last symbol after the others.
+
+    From one symbol up to `order`, each length joins its counts, its contexts and the length below, all on keys that few
+    n-grams share. An unseen symbol has what a single one keeps back, dealt evenly.
+    """
+    ends = needed.select(F.explode(F.expr("transform(sequence(1, length(gram)), k -> substring(gram, k))")).alias("gram"))
+    ends = cut(ends.distinct().withColumn("length", F.length("gram")))
+    left = rest.where("context = ''").agg(F.coalesce(F.max("rest"), F.lit(1.0))).first()[0]
+    flat = F.lit(left / (1 + own.where("length = 1").count()))
+    share = F.coalesce("own", F.lit(0.0))
+    levels: list[DataFrame] = []
+    for length in range(1, order + 1):
+        now = ends.where(F.col("length") == length).select("gram").join(own.where(F.col("length") == length).select("gram", "own"), "gram", "left")
+        if length == 1:
+            now = now.select("gram", (share + flat).alias("p"))
+        else:
+            now = now.withColumn("context", F.expr(f"substring(gram, 1, {length - 1})")).withColumn("end", F.expr("substring(gram, 2)"))
+            below = levels[-1].select(F.col("gram").alias("end"), F.col("p").alias("below"))
+            now = now.join(rest, "context", "left").join(below, "end")
+            now = now.select("gram", (share + F.coalesce("rest", F.lit(1.0)) * F.col("below")).alias("p"))
+        levels.append(cut(now))
+    return reduce(DataFrame.union, levels)
+
+
+def grams_of(piece: str, order: int) -> list[str]:
+    """The longest n-gram up to each symbol of a marked word, its end included."""
+    marked = START + piece + END
+    size = len(marked)
+    return [marked[:k] for k in range(2, min(order, size + 1))] + [marked[k:k + order] for k in range(size - order + 1)]
+
+
+def gram_uses(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, uses over the column `text` (bytes) of all rows; each task counts on its own first, in bounded memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        found: Counter = Counter()
+        for batch in batches:
+            for raw in values(batch.column("text")):
+                held.update(words(raw))
+                if len(held) > 200_000:
+                    spread(held, found)
+                    held = Counter()
+                    if len(found) > 500_000:
+                        yield counted(found)
+                        found = Counter()
+        spread(held, found)
+        yield counted(found)
+
+    def spread(held: Counter, found: Counter) -> None:
+        for word, n in held.items():
+            for piece in pieces_of(word):
+                for gram in grams_of(piece, order):
+                    found[gram] += n
+
+    def counted(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "uses"])
 
-    def __call__(self, raw: bytes) -> tuple[float, int]:
-        found = sum(map(self.words.__getitem__, words(raw)), 0j)
-        return found.real, int(found.imag)
+    return texts.select("text").mapInArrow(run, "gram string, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
 
 
-SCORE = T.StructType([T.StructField("nll", T.DoubleType()), T.StructField("symbols", T.LongType())])
+class Scorer(dict):
+    """A text's cost over held n-grams, its number of symbols, and the n-grams that aren't held with their times.
 
+    As a dict it holds, by word, cost and number of symbols as the two parts of a complex number (whole numbers both, so
+    sums are exact), for words of held n-grams alone. Its memory is bounded: it starts anew at `limit` words.
+    """
+
+    def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 200_000):
+        super().__init__()
+        self.held, self.order, self.limit = held, order, limit
+        #: The same, with the n-grams that aren't held, for the other words
+        self.mixed: dict[bytes, tuple[complex, list[str]]] = {}
+        self.rare: Counter = Counter()
 
-def scores(docs: DataFrame, learned: DataFrame, text_col: str = "text", order: int = ORDER) -> Column:
-    """A column struct of nll and symbols. The model is broadcast; its size is bounded by MOST_NGRAMS and the alphabet."""
-    rows = [(r["gram"], r["own"]) for r in learned.select("gram", "own").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    return row_function(lambda: Scorer(sent.value, order), SCORE)(utf8(text_col))
+    def parts(self, word: bytes) -> tuple[complex, list[str]]:
+        cost, n, rare = 0, 0, []
+        for piece in pieces_of(word):
+            for gram in grams_of(piece, self.order):
+                known = self.held.get(gram)
+                if known is None:
+                    rare.append(gram)
+                else:
+                    cost += known
+            n += len(piece) + 1
+        return complex(cost, n), rare
+
+    def __missing__(self, word: bytes) -> complex:
+        found = self.mixed.get(word)
+        value, rare = found or self.parts(word)
+        if rare:
+            if len(self.mixed) >= self.limit:
+                self.mixed.clear()
+            self.mixed[word] = value, rare
+            self.rare.update(rare)
+        else:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
+        return value
+
+    def __call__(self, raw: bytes) -> tuple[int, int, list[tuple[str, int]]]:
+        self.rare = Counter()
+        found = sum(map(self.__getitem__, words(raw)), 0j)
+        return int(found.real), int(found.imag), list(self.rare.items())
+
+
+COST = T.StructType([T.StructField("cost", T.LongType()), T.StructField("symbols", T.LongType()), T.StructField("rare", T.MapType(T.StringType(), T.LongType()))])
+
+
+def scores(docs: DataFrame, own: DataFrame, rest: DataFrame, keep: list[Column], text_col: str = "text", order: int = ORDER, most_held: int = HELD) -> DataFrame:
+    """keep, nll, symbols for each row of docs, in shuffled joins of n-grams with their probabilities.
+
+    Every n-gram of every document gets its probability by join. Those used most are added up where the text is, from a
+    broadcast table of `most_held` rows; a document's other n-grams are joined with the whole table. Which way an n-gram
+    goes changes no sum: costs are whole millionths.
+    """
+    needed = cut(gram_uses(docs.select(utf8(text_col).alias("text")), order))
+    cost = F.round(-F.log("p") * 1_000_000).cast("long")
+    priced = cut(needed.join(probabilities(needed.select("gram"), own, rest, order), "gram").select("gram", "uses", cost.alias("cost")))
+    held = {r["gram"]: r["cost"] for r in priced.orderBy(F.desc("uses"), "gram").limit(most_held).collect()}
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    column = row_function(lambda: Scorer(sent.value, order), COST)(utf8(text_col))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, column.alias("s")))
+    late = rows.select("_row", F.explode("s.rare").alias("gram", "n")).join(priced.select("gram", "cost"), "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("cost")).alias("late"))
+    joined = rows.withColumns({"cost": F.col("s.cost"), "symbols": F.col("s.symbols")}).drop("s").join(late, "_row", "left")
+    return cut(joined.withColumn("nll", (F.col("cost") + F.coalesce("late", F.lit(0))) / 1e6).drop("_row", "cost", "late"))
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, prior: float = PRIOR) -> dict[str | None, tuple[float, float]]:
@@ -218,41 +289,40 @@ def labelled(good: DataFrame, own: Column, bits: int = FILTER_BITS) -> Column:
     return row_function(maybe, T.BooleanType())(F.xxhash64(own.cast("string")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
-        slack: float = SLACK, prior: float = PRIOR, order: int = ORDER, most: int = MOST_NGRAMS) -> tuple[Column, DataFrame, dict]:
-    """Train, score every document, and find the limits: (score column for docs, written scores, limits).
+def fit(docs: DataFrame, labels: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
+        slack: float = SLACK, prior: float = PRIOR, order: int = ORDER, most_held: int = HELD) -> DataFrame:
+    """Train, score every document, and judge it: keep, id, lang, symbols, log_perplexity, limit, kept for each row.
 
-    Trusted are documents labelled quality 1 and not toxic, by their id; an id with contrary labels is not. The scores' rows
-    are id, lang, nll, symbols.
+    Trusted are documents labelled quality 1 and not toxic, by their id; an id with contrary labels is not.
     """
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("_id")
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(labelled(good, F.col(id_col)))
     trusted = plain.join(good.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
-    column = scores(docs, model(trusted, "text", order, most), text_col, order)
-    scored = cut(docs.select(F.col(id_col).alias("id"), language(lang_col).alias("lang"), column.alias("s")).select("id", "lang", "s.*"))
+    scored = scores(docs, *model(trusted, "text", order), [*keep, F.col(id_col).alias("id"), language(lang_col).alias("lang")], text_col, order, most_held)
     marked = scored.join(good.withColumn("trusted", F.lit(True)), F.col("id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return column, scored, limits(marked, quantile, slack, prior)
+    value, most, kept = verdict(F.struct("nll", "symbols"), F.col("lang"), limits(marked, quantile, slack, prior), prior)
+    return scored.withColumns({"log_perplexity": value, "limit": most, "kept": kept | (F.col("symbols") == 0)}).drop("nll")
 
 
 def language(lang_col: str) -> Column:
     return F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", prior: float = PRIOR, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, lang, symbols, log_perplexity, limit, kept.
 
     Null texts and texts without words have no symbols and pass; a null language is `und`; a language without trusted
     documents has the limit of all together; null ids and repeated rows stay. Other columns are not read.
     """
-    _, scored, known = fit(docs, labels, id_col=id_col, lang_col=lang_col, prior=prior, **options)
-    value, most, kept = verdict(F.struct("nll", "symbols"), F.col("lang"), known, prior)
-    return scored.select(F.col("id").alias("doc_id"), "lang", "symbols", value.alias("log_perplexity"), most.alias("limit"), (kept | (F.col("symbols") == 0)).alias("kept"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, lang_col: str = "lang", prior: float = PRIOR, **options) -> DataFrame:
-    """The documents that pass, with all their columns; each row is judged by itself, without a join."""
-    score, _, known = fit(docs, labels, lang_col=lang_col, prior=prior, **options)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("row"), score.alias("s"), language(lang_col).alias("lang"))
-    _, _, kept = verdict(F.col("s"), F.col("lang"), known, prior)
-    return rows.where(kept | (F.col("s.symbols") == 0)).select("row.*")
+    return fit(docs, labels, [], **options).withColumnRenamed("id", "doc_id")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    A document is judged by its text and language, so those that go are found again by a digest of the two.
+    """
+    key = F.concat(F.md5(utf8(text_col)), language(lang_col))
+    judged = fit(docs, labels, [key.alias("key")], text_col=text_col, lang_col=lang_col, **options)
+    gone = judged.where(~F.col("kept")).select(F.col("key").alias("_gone")).distinct()
+    return docs.join(gone, key == F.col("_gone"), "left_anti")

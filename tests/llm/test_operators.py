@@ -218,13 +218,83 @@ def test_quality_keeps_the_clean(spark, sf_dir):
     assert np.mean(clean) >= 0.97 and np.mean(poor) < 0.5
 
 
-def test_model_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat the end",), ("a cat and a hat",), (None,)], "text string")
-    rows = [(r["gram"], r["own"]) for r in quality.model(texts).select("gram", "own").collect()]
-    scorer = quality.Scorer(rows)
-    symbols = sorted({g for g, _ in rows if len(g) == 1})
-    for context in ("", quality.START, quality.START + "t", "ca", "\x02the", "zz"):
-        assert abs(sum(scorer.probability(context + s) for s in symbols) + scorer.probability(context + "Q") - 1) < 1e-6
+class KneserNey:
+    """The model by the book, from words with their counts: continuation counts, discounts, interpolation."""
+
+    def __init__(self, counts: dict[str, int], order: int = quality.ORDER):
+        raw: dict = {}
+        for word, n in counts.items():
+            marked = "\x02" + word + "\x03"
+            for end in range(2, len(marked) + 1):
+                for size in range(1, min(order, end) + 1):
+                    raw[marked[end - size:end]] = raw.get(marked[end - size:end], 0) + n
+        before: dict = {}
+        for gram in raw:
+            before.setdefault(gram[1:], set()).add(gram[0])
+        self.n = {g: n if len(g) == order or g[0] == "\x02" else len(before[g]) for g, n in raw.items()}
+        self.off = {}
+        for size in range(1, order + 1):
+            n1, n2, n3, n4 = (sum(1 for g, n in self.n.items() if len(g) == size and n == k) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            found = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.25, 2 - 3 * y * n3 / n2 if n2 and n3 else 0.75, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.25]
+            self.off[size] = [min(max(d, 0.05), k + 0.95) for k, d in enumerate(found)]
+        self.under: dict = {}
+        for g, n in self.n.items():
+            self.under.setdefault(g[:-1], []).append(n)
+        self.order = order
+
+    def probability(self, gram: str) -> float:
+        if not gram:
+            return 1 / (1 + sum(1 for g in self.n if len(g) == 1))
+        seen = self.under.get(gram[:-1])
+        if not seen:
+            return self.probability(gram[1:]) if len(gram) > 1 else 1.0
+        off = self.off[len(gram)]
+        own, total, rest = self.n.get(gram, 0), sum(seen), sum(off[min(n, 3) - 1] for n in seen)
+        return (max(own - off[min(own, 3) - 1], 0) if own else 0) / total + rest / total * self.probability(gram[1:])
+
+    def cost(self, text: str) -> tuple[float, int]:
+        grams = [g for w in text.split() for g in quality.grams_of(w, self.order)]
+        return -sum(np.log(self.probability(g)) for g in grams), len(grams)
+
+
+TRUSTED = ["the cat sat on the mat the end", "a cat and a hat", None, "", "the thin thing thought that this then there"]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return quality.model(spark.createDataFrame([(t,) for t in TRUSTED], "text string"))
+
+
+def book():
+    counts: dict = {}
+    for word in " ".join(t or "" for t in TRUSTED).split():
+        counts[word] = counts.get(word, 0) + 1
+    return KneserNey(counts)
+
+
+def test_model_probabilities_sum_to_one(spark, learned):
+    own, _ = learned
+    symbols = [r["gram"] for r in own.where("length = 1").collect()] + ["Q"]
+    contexts = ["", "\x02", "\x02t", "ca", "\x02the", "zz"]
+    asked = spark.createDataFrame([(c + s,) for c in contexts for s in symbols], "gram string")
+    found = dict(quality.probabilities(asked, *learned).collect())
+    by_book = book()
+    for c in contexts:
+        assert abs(sum(found[c + s] for s in symbols) - 1) < 1e-9
+        assert all(abs(found[c + s] - by_book.probability(c + s)) < 1e-9 for s in symbols)
+
+
+@pytest.mark.parametrize("most_held", [0, 7, 200_000])
+def test_costs_by_join_and_by_held_ngrams(spark, learned, most_held):
+    texts = [*TRUSTED, "the cat", "the cat", "zebra Q the the the", "x" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_book = book()
+    rows = quality.scores(docs, *learned, [docs["doc_id"]], most_held=most_held).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        cost, symbols = by_book.cost(texts[r["doc_id"]] or "")
+        assert r["symbols"] == symbols and abs(r["nll"] - cost) <= 1e-6 * (symbols + 1)
 
 
 def test_media_round_trip(spark, sf_dir, documents):
