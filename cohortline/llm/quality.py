@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -24,6 +25,8 @@ ORDER = 5
 START, END = "\x02", "\x03"
 #: n-grams, the most used ones, whose costs are sent to all scoring tasks; a document's others are joined with theirs
 HELD = 200_000
+#: Symbols of distinct words that a task spreads into n-grams at a time
+SYMBOLS = 1 << 21
 #: Longer words are scored and counted in pieces of this many characters
 LONGEST = 64
 #: Share of a language's trusted documents that a threshold lets pass, and what is added to its log perplexity
@@ -39,6 +42,8 @@ NO_LANG = "und"
 
 def pieces_of(word: bytes) -> list[str]:
     text = word.decode("utf-8", "replace").replace(START, "�").replace(END, "�")
+    if len(text) <= LONGEST:
+        return [text]
     return [text[k:k + LONGEST] for k in range(0, len(text), LONGEST)]
 
 
@@ -145,6 +150,39 @@ def grams_of(piece: str, order: int) -> list[str]:
     return [marked[:k] for k in range(2, min(order, size + 1))] + [marked[k:k + order] for k in range(size - order + 1)]
 
 
+def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tuple[str, int]]:
+    """Each distinct n-gram that grams_of() gives for the pieces, with the sum of their times.
+
+    An n-gram is packed in one number, symbol by symbol, over the symbols that occur; where no further symbol would fit, the
+    numbers so far are replaced by their ranks. So equal numbers are equal n-grams.
+    """
+    joined = START + (END + START).join(pieces) + END
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    rank = np.zeros(0x110000, np.int64)
+    rank[codes] = 1
+    base = int(rank.sum()) + 1
+    rank = rank.cumsum()  # from 1 for those that occur; 0 is left of a word
+    starts = codes == ord(START)
+    word = starts.cumsum() - 1
+    place = np.arange(len(codes)) - np.flatnonzero(starts)[word]
+    ends = np.flatnonzero(place)
+    place, word = place[ends], word[ends]
+    key, span = np.zeros(len(ends), np.int64), 1
+    for back in range(order - 1, -1, -1):
+        if span * base >= 1 << 63:
+            held, key = np.unique(key, return_inverse=True)
+            span = len(held)
+        key, span = key * base + np.where(place >= back, rank[codes[ends - np.minimum(place, back)]], 0), span * base
+    sort = key.argsort(kind="stable")
+    key = key[sort]
+    tops = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    uses = np.add.reduceat(np.array(times, np.int64)[word[sort]], tops)
+    last = ends[sort[tops]]
+    first = last - np.minimum(place[sort[tops]], order - 1)
+    for a, b, n in zip(first.tolist(), last.tolist(), uses.tolist(), strict=True):
+        yield joined[a:b + 1], n
+
+
 def gram_uses(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, uses over the column `text` (bytes) of all rows; each task counts on its own first, in bounded memory."""
 
@@ -164,10 +202,21 @@ def gram_uses(texts: DataFrame, order: int = ORDER) -> DataFrame:
         yield counted(found)
 
     def spread(held: Counter, found: Counter) -> None:
+        pieces, times, size = [], [], 0
         for word, n in held.items():
             for piece in pieces_of(word):
-                for gram in grams_of(piece, order):
-                    found[gram] += n
+                pieces.append(piece)
+                times.append(n)
+                size += len(piece) + 2
+            if size > SYMBOLS:
+                add(pieces, times, found)
+                pieces, times, size = [], [], 0
+        if pieces:
+            add(pieces, times, found)
+
+    def add(pieces: list[str], times: list[int], found: Counter) -> None:
+        for gram, n in spread_grams(pieces, times, order):
+            found[gram] += n
 
     def counted(found: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "uses"])
@@ -182,7 +231,7 @@ class Scorer(dict):
     sums are exact), for words of held n-grams alone. Its memory is bounded: it starts anew at `limit` words.
     """
 
-    def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 200_000):
+    def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 300_000):
         super().__init__()
         self.held, self.order, self.limit = held, order, limit
         #: The same, with the n-grams that aren't held, for the other words
@@ -190,16 +239,12 @@ class Scorer(dict):
         self.rare: Counter = Counter()
 
     def parts(self, word: bytes) -> tuple[complex, list[str]]:
-        cost, n, rare = 0, 0, []
-        for piece in pieces_of(word):
-            for gram in grams_of(piece, self.order):
-                known = self.held.get(gram)
-                if known is None:
-                    rare.append(gram)
-                else:
-                    cost += known
-            n += len(piece) + 1
-        return complex(cost, n), rare
+        pieces = pieces_of(word)
+        grams = grams_of(pieces[0], self.order) if len(pieces) == 1 else [g for piece in pieces for g in grams_of(piece, self.order)]
+        try:
+            return complex(sum(map(self.held.__getitem__, grams)), len(grams)), []
+        except KeyError:
+            return complex(sum(self.held.get(g, 0) for g in grams), len(grams)), [g for g in grams if g not in self.held]
 
     def __missing__(self, word: bytes) -> complex:
         found = self.mixed.get(word)

@@ -285,6 +285,17 @@ def test_model_probabilities_sum_to_one(spark, learned):
         assert all(abs(found[c + s] - by_book.probability(c + s)) < 1e-9 for s in symbols)
 
 
+def test_spread_of_words_into_ngrams():
+    pieces = ["a", "the", "then", "中文字", "".join(map(chr, range(0x3400, 0x3400 + 6000))), "the"]
+    want: dict = {}
+    for piece, n in zip(pieces, range(1, 7), strict=True):
+        for gram in quality.grams_of(piece, 5):
+            want[gram] = want.get(gram, 0) + n
+    for some in (pieces, [*pieces, "".join(map(chr, range(0x10000, 0x13000)))]):
+        found = list(quality.spread_grams(some, list(range(1, len(some) + 1)), 5))
+        assert len(dict(found)) == len(found) and want.items() <= dict(found).items()
+
+
 @pytest.mark.parametrize("most_held", [0, 7, 200_000])
 def test_costs_by_join_and_by_held_ngrams(spark, learned, most_held):
     texts = [*TRUSTED, "the cat", "the cat", "zebra Q the the the", "x" * 40]
