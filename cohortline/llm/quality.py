@@ -26,7 +26,7 @@ START, END = "\x02", "\x03"
 #: n-grams, the most used ones, whose costs are sent to all scoring tasks; a document's others are joined with theirs
 HELD = 200_000
 #: Symbols of distinct words that a task spreads into n-grams at a time
-SYMBOLS = 1 << 21
+SYMBOLS = 1 << 20
 #: Longer words are scored and counted in pieces of this many characters
 LONGEST = 64
 #: Share of a language's trusted documents that a threshold lets pass, and what is added to its log perplexity
