@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from math import log
 
 import numpy as np
 import pyarrow as pa
