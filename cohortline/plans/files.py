@@ -22,12 +22,10 @@ from cohortline.streaming import jobs
 )
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected scan of a gzip CSV; a column that is not there is left out."""
-    path = scratch_path(spark, "orders.csv")
+    path = scratch_path(spark, "orders")
     orders = b.table(spark, sf_dir, "orders").withColumn("o_totalprice", F.round("o_totalprice", 2))
     orders.write.option("header", True).option("compression", "gzip").csv(path)
-    schema = orders.schema
-    rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.select(*delimited.present_columns(rows, ["o_orderkey", "o_custkey", "o_totalprice", "not_there"]))
+    return delimited.scan_csv(spark, path, "part-*", orders.schema, ["o_orderkey", "o_custkey", "o_totalprice", "not_there"])
 
 
 @query(
@@ -50,22 +48,23 @@ def tagged_table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mixed_encodings", "S3 S4",
     """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN '死亡' ELSE 'alive' END AS status,
-      CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS "WBC_label", CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS "ALB_label" FROM customer""",
+      CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS "WBC_label", CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS "ALB_label",
+      CASE WHEN c_custkey % 2 = 1 THEN '乗,"' || c_custkey END AS note FROM customer""",
 )
 def mixed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in two encodings with different headers, written by Spark, read back as one table."""
+    """Files in two encodings with different headers, a quoted comma among them, written by Spark, read back as one table."""
     path = scratch_path(spark, "mixed")
     key = F.col("c_custkey")
     status = F.when(key % 3 == 0, "死亡").otherwise("alive")
     rows = b.table(spark, sf_dir, "customer")
     even = rows.where(key % 2 == 0).select(key.cast("string").alias("id"), status.alias("status"), F.col("c_nationkey").cast("string").alias("WBC_label"))
     even.write.option("header", True).csv(f"{path}/utf8")
-    odd = rows.where(key % 2 == 1).select(key.cast("string").alias("id"), status.alias("status"), F.col("c_mktsegment").alias("ALB_label"))
-    encoded = odd.select("id", _as_gb18030(F.col("status")).alias("status"), "ALB_label")
-    encoded.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/gb18030")
+    odd = rows.where(key % 2 == 1).select(key.cast("string").alias("id"), status.alias("status"), F.col("c_mktsegment").alias("ALB_label"), F.concat(F.lit('乗,"'), key).alias("note, free"))
+    encoded = odd.select("id", _as_gb18030(F.col("status")).alias("status"), "ALB_label", _as_gb18030(F.col("`note, free`")).alias("note, free"))
+    encoded.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(f"{path}/gb18030")
     merged = delimited.read_mixed(spark, f"{path}/*/*.csv")
     found, _ = tables_labels(merged)
-    return merged.select("id", "status", *sorted(found, reverse=True))
+    return merged.select("id", "status", *sorted(found, reverse=True), F.col("`note, free`").alias("note"))
 
 
 def tables_labels(merged: DataFrame) -> tuple[list[str], list[str]]:
@@ -150,15 +149,21 @@ def exam_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "refreshed_counts", "S15",
-    "SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS rebuilt_again FROM lineitem GROUP BY 1",
+    """SELECT l_returnflag, count(*) AS n, CAST(0 AS BIGINT) AS rebuilt_again FROM lineitem
+    WHERE l_orderkey % 5 IN (0, 4) OR (l_orderkey % 5 = 1 AND l_linenumber = 1) GROUP BY 1""",
 )
 def refreshed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per source file, refreshed twice: the second run finds nothing to do."""
-    output = scratch_path(spark, "refresh")
-    files = b.table(spark, sf_dir, "lineitem")
-    build = lambda rows: rows.groupBy("source", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    refresh.refresh(spark, files, {"version": 1}, build, output)
-    again = refresh.refresh(spark, files, {"version": 1}, build, output)
+    """Counts per source file after one part was replaced, one removed and one left without rows; a third run has nothing to do."""
+    folder, output = scratch_path(spark, "parts"), scratch_path(spark, "refresh")
+    lines = b.table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_orderkey") % 5)
+    lines.write.partitionBy("part").parquet(folder)
+    count = lambda rows: rows.groupBy("source", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    refresh.refresh(spark, spark.read.parquet(folder), {"version": 1}, count, output)
+    lines.where("part = 1 AND l_linenumber = 1").drop("part").write.mode("overwrite").parquet(f"{folder}/part=1")
+    left = spark.read.parquet(folder).where("part <> 2")
+    known = lambda rows: count(rows.where("part <> 3"))
+    refresh.refresh(spark, left, {"version": 2}, known, output)
+    again = refresh.refresh(spark, left, {"version": 2}, known, output)
     rows = spark.read.parquet(f"{output}/data").groupBy("l_returnflag").agg(F.sum("n").alias("n"))
     return rows.withColumn("rebuilt_again", F.lit(again).cast("bigint"))
 
@@ -193,8 +198,11 @@ def streamed_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("streamed_new_texts", "X3 A24", "SELECT DISTINCT p_name AS text FROM part")
 def streamed_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name twice over four files, one per micro-batch: the state drops what an earlier batch had."""
     output, checkpoint = scratch_path(spark, "texts"), scratch_path(spark, "texts-state")
+    folder = scratch_path(spark, "names")
     parts = b.table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
-    stream = jobs.file_stream(spark, sf_dir, "part.parquet", b.table(spark, sf_dir, "part").schema).select(F.col("p_name").alias("text"))
+    parts.union(parts).repartition(4, F.rand(1)).write.parquet(folder)
+    stream = jobs.file_stream(spark, folder, "*.parquet", parts.schema, files_per_batch=1)
     jobs.append_rows(jobs.new_texts(stream, "text"), output, checkpoint).awaitTermination()
     return spark.read.schema(parts.schema).parquet(output)

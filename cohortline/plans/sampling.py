@@ -210,19 +210,50 @@ def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_idx"), (F.col("n_chars") / 40).cast("int").alias("table_length"))
 
 
-@query("token_batches", "P12")
+LENGTHS_SQL = """smp AS (SELECT doc_id AS sample_idx, least(greatest(CAST(trunc(n_chars / 40.0) AS INTEGER), 1), 512) AS length FROM documents)"""
+
+TOKEN_BATCHES_SQL = f"""RECURSIVE {LENGTHS_SQL},
+sorted AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY length, sample_idx) AS place FROM smp),
+filled AS (SELECT place, sample_idx, length, 0::BIGINT AS batch, 1 AS held FROM sorted WHERE place = 1
+  UNION ALL SELECT place, sample_idx, length, batch + CAST(NOT fits AS INTEGER), CASE WHEN fits THEN held + 1 ELSE 1 END
+  FROM (SELECT f.batch, f.held, s.place, s.sample_idx, s.length, (f.held + 1) * s.length <= 2048 AND f.held < 16 AS fits FROM filled f JOIN sorted s ON s.place = f.place + 1))"""
+
+
+@query("token_batches", "P12", f"WITH {TOKEN_BATCHES_SQL} SELECT sample_idx, length, batch FROM filled")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest-first batches; checked against a sequential cut in the tests."""
+    """Shortest-first batches; the SQL walks the samples one by one."""
     return batching.token_batches(lengths(spark, sf_dir), 2048, 16, 512)
 
 
-@query("distributed_batches", "P12")
+@query(
+    "distributed_batches", "P12",
+    f"""WITH {TOKEN_BATCHES_SQL},
+costs AS (SELECT batch, count(*) * max(length) AS cost FROM filled GROUP BY batch),
+dearest AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cost DESC, batch) AS turn FROM costs),
+dealt AS (SELECT 0::BIGINT AS turn, [0, 0, 0, 0]::BIGINT[] AS loads, NULL::BIGINT AS cost, 0 AS worker
+  UNION ALL SELECT turn + 1, list_transform(range(1, 5), lambda k: loads[k] + CASE WHEN k = w THEN next_cost ELSE 0 END), next_cost, w - 1
+  FROM (SELECT x.turn, x.loads, d.cost AS next_cost, CAST(list_position(x.loads, list_min(x.loads)) AS INTEGER) AS w
+    FROM dealt x JOIN dearest d ON d.turn = x.turn + 1)),
+shares AS (SELECT cost, worker, count(*) AS n FROM dealt WHERE cost IS NOT NULL GROUP BY cost, worker),
+spans AS (SELECT *, sum(n) OVER (PARTITION BY cost ORDER BY worker) AS stop FROM shares),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cost ORDER BY batch) AS place FROM costs)
+SELECT batch, cost, worker FROM ranked JOIN spans USING (cost) WHERE place <= stop AND place > stop - n""",
+)
 def distributed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers of batches; the SQL deals batch by batch, and batches of one cost go to workers in order."""
     costs = cut(batching.batch_costs(batching.token_batches(lengths(spark, sf_dir), 2048, 16, 512)))
     return batching.distribute_batches(costs, 4)
 
 
-@query("variable_batches", "P12")
+@query(
+    "variable_batches", "P12",
+    f"""WITH RECURSIVE {LENGTHS_SQL},
+sorted AS MATERIALIZED (SELECT *, greatest(1, least(16, 2048 // length)) * 4 AS most, row_number() OVER (ORDER BY length DESC, sample_idx) AS place FROM smp),
+filled AS (SELECT place, sample_idx, length, 0::BIGINT AS batch, most - 1 AS room FROM sorted WHERE place = 1
+  UNION ALL SELECT s.place, s.sample_idx, s.length, f.batch + CAST(f.room = 0 AS INTEGER), CASE WHEN f.room = 0 THEN s.most ELSE f.room END - 1
+  FROM filled f JOIN sorted s ON s.place = f.place + 1)
+SELECT sample_idx, length, batch FROM filled""",
+)
 def variable_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.variable_batches(lengths(spark, sf_dir), 2048, 16, 4, 512)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -11,9 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from cohortline.functions import text
 from cohortline.operators.labels_followup import label_columns
 
-# Encodings tried in order; a byte order mark is dropped with the first.
-ENCODINGS = ("utf-8", "gb18030")
-MAX_HEADERS = 1_000
 NO_BREAK_SPACE = " "
 
 
@@ -52,30 +50,36 @@ def file_kinds(spark: SparkSession, path: str) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def _gb18030(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield part.map(lambda raw: None if raw is None else raw.encode("iso-8859-1").decode("gb18030"))
+        yield part.map(lambda raw: None if raw is None else raw.encode("iso-8859-1").decode("gb18030", "replace"))
+
+
+def decoded(column: Column) -> Column:
+    """Text whose GB18030 bytes were read one by one; only cells with a byte over 0x7F go through Python.
+
+    Bytes that are no GB18030 become U+FFFD.
+    """
+    return F.coalesce(_gb18030(F.when(column.rlike(r"[^\x00-\x7F]"), column)), column)
 
 
 def read_mixed(spark: SparkSession, path: str) -> DataFrame:
     """All CSV files under a path as one table of strings: encodings by file, headers joined by name.
 
-    Files are grouped by (encoding, header); there is one read per group, not per file, and the number of
-    groups is checked.
+    Files are grouped by (encoding, header); there is one read per group, not per file. A quote inside quotes is
+    doubled, in headers too, and a backslash is plain text: it may be the second byte of a GB18030 character.
     """
     kinds = file_kinds(spark, path).where(F.col("header").isNotNull())
-    groups = kinds.groupBy("header", "is_utf8").agg(F.collect_list("file").alias("files")).limit(MAX_HEADERS + 1).collect()
-    if len(groups) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers under {path}")
+    groups = kinds.groupBy("header", "is_utf8").agg(F.collect_list("file").alias("files")).collect()
     parts = []
-    for group in sorted(groups, key=lambda g: g["header"]):
+    for group in sorted(groups, key=lambda g: (g["header"], g["is_utf8"])):
         raw = group["header"].encode("iso-8859-1")
-        names = raw.decode("utf-8-sig" if group["is_utf8"] else "gb18030").rstrip("\r").split(",")
+        names = next(csv.reader([raw.decode("utf-8-sig" if group["is_utf8"] else "gb18030").rstrip("\r")]))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
-        rows = spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(sorted(group["files"]))
+        rows = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"').csv(sorted(group["files"]))
         source = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
-        decoded = [F.col(f"`{n}`") if group["is_utf8"] else _gb18030(F.col(f"`{n}`")).alias(n) for n in names]
-        rows = rows.select(*[F.col(f"`{n}`") for n in names], source).select(*decoded, "source_file")
-        parts.append(rows)
+        cells = [F.col(f"`{n}`") for n in names]
+        shown = cells if group["is_utf8"] else [decoded(c).alias(n) for c, n in zip(cells, names, strict=True)]
+        parts.append(rows.select(*cells, source).select(*shown, "source_file"))
     return reduce(lambda a, x: a.unionByName(x, allowMissingColumns=True), parts)
 
 

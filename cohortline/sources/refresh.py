@@ -8,6 +8,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortline.session import cut
+
 
 def source_manifest(files: DataFrame, parameters: Mapping[str, object]) -> DataFrame:
     """One row per source file: path, size, time and a fingerprint over them and the parameters.
@@ -28,10 +30,23 @@ def pending(manifest: DataFrame, done: DataFrame | None) -> DataFrame:
     return manifest if done is None else manifest.join(done.select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
 
 
-def finished(spark: SparkSession, path: str) -> DataFrame | None:
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.parquet(path) if exists else None
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame | None:
+    """path, fingerprint of the sources whose output stands: the last entry of each, unless that voids it."""
+    files, folder = _folder(spark, path)
+    if not files.exists(folder):
+        return None
+    newest = spark.read.parquet(path).groupBy("path").agg(F.max_by(F.struct("fingerprint"), "entry").alias("last"))
+    return newest.select("path", F.col("last.fingerprint").alias("fingerprint")).where(F.col("fingerprint").isNotNull())
+
+
+def _note(sources: DataFrame, path: str, entry: int) -> None:
+    sources.select("path", "fingerprint", F.lit(entry).cast("bigint").alias("entry")).write.mode("append").parquet(path)
 
 
 def refresh(
@@ -40,15 +55,27 @@ def refresh(
     """Rebuild the output partitions of changed sources; returns how many were rebuilt.
 
     `build` takes the rows of the pending files (with a `source` column) and gives rows with that column.
-    Output is partitioned by source, and only written partitions are replaced.
+    Output is partitioned by source. Partitions of changed and of vanished sources go first, so that a source that now
+    gives nothing, or is no more, leaves no rows. They are voided in the manifest before that: a run that breaks off is
+    done again.
     """
     manifest_path = f"{output}/_manifest"
-    todo = pending(source_manifest(files, parameters), finished(spark, manifest_path)).cache()
+    now, done = cut(source_manifest(files, parameters)), finished(spark, manifest_path)
+    todo = cut(pending(now, done).select("path", "fingerprint"))
     changed = todo.count()
+    gone = todo.select("path") if done is None else todo.select("path").union(done.join(now, "path", "left_anti").select("path"))
+    gone = cut(gone)
+    if gone.isEmpty():
+        return 0
+    last = None if done is None else spark.read.parquet(manifest_path).agg(F.max("entry")).first()[0]
+    entry = 0 if last is None else last + 1
+    _note(gone.withColumn("fingerprint", F.lit(None).cast("string")), manifest_path, entry)
+    for row in gone.select(F.md5("path").alias("source")).toLocalIterator():
+        store, folder = _folder(spark, f"{output}/data/source={row['source']}")
+        store.delete(folder, True)
     if changed:
         rows = files.withColumn("path", F.col("_metadata.file_path")).join(todo.select("path"), "path", "left_semi")
-        named = rows.withColumn("source", F.md5("path")).drop("path")
-        build(named).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{output}/data")
-        todo.write.mode("append").parquet(manifest_path)
-    todo.unpersist()
+        build(rows.withColumn("source", F.md5("path")).drop("path")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{output}/data")
+        _note(todo, manifest_path, entry + 1)
     return changed

@@ -23,8 +23,11 @@ def write_bucketed(df: DataFrame, table: str, path: str, subject: str, order: Se
 
 
 def write_index(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Task index under split=/task= folders; only the partitions that are written are replaced."""
-    writer = df.repartition("split", "task").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "task")
+    """Task index under split=/task= folders; only the partitions that are written are replaced.
+
+    Rows of a (split, task) meet in as few files as its size needs: adaptive execution splits a large one.
+    """
+    writer = df.hint("rebalance", F.col("split"), F.col("task")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "task")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

@@ -31,6 +31,17 @@ def test_mixed_encodings_and_headers(spark, tmp_path):
     assert got == [("3", "1", None, "a.csv"), ("30", None, "死亡", "b.csv"), ("4", None, None, "a.csv"), ("5", "阴性", None, "c.csv")]
 
 
+def test_mixed_encodings_hard_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('"a,b",c\n1,"say ""乗"" \\"\n'.encode())
+    (tmp_path / "b.csv").write_bytes('id,c\n1,"乗"\n2,"x\\"\n3,plain\n'.encode("gb18030"))
+    (tmp_path / "d.csv").write_bytes(b"id,c\n4,\xff\n5,\xc4\xe3\n")
+    got = {(r["source_file"], r["a,b"], r["id"], r["c"]) for r in delimited.read_mixed(spark, f"{tmp_path}/*.csv").collect()}
+    assert got == {
+        ("a.csv", "1", None, 'say "乗" \\'), ("b.csv", None, "1", "乗"), ("b.csv", None, "2", "x\\"), ("b.csv", None, "3", "plain"),
+        ("d.csv", None, "4", "\ufffd"), ("d.csv", None, "5", "你"),
+    }
+
+
 def test_label_discovery():
     assert lf.label_columns(["x", "b_label", "a_label"]) == (["a_label", "b_label"], [])
     assert lf.label_columns(["x", "b_label"], ["b_label", "c_label"]) == (["b_label"], ["c_label"])
@@ -64,6 +75,17 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(r["sample"] for r in left.collect()) == [1, 2, 9]
 
 
+def test_index_of_a_hot_task_has_several_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        rows = spark.range(40_000).selectExpr("id AS sample", "'train' AS split", "IF(id < 39990, 't1', 't2') AS task", "uuid() AS note")
+        tables.write_index(rows, str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "i/split=train/task=t1").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "i")).select("sample").distinct().count() == 40_000
+
+
 def test_json_array_records(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"id": 1, "label": "[3, 1]"}, {"id": 2, "label": "4"}, {"id": 3, "label": "x"}]))
     rows = tables.parsed_labels(tables.read_records(spark, str(tmp_path / "r.json"), "id int, label string", array_file=True))
@@ -84,6 +106,19 @@ def test_refresh_rebuilds_only_changes(spark, tmp_path):
     assert refresh.refresh(spark, read(), {"v": 1}, build, output) == 1
     assert totals() == [3, 75]
     assert refresh.refresh(spark, read(), {"v": 2}, build, output) == 2
+    (folder / "b.csv").write_text("x\n")  # read as a file without rows
+    (folder / "c.csv").write_text("x\n8\n")
+    assert refresh.refresh(spark, read(), {"v": 2}, build, output) == 1
+    assert totals() == [3, 8]
+    few = lambda rows: build(rows.where("x < 8"))
+    assert refresh.refresh(spark, read(), {"v": 3}, few, output) == 2
+    assert totals() == [3]
+    (folder / "c.csv").write_text("x\n7\n")
+    assert refresh.refresh(spark, read(), {"v": 3}, few, output) == 1
+    assert totals() == [3, 7]
+    (folder / "a.csv").unlink()
+    assert refresh.refresh(spark, read(), {"v": 3}, few, output) == 0
+    assert totals() == [7]
 
 
 def test_stream_keeps_newest_counts(spark, tmp_path):
