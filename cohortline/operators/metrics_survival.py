@@ -320,7 +320,8 @@ def stage_report(rows: DataFrame, train: DataFrame, stage: str, row_id: str, poi
     )
     scored = rows.join(ends, stage).withColumns({
         "risk": mean_hazard(F.col("hazards"), F.col("t_min"), F.col("t_max")),
-        "predicted": 1.0 - risk_at(F.col("hazards"), F.col("t_median")), "at": F.col("t_median"),
+        # rounded so that the bins of equal predictions don't hang on the last bit
+        "predicted": F.round(1.0 - risk_at(F.col("hazards"), F.col("t_median")), 10), "at": F.col("t_median"),
     })
     parts = [
         auc.withColumnRenamed("mean_auc", "time_dependent_c"),

@@ -420,7 +420,18 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.select("stage", "samples_total", "events_total", "time_dependent_c", "ibs"), 7)
 
 
-@query("stage_report_mean", "V15")
+@query(
+    "stage_report_mean", "V15 V7 V10 V11 V12",
+    f"""WITH {SURVIVAL_SQL}, {CURVES_SQL}, {GRID_SQL}, {AUC_SQL}, {BRIER_SQL}, {CALIBRATION_SQL},
+    ge AS (SELECT stage, min(t) AS a, max(t) AS z FROM gd GROUP BY stage),
+    hr AS MATERIALIZED (SELECT stage, time, event, list_sum(list_transform(range({BINS}), lambda i: hz[i + 1] * (least(greatest(z - i, 0), 1) - least(greatest(a - i, 0), 1)))) / (z - a) AS risk
+      FROM sv JOIN ge USING (stage)),
+    hg AS MATERIALIZED (SELECT stage, time, event, round(risk, 10) AS risk, count(*) AS w FROM hr GROUP BY ALL),
+    hc AS (SELECT i.stage, sum(CASE WHEN i.risk - j.risk > 1e-8 THEN i.w * j.w WHEN abs(i.risk - j.risk) <= 1e-8 THEN 0.5 * i.w * j.w ELSE 0 END) / sum(i.w * j.w) AS harrell_c_index
+      FROM hg i JOIN hg j ON i.stage = j.stage AND i.event AND (j.time > i.time OR (j.time = i.time AND NOT j.event)) GROUP BY i.stage)
+    SELECT round(avg(time_dependent_c), 7) AS time_dependent_c, round(avg(harrell_c_index), 7) AS harrell_c_index, round(avg(nd_calibration), 7) AS nd_calibration, round(avg(ibs), 7) AS ibs
+    FROM tdc JOIN hc USING (stage) JOIN nd USING (stage) JOIN ibs USING (stage)""",
+)
 def stage_report_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over stages of all metrics, concordance and calibration included."""
     report = ms.stage_report(survival_rows(spark, sf_dir), train_rows(spark, sf_dir), "stage", "row_id", GRID)
