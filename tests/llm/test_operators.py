@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cohortline.llm import fingerprints, language, licenses, media, mixing, packing, quality, queries, simhash, substrings, tokens
+from cohortline.llm import fingerprints, language, licenses, media, mixing, packing, quality, queries, resemblance, simhash, substrings, tokens
 
 COLUMNS = ("doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size long, component_id long, "
            "row string, rank long, class string, spans string")
@@ -131,6 +131,63 @@ def test_near_prints_in_whole_and_cut_groups(spark, piece):
     assert root == reachable(prints, 4)
 
 
+def likeness(texts: dict[int, str]) -> dict[int, int]:
+    """The smallest id reachable over all pairs of Jaccard 0.8 or more, from whole sets of five-word shingles."""
+    sets = {}
+    for doc, text in texts.items():
+        w = text.encode().translate(simhash.UPPER).split()
+        sets[doc] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            x, y = sets[a], sets[b]
+            if (not x and not y or x and y and 9 * len(x & y) >= 4 * (len(x) + len(y))) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("sample", [5, 20_000])
+def test_near_copies_against_all_pairs(spark, documents, sample):
+    """Edited copies on both sides of 0.8, chains of copies, a line that many share, short and empty texts."""
+    rng = np.random.default_rng(5)
+    texts = {d: t or "" for d, t, _, _ in documents[:120]}
+    long = [t for t in texts.values() if len(t.split()) > 60][:12]
+    for k, text in enumerate(long):
+        for edits in range(1, 15):
+            w = text.split()
+            for at in rng.choice(len(w), min(edits * len(w) // 150 + 1, len(w) // 3), replace=False):
+                w[at] = f"other{k}x{edits}x{at}"
+            texts[10_000 + 100 * k + edits] = " ".join(w)
+            texts[20_000 + 100 * k + edits] = "one line that very many of these texts have in front " + " ".join(w[: 20 + 2 * edits])
+    texts |= {30_000: "", 30_001: " ", 30_002: "a b", 30_003: "A  b", 30_004: "a b c"}
+    expected = likeness(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in resemblance.near_copies(docs, sample=sample).collect()}
+    assert found == expected
+    prints = {d: simhash.fingerprint(t.encode(), 5) for d, t in texts.items()}
+    assert len(set(expected.values())) != len(set(reachable(prints, 8).values()))  # eight bits of 64 don't tell it
+    kept = {r["doc_id"] for r in resemblance.survivors(docs).collect()}
+    assert kept == set(expected.values())
+
+
+def test_pipeline_removes_near_copies_at_the_stated_likeness(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):  # 6 or 13 of 300 words changed: likeness 0.82 or 0.64
+        w = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((2 * k, " ".join(w)))
+        for at in range(10, 290, 47 if k % 2 else 23):
+            w[at] = "changed"
+        rows.append((2 * k + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == set(likeness(dict(rows)).values()) and len(kept) < 80
+
+
 def test_tokens_as_the_library_has_them(spark, sf_dir, documents, odd):
     library = tokens.load(queries.vocabulary())
     found = by_id(queries.op3_token_counts(spark, sf_dir))
