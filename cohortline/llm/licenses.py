@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind keyword gates, with DataFrame functions only.
 
-A text becomes one string of words. Rules are regular expressions over that string, gated by a keyword that each match
-holds. A rule names a label, a priority and a weight. Where one match lies within another of the same or a higher
+A text becomes one string of words. Rules are regular expressions over that string, gated by keywords of which each
+match holds one. A rule names a label, a priority and a weight. Where one match lies within another of the same or a higher
 priority, the inner one is dropped.
 """
 
@@ -20,7 +20,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 class Rule:
     label: str
     pattern: str
-    keyword: str
+    #: Words of which each match holds one at least
+    keywords: tuple[str, ...]
     priority: int
     weight: float
 
@@ -92,7 +93,7 @@ CC_NAMES = {
     "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s",
 }
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Grants, terms and notices without a license's name: label, keyword, pattern.
+#: Grants, terms and notices without a license's name: label, keyword or keywords, pattern.
 NOTICES = (
     ("public-domain", "public domain", "(?:released |dedicated |placed )?(?:in|into|to) the public domain"),
     ("permissive-grant", "hereby granted", "permission is hereby granted(?: free of charge)?"),
@@ -106,20 +107,20 @@ NOTICES = (
     ("no-warranty", "merchantability", "merchantability(?: and| or)? fitness for a particular purpose"),
     ("reserved", "rights reserved", "(?:all )?rights reserved"),
     ("reserved", "reproduced", "no part of this (?:publication|book|work|document) may be reproduced"),
-    ("reserved", "redistribut", "(?:may|must) not be (?:copied|redistributed|reproduced)"),
+    ("reserved", ("may not be", "must not be"), "(?:may|must) not be (?:copied|redistributed|reproduced)"),
     ("reserved", "proprietary", "proprietary and confidential"),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
     ("copyright", "copyright", "copyright(?: c)? by"),
     ("reference", "licensed under", "(?:is |are )?licensed under(?: the)?"),
-    ("reference", "license", "(?:under|subject to) the terms of (?:the|this)(?: [a-z0-9]+){0,4} licen[sc]e"),
+    ("reference", ("license", "licence"), "(?:under|subject to) the terms of (?:the|this)(?: [a-z0-9]+){0,4} licen[sc]e"),
     ("reference", "spdx", "spdx license identifier"),
-    ("reference", "license", "see (?:the )?(?:file )?(?:licen[sc]e|copying)(?: file)? for(?: more)? details"),
+    ("reference", ("license", "licence", "copying"), "see (?:the )?(?:file )?(?:licen[sc]e|copying)(?: file)? for(?: more)? details"),
 )
 
 
 def rules() -> tuple[Rule, ...]:
     """All rules in order: base phrases, versions, names, codes, tags, notices. An earlier rule has a higher priority."""
-    found: list[tuple[str, str, str, float]] = [(label, phrase, phrase, 1.0) for phrase, label in BASE]
+    found: list[tuple[str, str, str | tuple[str, ...], float]] = [(label, phrase, phrase, 1.0) for phrase, label in BASE]
     for label, keyword, name, versions in FAMILIES:
         for v in versions:
             found.append((f"{label}-{v.replace(' ', '.')}", f"{name}(?: v| version)?(?: |)? ?{v}(?: only| or later)?", keyword, 1.0))
@@ -133,7 +134,8 @@ def rules() -> tuple[Rule, ...]:
         found.append((tag, f"creative commons {CC_NAMES[code]}(?: licen[sc]e)?", "creative commons", 0.9))
     found += [(label, pattern, keyword, 0.8) for label, keyword, pattern in TAGS]
     found += [(label, pattern, keyword, 0.5) for label, keyword, pattern in NOTICES]
-    return tuple(Rule(label, pattern, keyword, len(found) - k, weight) for k, (label, pattern, keyword, weight) in enumerate(found))
+    return tuple(
+        Rule(label, pattern, (keyword,) if isinstance(keyword, str) else keyword, len(found) - k, weight) for k, (label, pattern, keyword, weight) in enumerate(found))
 
 
 def word_string(text: Column) -> Column:
@@ -153,21 +155,21 @@ def _quoted(text: str) -> str:
 def gate(listed: tuple[Rule, ...]) -> str:
     """One expression that any match of any rule must fulfil: a keyword at the start of a word, by first letter."""
     by_letter: dict[str, set[str]] = {}
-    for r in listed:
-        by_letter.setdefault(r.keyword[0], set()).add(r.keyword[1:])
+    for keyword in (k for r in listed for k in r.keywords):
+        by_letter.setdefault(keyword[0], set()).add(keyword[1:])
     return " (?:" + "|".join(f"{a}(?:{'|'.join(sorted(rest))})" for a, rest in sorted(by_letter.items())) + ")"
 
 
 def detections(listed: tuple[Rule, ...]) -> str:
-    """SQL for the matches of all rules whose keyword is in the column `_words`: label, priority, weight, word span.
+    """SQL for the matches of all rules with a keyword in the column `_words`: label, priority, weight, word span.
 
     What lies between a rule's matches and the matches themselves alternate, so positions are sums of their blanks.
     """
     table = ", ".join(
-        f"named_struct('label', {_quoted(r.label)}, 'pattern', {_quoted(f'(?<= )(?:{r.pattern})(?= )')}, 'keyword', {_quoted(' ' + r.keyword)}, "
+        f"named_struct('label', {_quoted(r.label)}, 'pattern', {_quoted(f'(?<= )(?:{r.pattern})(?= )')}, 'keywords', array({', '.join(_quoted(' ' + k) for k in r.keywords)}), "
         f"'priority', {r.priority}, 'weight', {r.weight}D)" for r in listed)
     kind = "array<struct<label:string,priority:int,weight:double,s:int,e:int>>"
-    return f"""flatten(transform(filter(array({table}), r -> contains(_words, r.keyword)), r -> aggregate(
+    return f"""flatten(transform(filter(array({table}), r -> exists(r.keywords, k -> contains(_words, k))), r -> aggregate(
         zip_with(split(_words, r.pattern, -1), regexp_extract_all(_words, r.pattern, 0), (p, h) -> named_struct('p', p, 'h', h)),
         named_struct('at', -1, 'found', cast(array() as {kind})),
         (acc, x) -> named_struct(

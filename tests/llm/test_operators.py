@@ -410,6 +410,47 @@ def test_inner_license_matches_are_dropped(spark):
     assert "lgpl-2.1" in row["labels"] and not any(d["label"] == "lgpl" for d in row["found"])
 
 
+def spelled(pattern: str) -> list[str]:
+    """Texts that match the pattern and between them take every alternative, each option both ways."""
+    from itertools import product
+    from re import _parser as parser
+
+    def each(parsed) -> list[str]:
+        return ["".join(x) for x in product(*(one(*item) for item in parsed))]
+
+    def one(kind, value) -> list[str]:
+        kind = str(kind)
+        if kind == "LITERAL":
+            return [chr(value)]
+        if kind == "ANY":
+            return [" "]  # what follows begins a word
+        if kind == "IN":
+            return [chr(c) for k, v in value for c in ([v] if str(k) == "LITERAL" else [v[0]])]
+        if kind == "BRANCH":
+            return [x for branch in value[1] for x in each(branch)]
+        if kind == "SUBPATTERN":
+            return each(value[-1])
+        assert kind == "MAX_REPEAT", kind
+        low, _, inner = value
+        found = each(inner)
+        return [f * low for f in found] + [f * (low + 1) for f in found]
+
+    return sorted(set(each(parser.parse(pattern))))
+
+
+def test_license_rules_hold_their_keywords(spark):
+    import re
+
+    listed = licenses.rules()
+    for r in listed:
+        for text in spelled(r.pattern):
+            if re.fullmatch(r.pattern, text):
+                assert any(f" {k}" in f" {text} " for k in r.keywords), (r, text)
+    rows = ["This may not be copied.", "It must not be reproduced", "under the terms of this licence", "See COPYING for more details", "see the licence file for details"]
+    found = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [(found[k]["labels"], found[k]["score"]) for k in range(5)] == [("reserved", 0.5)] * 2 + [("reference", 0.5)] * 3
+
+
 def test_pipeline_stages(spark, sf_dir, documents):
     import corpus_pipeline
 
