@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.llm import fingerprints, language, licenses, media, mixing, packing, quality, simhash, substrings, tokens
+from cohortline.llm import fingerprints, language, licenses, media, mixing, packing, pii, quality, simhash, substrings, tokens
 from cohortline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 SUBSTRINGS_SQL = r"""
 WITH parted AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -77,5 +81,5 @@ FROM parted LEFT JOIN kept USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_token_counts, op4_language, op5_mixing, op6_substrings, op7_packing,
-                            op8_quality, op9_media, op10_licenses)}
+                            op8_quality, op9_media, op10_licenses, op11_pii)}
 SQL: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op6_substrings": SUBSTRINGS_SQL}
