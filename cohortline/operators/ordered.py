@@ -21,7 +21,7 @@ BUCKET = "_bucket"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: `kind` is sum, last (non-null), max or min over the rows so far."""
+    """One running value: `kind` is sum, last (non-null), max, min or xor over the rows so far."""
 
     name: str
     kind: str
@@ -55,6 +55,7 @@ _OVER = {
     "sum": F.sum,
     "max": F.max,
     "min": F.min,
+    "xor": F.bit_xor,
     "last": lambda c: F.last(c, ignorenulls=True),
 }
 
@@ -69,6 +70,8 @@ def _bucket_total(step: Running, order: Sequence[str], descending: bool) -> Colu
 def _combine(step: Running, carried: Column, local: Column) -> Column:
     if step.kind == "sum":
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
+    if step.kind == "xor":
+        return F.coalesce(carried, F.lit(0)).bitwiseXOR(F.coalesce(local, F.lit(0)))
     if step.kind == "last":
         return F.coalesce(local, carried)
     return (F.greatest if step.kind == "max" else F.least)(local, carried)
