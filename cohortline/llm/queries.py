@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortline.llm import fingerprints, language, licenses, media, merkle, mixing, packing, pii, quality, simhash, substrings, tokens
+from cohortline.llm import fingerprints, language, licenses, media, merkle, mixing, packing, pii, prefixes, quality, simhash, substrings, tokens
 from cohortline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 SUBSTRINGS_SQL = r"""
 WITH parted AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -85,5 +89,5 @@ FROM parted LEFT JOIN kept USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_simhash, op3_token_counts, op4_language, op5_mixing, op6_substrings, op7_packing,
-                            op8_quality, op9_media, op10_licenses, op11_pii, op12_merkle)}
-SQL: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op6_substrings": SUBSTRINGS_SQL, "op12_merkle": merkle.MANIFEST_SQL}
+                            op8_quality, op9_media, op10_licenses, op11_pii, op12_merkle, op13_prefixes)}
+SQL: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op6_substrings": SUBSTRINGS_SQL, "op12_merkle": merkle.MANIFEST_SQL, "op13_prefixes": prefixes.TRIE_SQL}
