@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortline.functions import times
 from cohortline.operators.ordered import Running, lookup, scan
 from cohortline.operators.timeline import idx_bucket
 
@@ -19,54 +18,58 @@ LONG_BUCKET = 28 * 86_400
 
 
 def last_starting_before(
-    anchors: DataFrame, blocks: DataFrame, keys: Sequence[str], limit: Column, name: str = "context_end",
+    anchors: DataFrame | Column, blocks: DataFrame, keys: Sequence[str], limit: Column, name: str = "context_end",
     values: Sequence[str] = ("starttime",), bucket_seconds: int = LONG_BUCKET,
 ) -> DataFrame:
     """Latest block (largest number) with the anchor's keys that starts strictly before `limit` and follows the anchor.
 
-    Adds `name` and `{name}_{value}` columns, null when no block qualifies.
+    Anchors are a table, or a condition on the blocks, which are then read once. Adds `name` and `{name}_{value}`
+    columns, null when no block qualifies.
     """
-    points = blocks.where(F.col("starttime").isNotNull()).select(*keys, F.col("event_idx").alias("idx"), "starttime",
-                                                               *[c for c in values if c != "starttime"])
-    point_at = points.withColumn("at", F.col("starttime"))
-    best = Running("_found", "max", F.when(F.col("_p_idx").isNotNull(), F.struct(
-        F.col("_p_idx").alias("idx"), *[F.col(f"_p_{v}").alias(v) for v in values])))
-    found = lookup(
-        anchors.withColumn("_limit", limit), point_at, keys, "_limit", "at", [best], strict=True,
-        bucket_seconds=bucket_seconds,
-    )
+    best = Running("_found", "max", F.when(F.col("_p_event_idx").isNotNull(), F.struct(
+        F.col("_p_event_idx").alias("idx"), *[F.col(f"_p_{v}").alias(v) for v in values])))
+    held = ["event_idx", *values]
+    if isinstance(anchors, DataFrame):
+        columns = anchors.columns
+        points = blocks.where(F.col("starttime").isNotNull()).select(*keys, *held, F.col("starttime").alias("_start"))
+        found = lookup(anchors.withColumn("_limit", limit), points, keys, "_limit", "_start", [best], strict=True, bucket_seconds=bucket_seconds, held=held)
+    else:
+        columns = blocks.columns
+        found = lookup(anchors, blocks, keys, limit, "starttime", [best], strict=True, bucket_seconds=bucket_seconds,
+                       held=held, is_point=F.col("starttime").isNotNull())
     follows = F.col("_found.idx") > F.col("event_idx")
     return found.select(
-        *anchors.columns, F.when(follows, F.col("_found.idx")).alias(name),
+        *columns, F.when(follows, F.col("_found.idx")).alias(name),
         *[F.when(follows, F.col(f"_found.{v}")).alias(f"{name}_{v}") for v in values],
     )
 
 
-def forward_context(anchors: DataFrame, blocks: DataFrame, hours: int = CONTEXT_HOURS) -> DataFrame:
+def forward_context(anchors: DataFrame | Column, blocks: DataFrame, hours: int = CONTEXT_HOURS) -> DataFrame:
     """Last same-admission block that starts less than `hours` after the anchor."""
     limit = F.col("starttime") + F.make_dt_interval(hours=F.lit(hours))
     return last_starting_before(anchors, blocks, ["subject_id", "hadm_id"], limit)
 
 
-def until_time(anchors: DataFrame, blocks: DataFrame, limit: Column) -> DataFrame:
+def until_time(anchors: DataFrame | Column, blocks: DataFrame, limit: Column) -> DataFrame:
     """Last block of the subject, any admission, that starts before a given time."""
     return last_starting_before(anchors, blocks, ["subject_id"], limit)
 
 
-def backward_context(anchors: DataFrame, blocks: DataFrame, hours: int = CONTEXT_HOURS) -> DataFrame:
+def backward_context(anchors: DataFrame | Column, blocks: DataFrame, hours: int = CONTEXT_HOURS) -> DataFrame:
     """Earliest same-admission block (not the first of all) that starts less than `hours` before the anchor."""
-    points = blocks.where((F.col("event_idx") > 0) & F.col("starttime").isNotNull()).select(
-        "subject_id", "hadm_id", F.col("event_idx").alias("idx"), F.col("starttime").alias("at")
-    )
+    keys, held = ["subject_id", "hadm_id"], ["event_idx"]
+    able = (F.col("event_idx") > 0) & F.col("starttime").isNotNull()
     limit = F.col("starttime") - F.make_dt_interval(hours=F.lit(hours))
-    found = lookup(
-        anchors.withColumn("_limit", limit), points, ["subject_id", "hadm_id"], "_limit", "at",
-        [Running("_found", "min", F.col("_p_idx"))], strict=True, after=True, bucket_seconds=LONG_BUCKET,
-    )
-    return found.select(
-        *anchors.columns,
-        F.when(F.col("_found") < F.col("event_idx"), F.col("_found")).alias("context_begin"),
-    )
+    first = Running("_found", "min", F.col("_p_event_idx"))
+    if isinstance(anchors, DataFrame):
+        columns = anchors.columns
+        points = blocks.where(able).select(*keys, *held, F.col("starttime").alias("_start"))
+        found = lookup(anchors.withColumn("_limit", limit), points, keys, "_limit", "_start", [first], strict=True, after=True,
+                       bucket_seconds=LONG_BUCKET, held=held)
+    else:
+        columns = blocks.columns
+        found = lookup(anchors, blocks, keys, limit, "starttime", [first], strict=True, after=True, bucket_seconds=LONG_BUCKET, held=held, is_point=able)
+    return found.select(*columns, F.when(F.col("_found") < F.col("event_idx"), F.col("_found")).alias("context_begin"))
 
 
 def anchor_time_of_untimed(blocks: DataFrame, untimed: Sequence[str]) -> DataFrame:
@@ -84,19 +87,15 @@ def between_discharges(blocks: DataFrame, tabular: Sequence[str]) -> DataFrame:
     Adds admissions_id, last_discharge_id, context_begin, context_end.
     """
     is_tabular = F.col("file_name").isin(*tabular).cast("bigint")
-    counted = scan(
+    seen = scan(
         blocks, ["subject_id"], ["event_idx"],
         [
             Running("_before", "sum", is_tabular, inclusive=False),
             Running("_until", "sum", is_tabular, inclusive=True),
         ],
         idx_bucket(),
-    )
-    seen = scan(
-        counted, ["subject_id"], ["event_idx"],
-        [Running("_discharge", "last", F.when(F.col("file_name") == "discharge", F.struct("event_idx", "_until")),
-                 inclusive=False)],
-        idx_bucket(),
+        then=[Running("_discharge", "last", F.when(F.col("file_name") == "discharge", F.struct("event_idx", "_until")),
+                      inclusive=False)],
     )
     # the admission is looked up within its own admission id, so its scan key is (subject, admission)
     admitted = scan(
@@ -169,7 +168,3 @@ def visit_slices(
     )
     counted = first.withColumn("n_rows", F.col("_until_end") - F.col("_before_start"))
     return counted.where(F.col("n_rows") >= min_rows).drop("_until_end", "_before_start")
-
-
-def gap_to(end: Column, start: Column) -> Column:
-    return times.gap_hours(start, end)

@@ -2,17 +2,18 @@
 
 A plain `Window.partitionBy(subject)` puts a whole subject in one task. Here each key is cut into
 buckets that follow its order (a time bucket, a hash prefix or, by default, range partitions).
-Every bucket is scanned on its own, the buckets' totals are combined in a small second scan, and the
-carried total is joined back. All supported functions are associative, so the result is exact.
+Every bucket is scanned on its own, the last row of a bucket has its total, the totals are combined in a
+small second scan, and the carried total is joined back. All supported functions are associative, so the
+result is exact. Local scan and totals come from one shuffle of the rows: see `_Parts`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window, WindowSpec
 
 from cohortline.session import cut
 
@@ -60,11 +61,11 @@ _OVER = {
 }
 
 
-def _bucket_total(step: Running, order: Sequence[str], descending: bool) -> Column:
-    if step.kind != "last":
-        return _OVER[step.kind](step.value)
-    position = F.when(step.value.isNotNull(), F.struct(*order))
-    return (F.min_by if descending else F.max_by)(step.value, position)
+def _total(step: Running, local: Column, value: Column) -> Column:
+    """What a bucket adds up to, from its last row."""
+    if step.inclusive:
+        return local
+    return _combine(step, local, value)
 
 
 def _combine(step: Running, carried: Column, local: Column) -> Column:
@@ -77,6 +78,89 @@ def _combine(step: Running, carried: Column, local: Column) -> Column:
     return (F.greatest if step.kind == "max" else F.least)(local, carried)
 
 
+class _Parts:
+    """Rows laid out by (keys, bucket) once, for their local scan and for the totals of the buckets.
+
+    Both come from the same shuffle only if the optimizer asks the same of it for both. So the rows' columns travel
+    as one struct that the totals carry along too (the last row's stands for its bucket), and the columns that
+    rows and totals are joined on can't be null: no filter is derived for one side alone. The struct counts as nullable,
+    so that `coalesce` of both sides' keeps both.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, descending: bool):
+        rows = range_buckets(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
+        self.columns, self.descending = df.columns, descending
+        self.made: list[str] = []
+        flats, nulls = {}, F.lit(0)
+        for i, name in enumerate(keys):
+            column, kind = F.col(name), df.schema[name].dataType
+            if df.schema[name].nullable:
+                nulls = nulls + F.when(column.isNull(), 1 << i).otherwise(0)
+            column = column if isinstance(kind, (T.NumericType, T.StringType)) else column.cast("string")
+            flats[f"_k{i}"] = F.coalesce(column, F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit(""))
+        if any(df.schema[name].nullable for name in keys):
+            flats["_nulls"] = nulls
+        self.keys = [*flats]
+        self.parts = [*self.keys, "_b"]
+        self.order = [f"_o{i}" for i in range(len(order))]
+        whole = F.col(BUCKET).cast("bigint")
+        rows = rows.withColumn("_b", F.coalesce(whole, F.lit(-(2**63))))
+        self.rows = rows.select(
+            *[c.alias(n) for n, c in flats.items()], "_b", *[F.col(c).alias(o) for c, o in zip(order, self.order, strict=True)],
+            F.when(F.bit_count("_b") >= 0, F.struct(*[F.col(f"`{c}`") for c in self.columns])).alias("_row"),
+        )
+
+    def _sorted(self, names: Sequence[str]) -> list[Column]:
+        return [F.col(c).desc() if self.descending else F.col(c).asc() for c in names]
+
+    @property
+    def within(self) -> WindowSpec:
+        return Window.partitionBy(*self.parts).orderBy(*self._sorted(self.order))
+
+    @property
+    def across(self) -> WindowSpec:
+        """The buckets of a key, on one row each."""
+        return Window.partitionBy(*self.keys).orderBy(*self._sorted(["_b"]))
+
+    @property
+    def is_last(self) -> Column:
+        return F.lead(F.lit(1)).over(self.within).isNull()
+
+    def values(self, columns: Mapping[str, Column]) -> DataFrame:
+        """The rows with further columns, which are made from the rows' own and those made before."""
+        fields = [F.col("_row").getField(c).alias(c) for c in self.columns if c not in self.made]
+        return self.rows.select("*", *fields).select(*self.rows.columns, *[c.alias(n) for n, c in columns.items()])
+
+    def carried(self, local: DataFrame, carry: DataFrame, named: Sequence[str], made: Mapping[str, Column]) -> None:
+        """Join one row per bucket, with the columns `named`, to the rows; `made` are new columns of the result."""
+        other = carry.select(*[F.col(c).alias(f"_c{c}") for c in self.parts], F.col("_row").alias("_other"), *named)
+        joined = local.join(other, [F.col(c) == F.col(f"_c{c}") for c in self.parts], "left")
+        before = [c for c in self.made if c not in made]
+        self.made = [*before, *made]
+        self.rows = joined.select(
+            *self.parts, *self.order, F.coalesce("_row", "_other").alias("_row"), *before, *[c.alias(n) for n, c in made.items()])
+
+    def run(self, steps: Sequence[Running]) -> None:
+        local = self.values({f"_value_{s.name}": s.value for s in steps})
+        frames = {
+            True: self.within.rowsBetween(Window.unboundedPreceding, 0), False: self.within.rowsBetween(Window.unboundedPreceding, -1),
+        }
+        local = local.select(
+            "*", *[_OVER[s.kind](F.col(f"_value_{s.name}")).over(frames[s.inclusive]).alias(f"_local_{s.name}") for s in steps],
+            self.is_last.alias("_last"),
+        )
+        totals = local.where("_last").select(
+            *self.parts, "_row", *[_total(s, F.col(f"_local_{s.name}"), F.col(f"_value_{s.name}")).alias(f"_total_{s.name}") for s in steps])
+        earlier = self.across.rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(
+            *self.parts, "_row", *[_OVER[s.kind](F.col(f"_total_{s.name}")).over(earlier).alias(f"_carry_{s.name}") for s in steps])
+        self.carried(local, carry, [f"_carry_{s.name}" for s in steps],
+                     {s.name: _combine(s, F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")) for s in steps})
+
+    def result(self) -> DataFrame:
+        return self.rows.select(*[F.col("_row").getField(c).alias(c) for c in self.columns if c not in self.made], *self.made)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,37 +168,20 @@ def scan(
     steps: Sequence[Running],
     bucket: Column | None = None,
     descending: bool = False,
+    then: Sequence[Running] = (),
 ) -> DataFrame:
     """Running values per key in `order` (all ascending, or all descending).
 
-    `order` must be a total order within a key and `keys` must not be null. A given `bucket` must follow the
+    `order` must be a total order within a key. Null keys are a key of their own. A given `bucket` must follow the
     order and costs no job of its own; without one the rows are cut by range, which also splits a key whose
-    rows crowd into one bucket (many rows at one time, say).
+    rows crowd into one bucket (many rows at one time, say). The steps of `then` may use the results of `steps`
+    and share their shuffle. All columns of `df` travel, so select before.
     """
-    rows = range_buckets(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
-    parts = [*keys, BUCKET]
-    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    within = Window.partitionBy(*parts).orderBy(*ordering)
-    frames = {
-        True: within.rowsBetween(Window.unboundedPreceding, 0),
-        False: within.rowsBetween(Window.unboundedPreceding, -1),
-    }
-    local = rows.select(
-        "*", *[_OVER[s.kind](s.value).over(frames[s.inclusive]).alias(f"_local_{s.name}") for s in steps]
-    )
-    totals = rows.groupBy(*parts).agg(*[_bucket_total(s, order, descending).alias(f"_total_{s.name}") for s in steps])
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET).asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        *parts, *[_OVER[s.kind](F.col(f"_total_{s.name}")).over(earlier).alias(f"_carry_{s.name}") for s in steps]
-    )
-    return local.join(carry, parts, "left").select(
-        *df.columns,
-        *[_combine(s, F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")).alias(s.name) for s in steps],
-    )
+    parts = _Parts(df, keys, order, bucket, descending)
+    parts.run(steps)
+    if then:
+        parts.run(then)
+    return parts.result()
 
 
 def position(
@@ -130,61 +197,63 @@ def runs(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, name: str, bucket: Column | None = None
 ) -> DataFrame:
     """Number the runs of equal `kind` per key from 0 (gaps and islands), one shuffle of the rows."""
-    rows = range_buckets(df, keys, order) if bucket is None else df.withColumn(BUCKET, bucket)
-    parts = [*keys, BUCKET]
-    within = Window.partitionBy(*parts).orderBy(*order)
-    change = F.coalesce((F.col(kind) != F.lag(kind).over(within)).cast("bigint"), F.lit(0).cast("bigint"))
-    local = rows.withColumn("_change", change).withColumn(
-        "_inner", F.sum("_change").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    place = F.struct(*order)
-    edges = local.groupBy(*parts).agg(
-        F.min_by(kind, place).alias("_first"), F.max_by(kind, place).alias("_last"), F.sum("_change").alias("_changes")
-    )
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    opened = F.coalesce((F.col("_first") != F.lag("_last").over(across)).cast("bigint"), F.lit(0).cast("bigint"))
-    carry = edges.withColumn("_opened", opened).select(
-        *parts,
-        (
-            F.sum(F.col("_opened") + F.col("_changes")).over(across.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_changes")
-        ).alias("_base"),
-    )
-    return local.join(carry, parts, "left").select(*df.columns, (F.col("_base") + F.col("_inner")).alias(name))
+    parts = _Parts(df, keys, order, bucket, False)
+    local = parts.values({"_kind": F.col(kind)})
+    change = F.coalesce((F.col("_kind") != F.lag("_kind").over(parts.within)).cast("bigint"), F.lit(0).cast("bigint"))
+    upto = parts.within.rowsBetween(Window.unboundedPreceding, 0)
+    local = local.select("*", change.alias("_change"), F.first("_kind").over(upto).alias("_first"), parts.is_last.alias("_last"))
+    local = local.withColumn("_inner", F.sum("_change").over(upto))
+    edges = local.where("_last").withColumn(
+        "_opened", F.coalesce((F.col("_first") != F.lag("_kind").over(parts.across)).cast("bigint"), F.lit(0).cast("bigint")))
+    base = F.sum(F.col("_opened") + F.col("_inner")).over(parts.across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
+    parts.carried(local, edges.withColumn("_base", base), ["_base"], {name: F.col("_base") + F.col("_inner")})
+    return parts.result()
 
 
 def lookup(
-    queries: DataFrame,
+    queries: DataFrame | Column,
     points: DataFrame,
     keys: Sequence[str],
-    query_at: str,
-    point_at: str,
+    query_at: str | Column,
+    point_at: str | Column,
     steps: Sequence[Running],
     strict: bool = False,
     after: bool = False,
     bucket_seconds: int | None = None,
     bucket: Column | None = None,
+    held: Sequence[str] | None = None,
+    is_point: Column | None = None,
 ) -> DataFrame:
     """As-of aggregate: for each query row, running values over the points at or before it.
 
     `strict` leaves out points at the same place; `after` looks at the points at or after it instead.
-    Step values refer to columns of `points`. No pair of rows is ever formed: both sides are put in
-    one ordered scan per key.
+    Step values refer to columns of `points`, as `_p_<name>`. No pair of rows is ever formed: both sides are put in
+    one ordered scan per key. Where `queries` is a condition, the rows of `points` that fulfil it are the queries (and keep
+    all columns), those that fulfil `is_point` are the points; the table is then read once, each row as one or both.
     """
-    point_first = strict == after
-    point_rank, query_rank = (0, 1) if point_first else (1, 0)
-    kept = [c for c in queries.columns if c not in keys]
-    held = [c for c in points.columns if c not in keys and c != point_at]
-    left = queries.select(
-        *keys, F.col(query_at).alias("_at"), F.lit(query_rank).alias("_rank"),
-        F.struct(*kept).alias("_query"), F.lit(None).cast(points.select(F.struct(*held)).schema[0].dataType).alias("_point"),
-    )
-    right = points.select(
-        *keys, F.col(point_at).alias("_at"), F.lit(point_rank).alias("_rank"),
-        F.lit(None).cast(left.schema["_query"].dataType).alias("_query"), F.struct(*held).alias("_point"),
-    )
-    both = left.unionByName(right)
-    ordered = both.select(*keys, "_at", "_rank", "_query", *[F.col(f"_point.{c}").alias(f"_p_{c}") for c in held])
+    point_rank, query_rank = (0, 1) if strict == after else (1, 0)
+    place = lambda at: F.col(at) if isinstance(at, str) else at
+    if isinstance(queries, DataFrame):
+        kept = [c for c in queries.columns if c not in keys]
+        held = [c for c in points.columns if c not in keys and c != point_at] if held is None else held
+    else:
+        kept = [c for c in points.columns if c not in keys]
+    query, point = F.struct(*[F.col(f"`{c}`") for c in kept]), F.struct(*[F.col(f"`{c}`") for c in held])
+
+    def entry(at: str | Column, rank: int, own: Column, other: Column, first: bool) -> Column:
+        both = (own.alias("_query"), other.alias("_point")) if first else (other.alias("_query"), own.alias("_point"))
+        return F.struct(place(at).alias("_at"), F.lit(rank).alias("_rank"), *both)
+
+    none = lambda frame, column: F.lit(None).cast(frame.select(column).schema[0].dataType)
+    if isinstance(queries, DataFrame):
+        left = queries.select(*keys, entry(query_at, query_rank, query, none(points, point), True).alias("_e"))
+        both = left.unionByName(points.select(*keys, entry(point_at, point_rank, point, none(queries, query), False).alias("_e")))
+    else:
+        asked = F.when(queries, entry(query_at, query_rank, query, none(points, point), True))
+        given = entry(point_at, point_rank, point, none(points, query), False)
+        given = given if is_point is None else F.when(is_point, given)
+        both = points.select(*keys, F.explode(F.filter(F.array(asked, given), lambda e: e.isNotNull())).alias("_e"))
+    ordered = both.select(*keys, "_e._at", "_e._rank", "_e._query", *[F.col(f"_e._point.{c}").alias(f"_p_{c}") for c in held])
     renamed = [Running(s.name, s.kind, s.value, True) for s in steps]
     if bucket_seconds is not None:
         bucket = time_bucket("_at", bucket_seconds)

@@ -153,10 +153,8 @@ def intensive_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("subject_id", "hadm_id", "seq", "file_name", (F.col("position") - 1).alias("position"))
 
 
-def anchors_of(blocks: DataFrame, *kinds: str) -> DataFrame:
-    return blocks.where(F.col("file_name").isin(*kinds)).select(
-        "subject_id", "event_idx", "hadm_id", "starttime", "end_time", "file_name"
-    )
+def anchor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_table(spark, sf_dir).select("subject_id", "event_idx", "hadm_id", "starttime", "end_time", "file_name")
 
 
 @query(
@@ -167,8 +165,7 @@ def anchors_of(blocks: DataFrame, *kinds: str) -> DataFrame:
     WHERE a.file_name IN ('admissions', 'icustays') GROUP BY ALL""",
 )
 def forward_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = block_table(spark, sf_dir)
-    found = context.forward_context(anchors_of(blocks, "admissions", "icustays"), blocks)
+    found = context.forward_context(F.col("file_name").isin("admissions", "icustays"), anchor_blocks(spark, sf_dir))
     return found.select("subject_id", "event_idx", "context_end")
 
 
@@ -180,8 +177,7 @@ def forward_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE a.file_name = 'discharge' GROUP BY ALL""",
 )
 def backward_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = block_table(spark, sf_dir)
-    found = context.backward_context(anchors_of(blocks, "discharge"), blocks)
+    found = context.backward_context(F.col("file_name") == "discharge", anchor_blocks(spark, sf_dir))
     return found.select("subject_id", "event_idx", "context_begin")
 
 
@@ -193,8 +189,7 @@ def backward_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE a.file_name = 'edstays' GROUP BY ALL""",
 )
 def emergency_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = block_table(spark, sf_dir)
-    found = context.until_time(anchors_of(blocks, "edstays"), blocks, F.col("end_time"))
+    found = context.until_time(F.col("file_name") == "edstays", anchor_blocks(spark, sf_dir), F.col("end_time"))
     return found.select("subject_id", "event_idx", "context_end")
 
 
@@ -213,7 +208,8 @@ def emergency_context(spark: SparkSession, sf_dir: str) -> DataFrame:
       AND x.event_idx >= c.context_begin AND x.event_idx < c.event_idx)""",
 )
 def between_discharges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.between_discharges(block_table(spark, sf_dir), ["labevents", "omr", "chartevents"])
+    blocks = block_table(spark, sf_dir).select("subject_id", "event_idx", "hadm_id", "file_name")
+    found = context.between_discharges(blocks, ["labevents", "omr", "chartevents"])
     return found.select("subject_id", "event_idx", "admissions_id", "last_discharge_id", "context_begin", "context_end")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cohortline.operators.joins import within_interval
 from cohortline.operators.ordered import BUCKET, Running, lookup, position, range_buckets, runs, scan
+from cohortline.plans.registry import load_all
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +92,41 @@ def test_interval_join_plan_has_equi_key(spark, rows, capsys):
     within_interval(stays, points, ["key"], "low", "high", "at", 16).explain()
     plan = capsys.readouterr().out
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_null_keys_and_second_round(spark):
+    data = [(None if i % 4 == 0 else i % 3, "a" if i % 5 else None, i % 17, i) for i in range(400)]
+    rows = spark.createDataFrame(data, "k int, s string, t int, i int")
+    first = [Running("n", "sum", F.lit(1).cast("bigint")), Running("x", "xor", F.xxhash64("i"))]
+    then = [Running("best", "max", F.col("n") * 10 + F.col("t"), inclusive=False)]
+    got = scan(rows, ["k", "s"], ["t", "i"], first, F.floor(F.col("t") / 4), then=then)
+    w = Window.partitionBy("k", "s").orderBy("t", "i")
+    want = rows.withColumn("n", F.row_number().over(w).cast("bigint")).withColumn("x", F.bit_xor(F.xxhash64("i")).over(w)).withColumn(
+        "best", F.max(F.col("n") * 10 + F.col("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=lambda r: r["i"]) == sorted(want.collect(), key=lambda r: r["i"])
+
+
+@pytest.mark.parametrize("strict,after", [(False, False), (True, False), (False, True), (True, True)])
+def test_lookup_within_one_table(spark, strict, after):
+    data = [(i % 3, (i * 7) % 50 if i % 6 else None, (i * 11) % 60, i) for i in range(240)]
+    rows = spark.createDataFrame(data, "k int, at int, ask int, i int")
+    steps = [Running("low", "min", F.col("_p_i")), Running("n", "sum", F.when(F.col("_p_i").isNotNull(), 1))]
+    found = lookup(F.col("i") % 2 == 0, rows, ["k"], "ask", "at", steps, strict, after, bucket=F.floor(F.col("_at") / 8),
+                   held=["i"], is_point=F.col("at").isNotNull())
+    inside = {(False, False): lambda p, q: p <= q, (True, False): lambda p, q: p < q, (False, True): lambda p, q: p >= q, (True, True): lambda p, q: p > q}[strict, after]
+    got = {r["i"]: (r["low"], r["n"]) for r in found.collect()}
+    assert len(got) == 120
+    for k, _, ask, i in data:
+        if i % 2 == 0:
+            hits = [j for key, at, _, j in data if key == k and at is not None and inside(at, ask)]
+            assert got[i] == (min(hits, default=None), len(hits))
+
+
+@pytest.mark.parametrize("name", ["event_blocks", "forward_context", "backward_context", "emergency_context", "between_discharges", "last_admission_and_discharge"])
+def test_a_file_is_read_once(spark, sf_dir, name):
+    """Bucket totals and local scans share one shuffle of the rows, so the events are scanned once however many scans there are."""
+    df = load_all()[name].job(spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and final.count("FileScan") == 1 and "ReusedExchange" in final
