@@ -40,9 +40,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Folders that this process has named, in order
+_NAMED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, where every executor can reach it."""
-    return f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}/{name}"
+    folder = f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
+    _NAMED.append(folder)
+    return f"{folder}/{name}"
+
+
+def scratch_mark() -> int:
+    """Where the list of scratch folders stands, for `drop_scratch`."""
+    return len(_NAMED)
+
+
+def drop_scratch(spark: SparkSession, mark: int, kept: str | None = None) -> None:
+    """Remove the scratch folders named since `mark`, but for the one that holds `kept`.
+
+    For jobs of several steps, once a step's result is written: no table read from those folders may be used any more.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _NAMED[mark:]:
+        if kept is None or not kept.startswith(f"{folder}/"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    _NAMED[mark:] = [folder for folder in _NAMED[mark:] if kept is not None and kept.startswith(f"{folder}/")]
 
 
 def cut(df: DataFrame) -> DataFrame:
