@@ -1,7 +1,6 @@
 """Survival metrics: curves, concordance, time-dependent AUC, Brier score and calibration.
 
-Curves live on distinct times. Concordance counts pairs without forming them: risks become ranks, and a rank
-comparison is split into its binary digits, so that "lower risk and later time" is a sum of running counts.
+Curves live on distinct times. Concordance counts pairs of lower risk and later time without forming them (`dominance`).
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cohortline.operators.dominance import PART_ROWS, lower_and_later
 from cohortline.operators.ordered import Running, lookup, position, scan
 from cohortline.session import cut
 
@@ -76,62 +76,31 @@ def step_value(queries: DataFrame, curve: DataFrame, keys: Sequence[str], at: st
 
 
 def concordance(
-    df: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", risk: str = "risk", strict: bool = False
+    df: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", risk: str = "risk", strict: bool = False,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Concordance index per key, over pairs of an event and a row that outlasts it.
 
     Default: a row censored at the event's time outlasts it, risks within 1e-8 tie. `strict`: only later
-    times count and only equal risks tie. Rows alike in time, event and risk are counted once with a weight.
+    times count and only equal risks tie. Rows alike in time, event and risk are counted once with a weight; rows
+    without a time or a risk take no part.
     """
     tie = 0.0 if strict else TIE
     kind = F.lit(0) if strict else F.when(F.col(event) == 1, 0).otherwise(1)
-    points = df.groupBy(*keys, F.col(time).cast("double").alias("_t"), kind.alias("_k"), F.col(risk).cast("double").alias("_r")).agg(
-        F.count(F.lit(1)).alias("_w")
-    )
-    asked = df.where(F.col(event) == 1).groupBy(*keys, F.col(time).cast("double").alias("_t"), F.col(risk).cast("double").alias("_r")).agg(
-        F.count(F.lit(1)).alias("_w")
-    )
-    marks = F.explode(F.array(
-        F.struct(F.lit(0).alias("mark"), (F.col("_r") - F.lit(tie)).alias("_v")),
-        F.struct(F.lit(2).alias("mark"), (F.col("_r") + F.lit(tie)).alias("_v")),
-    ))
-    rows = points.select(*keys, "_t", "_k", F.lit(1).alias("mark"), F.col("_r").alias("_v"), "_w").unionByName(
-        asked.select(*keys, "_t", F.lit(0).alias("_k"), marks.alias("m"), "_w").select(*keys, "_t", "_k", "m.mark", "m._v", "_w")
-    )
-    places = position(rows.select(*keys, "_v", "mark").distinct(), keys, ["_v", "mark"], "rank")
-    ranked = cut(rows.join(places, [*keys, "_v", "mark"]))
-    top = ranked.agg(F.max("rank")).first()[0]
-    bits = max(1, int(top or 0).bit_length())
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    digit = (F.expr("shiftright(rank, level)") % 2) == 1
-    prefix = F.expr("shiftright(rank, level)")
-    spread = ranked.withColumn("level", level)
-    is_point = F.col("mark") == 1
-    low = spread.where(is_point & ~digit).withColumn("prefix", prefix).groupBy(*keys, "level", "prefix", "_t", "_k").agg(
-        F.sum("_w").alias("_pw")
-    ).select(*keys, "level", "prefix", "_t", "_k", "_pw", F.lit(0).alias("_q"), F.lit(0).cast("bigint").alias("low_w"), F.lit(0).cast("bigint").alias("high_w"))
-    high = spread.where(~is_point & digit).withColumn("prefix", prefix - 1).groupBy(*keys, "level", "prefix", "_t", "_k").agg(
-        F.sum(F.when(F.col("mark") == 0, F.col("_w")).otherwise(0)).alias("low_w"),
-        F.sum(F.when(F.col("mark") == 2, F.col("_w")).otherwise(0)).alias("high_w"),
-    ).select(*keys, "level", "prefix", "_t", "_k", F.lit(0).cast("bigint").alias("_pw"), F.lit(1).alias("_q"), "low_w", "high_w")
-    # later (t, k) first; at an equal place the question comes before the points, so only later points count
-    merged = low.unionByName(high)
-    counted = scan(
-        merged, [*keys, "level", "prefix"], ["_t", "_k", "_q"], [Running("later", "sum", F.col("_pw"))], descending=True
-    ).where(F.col("_q") == 1)
-    sums = counted.groupBy(*keys).agg(
-        F.sum(F.col("low_w") * F.col("later")).alias("lower"), F.sum(F.col("high_w") * F.col("later")).alias("lower_or_tied")
-    )
-    by_time = points.groupBy(*keys, "_t", "_k").agg(F.sum("_w").alias("_pw")).select(*keys, "_t", "_k", "_pw", F.lit(0).alias("_q"), F.lit(0).cast("bigint").alias("_qw"))
-    by_event = asked.groupBy(*keys, "_t").agg(F.sum("_w").alias("_qw")).select(
-        *keys, "_t", F.lit(0).alias("_k"), F.lit(0).cast("bigint").alias("_pw"), F.lit(1).alias("_q"), "_qw"
-    )
-    outlast = scan(by_time.unionByName(by_event), keys, ["_t", "_k", "_q"], [Running("later", "sum", F.col("_pw"))],
-                   F.floor(F.col("_t")), descending=True).where(F.col("_q") == 1)
-    comparable = outlast.groupBy(*keys).agg(F.sum(F.col("_qw") * F.col("later")).alias("comparable"))
+    known = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull())
+    points = cut(known.groupBy(*keys, F.col(time).cast("double").alias("_t"), kind.alias("_k"), F.col(risk).cast("double").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_w"), F.count_if(F.col(event) == 1).alias("_q")))
+    entry = lambda mark, value, weight: F.struct(F.lit(mark).alias("mark"), value.alias("_v"), weight.alias("_w"))
+    point, asked = entry(1, F.col("_r"), F.col("_w")), F.col("_q") > 0
+    marks = F.when(asked, F.array(point, entry(0, F.col("_r") - tie, F.col("_q")), entry(2, F.col("_r") + tie, F.col("_q")))).otherwise(F.array(point))
+    entries = points.select(*keys, "_t", "_k", F.explode(marks).alias("m")).select(*keys, "m._v", "m.mark", "_t", "_k", "m._w")
+    sums = lower_and_later(entries, keys, 3 * points.count(), part_rows)
+    by_time = points.groupBy(*keys, "_t", "_k").agg(F.sum("_w").alias("_pw"), F.sum("_q").alias("_qw"))
+    outlast = scan(by_time, keys, ["_t", "_k"], [Running("later", "sum", F.col("_pw"), inclusive=False)], F.floor(F.col("_t")), descending=True)
+    comparable = outlast.where("_qw > 0").groupBy(*keys).agg(F.sum(F.col("_qw") * F.col("later")).alias("comparable"))
     joined = comparable.join(sums, list(keys), "left")
     lower = F.coalesce("lower", F.lit(0).cast("bigint"))
-    tied = F.coalesce("lower_or_tied", F.lit(0).cast("bigint")) - lower
+    tied = F.coalesce("upper", F.lit(0).cast("bigint")) - lower
     return joined.select(
         *keys, lower.alias("concordant"), tied.alias("tied"), "comparable",
         F.when(F.col("comparable") > 0, (lower + 0.5 * tied) / F.col("comparable")).alias("c_index"),
