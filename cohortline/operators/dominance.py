@@ -56,13 +56,14 @@ def _groups(table: pa.Table, keys: Sequence[str]) -> Iterator[tuple[dict[str, pa
         yield {name: rows[name].combine_chunks().slice(0, 1) for name in keys}, rows
 
 
-def _whole(batches: Iterator[pa.RecordBatch], keys: Sequence[str], each: Callable, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def by_key(batches: Iterator[pa.RecordBatch], keys: Sequence[str], each: Callable, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """A task's rows, key by key, as arrays for `each`, which gives the columns `names`; a time that isn't a number is none."""
     held = list(batches)
     if not held:
         return
     for key, rows in _groups(pa.Table.from_batches(held), keys):
         told = each({c: rows[c].to_numpy() for c in rows.column_names if c not in keys})
-        size = len(told["points"])
+        size = len(told[names[0]])
         columns = [pa.concat_arrays([key[k]] * size) if size else key[k].slice(0, 0) for k in keys]
         yield pa.RecordBatch.from_arrays([*columns, *[pa.array(told[n], mask=np.isnan(told[n]) if n == "_t" else None) for n in names]], names=[*keys, *names])
 
@@ -114,10 +115,10 @@ def lower_and_later(entries: DataFrame, keys: Sequence[str], rows: int, part_row
     sums = "points long, low long, high long, lower long, upper long"
     names = [*COUNTS, "lower", "upper"]
     first = entries.repartitionByRange(parts, *keys, "_v", "mark", "_t", "_k").mapInArrow(
-        lambda batches: _whole(batches, keys, _parts_along_first, ["part", "_t", "_k", *names]), f"{kinds}part long, _t double, _k long, {sums}")
+        lambda batches: by_key(batches, keys, _parts_along_first, ["part", "_t", "_k", *names]), f"{kinds}part long, _t double, _k long, {sums}")
     first = cut(first)
     second = first.where("_t IS NOT NULL").repartitionByRange(parts, *keys, "_t", "_k").mapInArrow(
-        lambda batches: _whole(batches, keys, _parts_along_second, ["part", "second", *names]), f"{kinds}part long, second long, {sums}")
+        lambda batches: by_key(batches, keys, _parts_along_second, ["part", "second", *names]), f"{kinds}part long, second long, {sums}")
     second = cut(second)
     # at most parts x parts cells, all of them, so that sums run along both
     group = [*keys, "_one"]

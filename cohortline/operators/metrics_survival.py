@@ -5,12 +5,14 @@ Curves live on distinct times. Concordance counts pairs of lower risk and later
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cohortline.operators.dominance import PART_ROWS, lower_and_later
+from cohortline.operators.dominance import PART_ROWS, by_key, lower_and_later
 from cohortline.operators.ordered import Running, lookup, position, scan
 from cohortline.session import cut
 
@@ -23,6 +25,20 @@ def hazard_until(hazards: Column, time: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
+def cumulative(hazards: Column) -> Column:
+    """Sums of the hazards before each unit bin, and of all."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array(F.lit(0.0)).alias("all"))
+    step = lambda a, h: F.struct((a["sum"] + h).alias("sum"), F.concat(a["all"], F.array(a["sum"] + h)).alias("all"))
+    return F.aggregate(hazards, start, step, lambda a: a["all"])
+
+
+def risk_by(sums: Column, hazards: Column, time: Column) -> Column:
+    """`risk_at` from the hazards' sums, whatever their number."""
+    whole = F.floor(time).cast("int")
+    inside = F.get(sums, whole) + F.get(hazards, whole) * (time - whole)
+    return F.lit(1.0) - F.exp(-F.when(time <= 0, 0.0).when(whole >= F.size(hazards), F.get(sums, F.size(hazards))).otherwise(inside))
+
+
 def risk_at(hazards: Column, time: Column) -> Column:
     return F.lit(1.0) - F.exp(-hazard_until(hazards, time))
 
@@ -145,48 +161,68 @@ def usable_grid(grid: DataFrame, train: DataFrame, rows: DataFrame, keys: Sequen
     return kept.join(enough.drop("_g"), list(keys), "left_semi")
 
 
-def _at_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each row with its stage's grid as one small array (the grid has a fixed number of points), then exploded."""
-    listed = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grid", "grid_time"))).alias("_grid"))
-    spread = rows.join(listed, list(keys))
-    return spread.select(*rows.columns, F.explode("_grid").alias("_g")).select(*rows.columns, "_g.grid", "_g.grid_time")
+def _on_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], each: Callable[[Column, Column], Column], more: Sequence[str] = ()) -> DataFrame:
+    """The entries that a row gives at the points of its key's grid: `each` makes an array from a point and the row's risk there.
+
+    Hazards are summed once per row, and only the entries leave it. A key's grid is one small array (it has a fixed number of points).
+    """
+    listed = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grid", "grid_time", *more))).alias("_grid"))
+    ready = rows.withColumn("_sums", cumulative(F.col("hazards"))).join(listed, list(keys))
+    entries = F.transform("_grid", lambda g: each(g, risk_by(F.col("_sums"), F.col("hazards"), g["grid_time"])))
+    return ready.select(*keys, F.explode(F.flatten(entries)).alias("_e")).select(*keys, "_e.*")
+
+
+def _ranked_part(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.lexsort((found["mark"], found["value"]))
+    mark, weight = found["mark"][order], found["weight"][order]
+    before = np.cumsum(mark == 1)
+    told = {"part": np.array([TaskContext.get().partitionId()]), "points": np.array([int((mark == 1).sum())])}
+    for name, m in (("low", 0), ("high", 2)):
+        told[f"{name}_weight"] = np.array([weight[mark == m].sum()])
+        told[name] = np.array([(weight * before)[mark == m].sum()])
+    return told
 
 
-def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def weighted_ranks(entries: DataFrame, keys: Sequence[str], rows: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """keys, points, weight, low, high: the sums over questions of their weight times the points before them.
+
+    entries: keys, value, mark (0 question below points of its value, 1 point, 2 question above them), weight; about `rows` of them.
+    They are cut by range once; a part gives a row per key, and the points of earlier parts are added to those few.
+    """
+    keys = list(keys)
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // part_rows))
+    names = ["part", "points", "low_weight", "low", "high_weight", "high"]
+    kinds = "".join(f"`{k}` {entries.schema[k].dataType.simpleString()}, " for k in keys)
+    told = entries.repartitionByRange(parts, *keys, "value", "mark").mapInArrow(
+        lambda batches: by_key(batches, keys, _ranked_part, names), f"{kinds}part long, points long, low_weight double, low double, high_weight double, high double")
+    earlier = F.coalesce(F.sum("points").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = told.withColumn("_earlier", earlier)
+    side = lambda name: F.sum(F.col(name) + F.col(f"{name}_weight") * F.col("_earlier")).alias(name)
+    return told.groupBy(*keys).agg(F.sum("points").alias("points"), F.sum("low_weight").alias("weight"), side("low"), side("high"))
+
+
+def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Sequence[str], part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """Weighted AUC of cases up to each grid time against rows that outlast it, and its survival-weighted mean.
 
     `rows`: keys, time, event, hazards. Case weights are 1 / G at the own time. Per grid time the share of
-    controls below a case's risk is an as-of count along the risks.
+    controls below a case's risk is a count along the risks, which leave their row as numbers.
     """
     curve = censoring_curve(train, keys)
-    weighted = step_value(rows, curve, keys, "time", "g").withColumn(
-        "ipcw", F.when((F.col("event") == 1) & (F.col("g") > 0), 1.0 / F.col("g")).otherwise(0.0)
-    )
-    spread = _at_grid(weighted.select(*keys, "time", "event", "ipcw", "hazards"), grid, keys).withColumn(
-        "risk", risk_at(F.col("hazards"), F.col("grid_time"))
-    )
-    gkeys = [*keys, "grid"]
-    controls = spread.where(F.col("time") > F.col("grid_time")).groupBy(*gkeys, F.col("risk").alias("at")).agg(
-        F.count(F.lit(1)).alias("n"))
-    cases = spread.where((F.col("time") <= F.col("grid_time")) & (F.col("ipcw") > 0)).groupBy(*gkeys, "grid_time", "risk").agg(
-        F.sum("ipcw").alias("weight")
-    )
-    # one scan along the risks: a low bound comes before controls of its value, a high bound after them
-    marks = F.explode(F.array(
-        F.struct(F.lit(0).alias("mark"), (F.col("risk") - TIE).alias("at")),
-        F.struct(F.lit(2).alias("mark"), (F.col("risk") + TIE).alias("at")),
-    ))
-    zero = F.lit(0).cast("bigint")
-    asked = cases.select(*gkeys, "grid_time", "weight", marks.alias("m"), zero.alias("n")).select(*gkeys, "grid_time", "weight", "m.*", "n")
-    points = controls.select(
-        *gkeys, F.lit(None).cast("double").alias("grid_time"), F.lit(0.0).alias("weight"), F.lit(1).alias("mark"), "at", "n"
-    )
-    counted = scan(asked.unionByName(points), gkeys, ["at", "mark"], [Running("below", "sum", F.col("n"))]).where(F.col("mark") != 1)
-    totals = controls.groupBy(*gkeys).agg(F.sum("n").alias("n_controls"))
-    # half the counts below the low bound and half of those up to the high bound: ties count half
-    per_time = counted.join(totals, gkeys).groupBy(*gkeys, "grid_time").agg(
-        (F.sum(F.col("weight") * F.col("below")) / 2 / (F.sum("weight") / 2 * F.first("n_controls"))).alias("auc")
-    )
+    weighted = cut(step_value(rows, curve, keys, "time", "g").select(
+        *keys, "time", "hazards", F.when((F.col("event") == 1) & (F.col("g") > 0), 1.0 / F.col("g")).otherwise(0.0).alias("ipcw")))
+
+    def compared(point: Column, risk: Column) -> Column:
+        entry = lambda mark, value, weight: F.struct(point["grid"].alias("grid"), F.lit(mark).alias("mark"), value.alias("value"), weight.alias("weight"))
+        case = (F.col("time") <= point["grid_time"]) & (F.col("ipcw") > 0)
+        return F.when(F.col("time") > point["grid_time"], F.array(entry(1, risk, F.lit(1.0)))).when(
+            case, F.array(entry(0, risk - TIE, F.col("ipcw")), entry(2, risk + TIE, F.col("ipcw")))).otherwise(F.array().cast(
+                "array<struct<grid:int,mark:int,value:double,weight:double>>"))
+
+    # ties count half: half the counts below the low bound and half of those up to the high bound
+    entries = _on_grid(weighted, grid.withColumn("grid", F.col("grid").cast("int")), keys, compared)
+    ranks = weighted_ranks(entries, [*keys, "grid"], 256 * weighted.count(), part_rows).where("points > 0 AND weight > 0")
+    per_time = ranks.select(*keys, "grid", ((F.col("low") + F.col("high")) / 2 / (F.col("weight") * F.col("points"))).alias("auc"))
+    per_time = cut(grid.select(*keys, "grid", "grid_time").join(per_time, [*keys, "grid"]))
     survival = step_value(per_time, km_curve(rows, keys), keys, "grid_time", "survival")
     # at most one row per grid point and key
     order = Window.partitionBy(*keys).orderBy("grid")
@@ -198,20 +234,22 @@ def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Seq
 
 
 def integrated_brier(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inverse-censoring-weighted Brier score over the grid, by the trapezoid rule."""
+    """Inverse-censoring-weighted Brier score over the grid, by the trapezoid rule.
+
+    A row's scores are made inside it and added up before they move: the shuffle holds a row per task and grid point.
+    """
     curve = censoring_curve(train, keys)
-    observed = step_value(rows, curve, keys, "time", "g")
+    observed = step_value(rows, curve, keys, "time", "g").select(*keys, "time", "event", "g", "hazards")
     timed = step_value(grid.select(*keys, "grid", "grid_time"), curve, keys, "grid_time", "g_time")
-    spread = _at_grid(observed.select(*keys, "time", "event", "g", "hazards"), grid, keys).join(
-        timed.select(*keys, "grid", "g_time"), [*keys, "grid"]
-    )
-    estimate = F.lit(1.0) - risk_at(F.col("hazards"), F.col("grid_time"))
-    happened = (F.col("time") <= F.col("grid_time")) & (F.col("event") == 1) & (F.col("g") > 0)
-    alive = (F.col("time") > F.col("grid_time")) & (F.col("g_time") > 0)
-    score = F.when(happened, estimate * estimate / F.col("g")).otherwise(0.0) + F.when(
-        alive, (1.0 - estimate) * (1.0 - estimate) / F.col("g_time")
-    ).otherwise(0.0)
-    per_time = spread.groupBy(*keys, "grid", "grid_time").agg(F.avg(score).alias("score"))
+
+    def scored(point: Column, risk: Column) -> Column:
+        happened = (F.col("time") <= point["grid_time"]) & (F.col("event") == 1) & (F.col("g") > 0)
+        alive = (F.col("time") > point["grid_time"]) & (point["g_time"] > 0)
+        lived = 1.0 - risk
+        score = F.when(happened, lived * lived / F.col("g")).when(alive, (1.0 - lived) * (1.0 - lived) / point["g_time"]).otherwise(0.0)
+        return F.array(F.struct(point["grid"].alias("grid"), point["grid_time"].alias("grid_time"), score.alias("score")))
+
+    per_time = _on_grid(observed, timed, keys, scored, ("g_time",)).groupBy(*keys, "grid", "grid_time").agg(F.avg("score").alias("score"))
     return _trapezoid(per_time, keys)
 
 
