@@ -182,8 +182,9 @@ def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_encounter_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = scratch_path(spark, "support"), scratch_path(spark, "support-state")
     stream = jobs.support_stream(ph.numeric_rows(streamed_lines(spark, sf_dir)))
-    jobs.keep_latest(stream, output, checkpoint).awaitTermination()
-    return jobs.latest(spark, output, ["scope", "encounter", "item_key", "unit_key"])
+    keys = ["scope", "encounter", "item_key", "unit_key"]
+    jobs.keep_latest(stream, output, checkpoint, keys).awaitTermination()
+    return jobs.latest(spark, output, keys)
 
 
 @query(
@@ -192,17 +193,18 @@ def streamed_encounter_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "counts-state")
-    jobs.keep_latest(jobs.count_stream(streamed_lines(spark, sf_dir)), output, checkpoint).awaitTermination()
-    return jobs.latest(spark, output, ["dataset", "table", "item", "unit"])
+    keys = ["dataset", "table", "item", "unit"]
+    jobs.keep_latest(jobs.count_stream(streamed_lines(spark, sf_dir)), output, checkpoint, keys).awaitTermination()
+    return jobs.latest(spark, output, keys)
 
 
 @query("streamed_new_texts", "X3 A24", "SELECT DISTINCT p_name AS text FROM part")
 def streamed_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each name twice over four files, one per micro-batch: the state drops what an earlier batch had."""
+    """Each name twice over four files, one per micro-batch: what an earlier batch had is known from the table."""
     output, checkpoint = scratch_path(spark, "texts"), scratch_path(spark, "texts-state")
     folder = scratch_path(spark, "names")
     parts = b.table(spark, sf_dir, "part").select(F.col("p_name").alias("text"))
     parts.union(parts).repartition(4, F.rand(1)).write.parquet(folder)
     stream = jobs.file_stream(spark, folder, "*.parquet", parts.schema, files_per_batch=1)
-    jobs.append_rows(jobs.new_texts(stream, "text"), output, checkpoint).awaitTermination()
-    return spark.read.schema(parts.schema).parquet(output)
+    jobs.harvest_texts(stream, "text", output, checkpoint).awaitTermination()
+    return jobs.harvested(spark, output)

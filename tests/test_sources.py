@@ -128,6 +128,7 @@ def test_stream_keeps_newest_counts(spark, tmp_path):
             .coalesce(1).write.mode("append").parquet(str(folder))
     schema = spark.read.parquet(str(folder)).schema
     stream = jobs.count_stream(jobs.file_stream(spark, str(folder), "*.parquet", schema, 1))
-    jobs.keep_latest(stream, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
-    got = jobs.latest(spark, str(tmp_path / "o"), ["dataset", "table", "item", "unit"]).collect()
+    keys = ["dataset", "table", "item", "unit"]
+    jobs.keep_latest(stream, str(tmp_path / "o"), str(tmp_path / "c"), keys).awaitTermination()
+    got = jobs.latest(spark, str(tmp_path / "o"), keys).collect()
     assert [r["count"] for r in got] == [6]
