@@ -7,25 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cohortline.session import cut
+
+
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last as an array of nodes (level, node), each 2^level numbers: at most two per level.
+
+    On each level the uncovered stretch [l, r) gives a node at an end that no node of the level above can hold.
+    """
+    def at(k: Column) -> Column:
+        l, r = -F.call_function("shiftright", -first, k), F.call_function("shiftright", last + 1, k)
+        node = lambda number: F.struct(k.alias("level"), number.alias("node"))
+        ends = F.array(F.when(l % 2 != 0, node(l)), F.when(r % 2 != 0, node(r - 1)))
+        return F.when(l < r, F.filter(ends, lambda n: n.isNotNull())).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+
+    top = F.greatest(F.lit(0), F.floor(F.log2((last - first + 1).cast("double"))).cast("int")) + 1
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), at))
+
+
+def ancestors(number: Column, levels: Sequence[int]) -> Column:
+    """The nodes of the given levels that hold a number."""
+    return F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.shiftright(number, k).alias("node")) for k in levels])
+
+
+def used_levels(nodes: DataFrame) -> list[int]:
+    """The levels that occur: at most 64 numbers, whatever the table."""
+    return sorted(r["level"] for r in nodes.select("level").distinct().collect())
+
 
 def within_interval(
     intervals: DataFrame, points: DataFrame, keys: Sequence[str], low: str, high: str, at: str, width: float,
 ) -> DataFrame:
     """Points with the interval's keys that lie in [low, high], both ends included.
 
-    Intervals are cut into buckets of `width`, points fall into one; the join is on (keys, bucket), so a key
-    with most of the rows is spread over its buckets and only neighbours are compared. `low`, `high` and `at`
+    Numbers are counted in units of `width`. An interval of n units is covered by at most 2 log2(n) + 2 nodes of 2^level units each, a
+    point lies in one node per level that occurs; the join is on (keys, level, node). So a long interval costs little more than a
+    short one, a key with most of the rows is spread over its nodes, and only the ends leave pairs to drop. `low`, `high` and `at`
     are numbers.
     """
-    def bucket(column: str) -> Column:
-        return F.floor(F.col(column) / F.lit(width))
-
-    spread = intervals.where(F.col(low) <= F.col(high)).withColumn(
-        "_bucket", F.explode(F.sequence(bucket(low), bucket(high)))
-    )
-    placed = points.withColumn("_bucket", bucket(at))
-    joined = spread.join(placed, [*keys, "_bucket"])
-    return joined.where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_bucket")
+    def unit(column: str) -> Column:
+        return F.floor(F.col(column) / F.lit(width)).cast("bigint")
+
+    nodes = intervals.where(F.col(low) <= F.col(high)).withColumn("_n", F.explode(dyadic_cover(unit(low), unit(high))))
+    spread = cut(nodes.select(*intervals.columns, F.col("_n.level").alias("level"), F.col("_n.node").alias("_node")).withColumnRenamed("level", "_level"))
+    levels = used_levels(spread.select(F.col("_level").alias("level")))
+    held = F.array().cast("array<struct<level:int,node:bigint>>") if not levels else ancestors(unit(at), levels)
+    placed = points.withColumn("_n", F.explode(held)).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    joined = spread.join(placed, [*keys, "_level", "_node"])
+    return joined.where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_level", "_node")
 
 
 def map_values(df: DataFrame, dictionary: DataFrame, on: Sequence[str], value: str, default: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortline.operators.joins import within_interval
+from cohortline.operators.joins import dyadic_cover, within_interval
 from cohortline.operators.ordered import BUCKET, Running, lookup, position, range_buckets, runs, scan
 from cohortline.plans.registry import load_all
 
@@ -130,3 +130,22 @@ def test_a_file_is_read_once(spark, sf_dir, name):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final and final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_long_and_short_intervals(spark):
+    rng = random.Random(3)
+    stays = []
+    for i in range(120):
+        low = rng.randrange(-2_000_000, 2_000_000)
+        stays.append((i % 3 if i % 10 else None, i, low, low + int(10 ** rng.uniform(0, 6.3)) - (2 if i % 17 == 0 else 0)))
+    points = [(i % 3, i, rng.randrange(-2_500_000, 4_500_000)) for i in range(600)] + [(i % 3, 1000 + i, x) for i in range(30) for x in stays[i][2:4]]
+    a = spark.createDataFrame(stays, "key int, stay int, low long, high long")
+    b = spark.createDataFrame(points, "key int, i int, at long")
+    for width in (1, 7):
+        got = sorted(tuple(r) for r in within_interval(a, b, ["key"], "low", "high", "at", width).select("stay", "i", "at").collect())
+        assert got == sorted((s, i, x) for k, s, low, high in stays for key, i, x in points if k == key and low <= x <= high)
+    covers = a.where("low <= high").select("low", "high", dyadic_cover(F.col("low"), F.col("high")).alias("n")).collect()
+    for r in covers:
+        held = sorted((n["node"] << n["level"], (n["node"] + 1) << n["level"]) for n in r["n"])
+        assert len(held) <= 2 * (r["high"] - r["low"] + 1).bit_length() + 2
+        assert held[0][0] == r["low"] and held[-1][1] == r["high"] + 1 and all(x[1] == y[0] for x, y in zip(held, held[1:]))
