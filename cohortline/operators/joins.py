@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from cohortline.operators.ordered import Running, lookup, position
 from cohortline.session import cut
 
 
@@ -107,34 +108,59 @@ def code_descriptions(codes: DataFrame, main: DataFrame, by_prefix: dict[str, Da
     return result.select(*codes.columns, F.coalesce(*found, F.lit("")).alias("description"))
 
 
+RANGE = ("low", "high", "unit")
+
+
+def range_pieces(ranges: DataFrame) -> DataFrame:
+    """item, slot, start, hit: for each slot of an item the first fitting range from `start` to the next start, or none.
+
+    An item's ranges are cut at all their ends into pieces that lie in them wholly or not at all. A range covers a run of
+    pieces, that is at most two nodes per level of a binary tree over them; the least place per node is kept, and a piece takes the
+    least of its own nodes. Slots are the genders that an item's ranges name, and one, null, for all others.
+    """
+    given = ranges.where(F.col("age_min") < F.col("age_max")).select("item", "place", "age_min", "age_max", "range_gender", *RANGE)
+    ends = given.select("item", F.explode(F.array("age_min", "age_max")).alias("start")).distinct()
+    ends = cut(position(ends, ["item"], ["start"], "k"))
+    begin = ends.select("item", F.col("start").alias("age_min"), F.col("k").alias("first"))
+    stop = ends.select("item", F.col("start").alias("age_max"), (F.col("k") - 1).alias("last"))
+    nodes = given.join(begin, ["item", "age_min"]).join(stop, ["item", "age_max"])
+    hit = F.struct("place", *RANGE)
+    nodes = nodes.withColumn("n", F.explode(dyadic_cover(F.col("first"), F.col("last"))))
+    nodes = cut(nodes.groupBy("item", "range_gender", F.col("n.level").alias("level"), F.col("n.node").alias("node")).agg(F.min(hit).alias("hit")))
+    slots = given.select("item", "range_gender").distinct().unionByName(given.select("item", F.lit(None).cast("string").alias("range_gender")).distinct()).distinct()
+    levels = used_levels(nodes)
+    if not levels:
+        return ends.join(slots, "item").select("item", F.col("range_gender").alias("slot"), "start", F.lit(None).cast(nodes.schema["hit"].dataType).alias("hit"))
+    above = ends.select("item", "start", F.explode(ancestors(F.col("k"), levels)).alias("n")).select("item", "start", "n.level", "n.node")
+    held = above.join(nodes, ["item", "level", "node"]).groupBy("item", "start", "range_gender").agg(F.min("hit").alias("hit"))
+    # a slot's piece has the least of its own gender's hit and that of ranges for all
+    own = held.where("range_gender IS NOT NULL").select("item", "start", F.col("range_gender").alias("slot"), "hit")
+    for_all = held.where("range_gender IS NULL").join(slots, "item").select("item", "start", slots["range_gender"].alias("slot"), "hit")
+    none = ends.join(slots, "item").select("item", "start", F.col("range_gender").alias("slot"), F.lit(None).cast(nodes.schema["hit"].dataType).alias("hit"))
+    return own.unionByName(for_all).unionByName(none).groupBy("item", "slot", "start").agg(F.min("hit").alias("hit"))
+
+
 def reference_range(
     rows: DataFrame, ranges: DataFrame, item: str = "item", age: str = "age", gender: str = "gender",
-    max_ranges: int = 100_000,
 ) -> DataFrame:
-    """First matching range per row: same item, age in [age_min, age_max), gender equal or unset.
+    """First matching range per row, by place: same item, age in [age_min, age_max), gender equal or unset.
 
-    The range table is a dictionary: it is folded to one array of ranges per item (checked against
-    `max_ranges`), joined on the item, and the first fitting entry is taken in place. So a row is never
-    multiplied by its candidates. Rows without a range keep nulls.
+    Rows find the piece of their item's ranges that holds their age in one ordered scan: no pair of a row and a range is
+    formed, and neither side is sent to all tasks, whatever their sizes. Rows without a range, an item or an age keep nulls.
     """
-    if ranges.limit(max_ranges + 1).count() > max_ranges:
-        raise ValueError(f"the range table has more than {max_ranges} rows")
-    listed = ranges.groupBy(F.col("item").alias(item)).agg(
-        F.array_sort(F.collect_list(F.struct("place", "age_min", "age_max", "range_gender", "low", "high", "unit"))).alias("_ranges")
-    )
-    joined = rows.join(F.broadcast(listed), item, "left")
-    fits = F.filter(
-        "_ranges",
-        lambda r: (r["age_min"] <= F.col(age)) & (F.col(age) < r["age_max"])
-        & (r["range_gender"].isNull() | (r["range_gender"] == F.col(gender))),
-    )
-    picked = joined.withColumn("_hit", F.try_element_at(fits, F.lit(1)))
-    return picked.select(*rows.columns, F.col("_hit.low").alias("low"), F.col("_hit.high").alias("high"), F.col("_hit.unit").alias("range_unit"))
+    pieces = cut(range_pieces(ranges))
+    slots = pieces.select(F.col("item").alias(item), F.col("slot").alias(gender)).where(F.col(gender).isNotNull()).distinct().withColumn("_slot", F.col(gender))
+    asked = rows.join(slots, [item, gender], "left").select(*rows.columns, "_slot", F.col(item).alias("_item"))
+    points = pieces.select(F.col("item").alias("_item"), F.col("slot").alias("_slot"), F.col("start").cast("double").alias("_start"), F.col("hit"), F.lit(True).alias("known"))
+    # an age that isn't known comes before all pieces
+    found = lookup(asked.withColumn("_age", F.col(age).cast("double")), points, ["_item", "_slot"], "_age", "_start",
+                   [Running("_piece", "last", F.when(F.col("_p_known"), F.struct(F.col("_p_hit").alias("hit"))))], held=["hit", "known"])
+    return found.select(*rows.columns, F.col("_piece.hit.low").alias("low"), F.col("_piece.hit.high").alias("high"), F.col("_piece.hit.unit").alias("range_unit"))
 
 
-def unmatched(rows: DataFrame, column: str, reason: str) -> DataFrame:
+def unmatched(rows: DataFrame, column: str, reason: str | Column) -> DataFrame:
     """Rows whose look-up gave nothing, with a reason."""
-    return rows.where(F.col(column).isNull()).withColumn("reason", F.lit(reason))
+    return rows.where(F.col(column).isNull()).withColumn("reason", F.lit(reason) if isinstance(reason, str) else reason)
 
 
 def title_codes(dictionary: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -278,17 +278,42 @@ def reference_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def drug_level_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target range of a drug level by days since the first dose: the age axis of the range table is that number."""
-    rows = followups(spark, sf_dir)
-    first = lf.first_drug_days(rows, ["dose_a", "dose_b"], "level")
-    ranges = spark.createDataFrame(
-        [("level", i, a, z, None, low, high, "ng/mL") for i, (a, z, low, high) in enumerate(
-            ((0.0, 31.0, 8.0, 12.0), (31.0, 181.0, 7.0, 10.0), (181.0, 366.0, 5.0, 8.0), (366.0, 1e9, 4.0, 6.0)))],
+    found = joins.reference_range(measured_levels(spark, sf_dir), level_ranges(spark, LEVEL_RANGES))
+    return found.where(F.col("low").isNotNull()).select("subject", "visit", "low", "high")
+
+
+# Days since the first dose and the target range of a level.
+LEVEL_RANGES = ((0.0, 31.0, 8.0, 12.0), (31.0, 181.0, 7.0, 10.0), (181.0, 366.0, 5.0, 8.0), (366.0, 1e9, 4.0, 6.0))
+
+
+def level_ranges(spark: SparkSession, days) -> DataFrame:
+    return spark.createDataFrame(
+        [("level", i, a, z, None, low, high, "ng/mL") for i, (a, z, low, high) in enumerate(days)],
         "item string, place int, age_min double, age_max double, range_gender string, low double, high double, unit string",
     )
-    measured = rows.where(F.trim(F.coalesce("level", F.lit(""))) != "").join(first, "subject").select(
-        "subject", "visit", F.lit("level").alias("item"), (F.col("day") - F.col("first_drug_day")).alias("age"), F.lit("").alias("gender")
+
+
+def measured_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = followups(spark, sf_dir)
+    first = lf.first_drug_days(rows, ["dose_a", "dose_b"], "level")
+    return rows.where(F.trim(F.coalesce("level", F.lit(""))) != "").join(first, "subject").select(
+        "subject", "visit", "day", "first_drug_day", F.lit("level").alias("item"), (F.col("day") - F.col("first_drug_day")).alias("age"), F.lit("").alias("gender")
     )
-    return joins.reference_range(measured, ranges).where(F.col("low").isNotNull()).select("subject", "visit", "low", "high")
+
+
+@query(
+    "levels_without_range", "J12 W21",
+    f"""WITH {FOLLOWUP_SQL}, d AS (SELECT subject, least(min(day) FILTER (dosed), min(day) FILTER (measured)) AS f FROM fu GROUP BY 1)
+    SELECT fu.subject, visit, CASE WHEN f IS NULL THEN 'No first drug day for level' WHEN day IS NULL THEN 'No day of level'
+      ELSE 'No drug concentration range for level at elapsed_days=' || CAST(day - f AS BIGINT) END AS reason
+    FROM fu JOIN d USING (subject) WHERE measured AND NOT coalesce(day - f >= 0 AND day - f < 181, false)""",
+)
+def levels_without_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured levels that no range of the first half year covers, each with its reason."""
+    found = joins.reference_range(measured_levels(spark, sf_dir), level_ranges(spark, LEVEL_RANGES[:2]))
+    reason = F.when(F.col("first_drug_day").isNull(), "No first drug day for level").when(F.col("day").isNull(), "No day of level").otherwise(
+        F.concat(F.lit("No drug concentration range for level at elapsed_days="), F.col("age").cast("bigint").cast("string")))
+    return joins.unmatched(found, "low", reason).select("subject", "visit", "reason")
 
 
 @query(

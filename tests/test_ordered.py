@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortline.operators.joins import dyadic_cover, within_interval
+from cohortline.operators.joins import dyadic_cover, reference_range, within_interval
 from cohortline.operators.ordered import BUCKET, Running, lookup, position, range_buckets, runs, scan
 from cohortline.plans.registry import load_all
 
@@ -149,3 +149,32 @@ def test_long_and_short_intervals(spark):
         held = sorted((n["node"] << n["level"], (n["node"] + 1) << n["level"]) for n in r["n"])
         assert len(held) <= 2 * (r["high"] - r["low"] + 1).bit_length() + 2
         assert held[0][0] == r["low"] and held[-1][1] == r["high"] + 1 and all(x[1] == y[0] for x, y in zip(held, held[1:]))
+
+
+RANGE_KIND = "item string, place int, age_min double, age_max double, range_gender string, low double, high double, unit string"
+
+
+def test_reference_ranges_against_all(spark):
+    rng = random.Random(11)
+    ranges = []
+    for place in range(160):
+        low = rng.randrange(0, 60) / 2
+        ranges.append((f"i{place % 4}", place // 2, low, low + rng.choice([-1, 0, 0.5, 3, 20]), rng.choice([None, "M", "F", "X"]), float(place), None if place % 9 == 0 else place + 0.5, "u"))
+    rows = [(n, rng.choice(["i0", "i1", "i2", "i3", "none", None]), rng.choice([None, *[k / 4 for k in range(-4, 140)]]), rng.choice(["M", "F", "Z", None])) for n in range(500)]
+    got = reference_range(spark.createDataFrame(rows, "n int, item string, age double, gender string"), spark.createDataFrame(ranges, RANGE_KIND))
+    assert got.columns == ["n", "item", "age", "gender", "low", "high", "range_unit"]
+    found = {r["n"]: (r["low"], r["high"], r["range_unit"]) for r in got.collect()}
+    assert len(found) == len(rows)
+    for n, item, age, gender in rows:
+        fits = [(p, lo, hi, u) for i, p, a, z, g, lo, hi, u in ranges if item == i and age is not None and a <= age < z and (g is None or g == gender)]
+        first = min(fits, key=lambda f: (f[0], f[1]), default=None)
+        assert found[n] == (first[1:] if first else (None, None, None))
+
+
+def test_a_million_ranges(spark):
+    ranges = spark.range(1_000_000).selectExpr(
+        "concat('i', id % 20000) AS item", "cast(id div 20000 AS int) AS place", "cast(id div 20000 AS double) AS age_min", "cast(id div 20000 + 2 AS double) AS age_max",
+        "cast(null AS string) AS range_gender", "cast(id AS double) AS low", "cast(id AS double) AS high", "'u' AS unit")
+    rows = spark.range(2000).selectExpr("id", "concat('i', id * 7 % 20000) AS item", "cast(id % 50 + 0.5 AS double) AS age", "'M' AS gender")
+    wrong = reference_range(rows, ranges).where("low IS NULL OR low <> cast((greatest(id % 50, 1) - 1) * 20000 + id * 7 % 20000 AS double)")
+    assert wrong.count() == 0
