@@ -21,8 +21,9 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 def stripped(value: Column) -> Column:
-    """The text without white space of any script at its ends."""
-    return F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """The text without white space of any script at its ends. Only texts that don't start and end in visible ASCII are searched."""
+    visible = F.ascii(value).between(33, 126) & F.ascii(F.right(value, F.lit(1))).between(33, 126)
+    return F.when(visible, value).otherwise(F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+$", ""))
 
 
 def squeezed(value: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -104,13 +103,13 @@ COMPATIBLE_UNITS = {
 
 
 def concept_of(seen: Column, rules=CONCEPT_RULES) -> Column:
-    """First rule whose include pattern is found and whose exclude pattern is not, in a label made `rule_text`."""
+    """First rule whose include pattern is found and whose exclude pattern is not, in a label made `rule_text`.
 
-    def fires(include: str, exclude: str | None) -> Column:
-        return seen.rlike(include) if exclude is None else seen.rlike(include) & ~seen.rlike(exclude)
-
-    first, *rest = rules
-    return reduce(lambda c, r: c.when(fires(r[1], r[2]), r[0]), rest, F.when(fires(first[1], first[2]), first[0]))
+    The rules are one constant list that is searched, so the expression's code doesn't grow with them.
+    """
+    listed = F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(i).alias("include"), F.lit(e).cast("string").alias("exclude")) for c, i, e in rules])
+    fits = F.filter(listed, lambda r: F.rlike(seen, r["include"]) & ~F.coalesce(F.rlike(seen, r["exclude"]), F.lit(False)))
+    return F.get(fits, F.lit(0))["concept"]
 
 
 def classify_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None) -> DataFrame:

@@ -99,9 +99,9 @@ def roll(purpose: str) -> str:
       SELECT it FROM (SELECT DISTINCT query_id, query_id // 6 AS it FROM groups) GROUP BY it HAVING count(*) = 6)),
     d0 AS (SELECT query_id, CAST(draw AS INTEGER) AS draw FROM cq, range(8) r(draw)),
     d1 AS (SELECT d0.*, wt.scope, greatest({roll('group')} / 1152921504606846976.0 * tw, pow(2, -52)) AS th FROM d0 JOIN wt USING (query_id) WHERE si = {roll('scope')} % ns),
-    d2 AS (SELECT d1.*, (SELECT arg_min(struct_pack(g := group_id, p := patient_count), cumulative_weight) FROM groups g WHERE g.split = 'train' AND g.query_id = d1.query_id
-        AND g.scope = d1.scope AND g.cumulative_weight >= th) AS gp FROM d1),
-    d3 AS (SELECT query_id, draw, scope, gp.g AS group_id, {roll('left')} % gp.p AS li, {roll('right')} % (gp.p - 1) AS r0 FROM d2),
+    tg AS MATERIALIZED (SELECT query_id, scope, cumulative_weight, group_id, patient_count FROM groups WHERE split = 'train'),
+    d2 AS MATERIALIZED (SELECT d1.*, tg.group_id, tg.patient_count AS gp FROM d1 ASOF JOIN tg ON tg.query_id = d1.query_id AND tg.scope = d1.scope AND d1.th <= tg.cumulative_weight),
+    d3 AS MATERIALIZED (SELECT query_id, draw, scope, group_id, {roll('left')} % gp AS li, {roll('right')} % (gp - 1) AS r0 FROM d2),
     d4 AS (SELECT *, r0 + CASE WHEN r0 >= li THEN 1 ELSE 0 END AS ri, {roll('order')} % 2 = 0 AS sw FROM d3),
     d5 AS (SELECT d4.*, l.patient AS lp, {roll('left_encounter')} % l.encounter_count AS le, r.patient AS rp, {roll('right_encounter')} % r.encounter_count AS re
       FROM d4 JOIN px l ON l.group_id = d4.group_id AND l.patient_index = li JOIN px r ON r.group_id = d4.group_id AND r.patient_index = ri),
