@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -86,6 +88,28 @@ def timeline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("subject_id", "event_idx", "file_name", "n_items")
 
 
+def bucketed_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks and subjects as tables bucketed by subject; a table's name tells its input, so a rerun replaces it."""
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    blocks = tables.bucketed(spark, block_table(spark, sf_dir).select("subject_id", "event_idx", "file_name", "n_items"),
+                             f"timeline_{tag}_blocks", scratch_path(spark, "blocks"), "subject_id", ["event_idx"])
+    people = tables.bucketed(spark, b.subjects(spark, sf_dir), f"timeline_{tag}_people", scratch_path(spark, "people"), "subject_id", ["subject_id"])
+    return blocks, people
+
+
+@query(
+    "bucketed_timelines", "S7 S8",
+    f"""WITH {BLOCKS_SQL}, {b.SUBJECTS_SQL}
+    SELECT subject_id, any_value(death_time) AS death_time, count(*) AS n_blocks, CAST(sum(n_items) AS BIGINT) AS n_items, max(event_idx) AS last_idx
+    FROM blocks JOIN subj USING (subject_id) GROUP BY subject_id""",
+)
+def bucketed_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's blocks with its own row: join and aggregate on the buckets as they lie, without a shuffle."""
+    blocks, people = bucketed_pair(spark, sf_dir)
+    return blocks.join(people, "subject_id").groupBy("subject_id").agg(
+        F.first("death_time").alias("death_time"), F.count(F.lit(1)).alias("n_blocks"), F.sum("n_items").alias("n_items"), F.max("event_idx").alias("last_idx"))
+
+
 @query(
     "task_index_files", "S9",
     """SELECT o_orderkey AS sample, o_orderpriority AS task, 'val' AS split, CAST(o_totalprice > 200000 AS INTEGER) AS label FROM orders

@@ -22,6 +22,15 @@ def write_bucketed(df: DataFrame, table: str, path: str, subject: str, order: Se
     df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, subject).sortBy(*order).saveAsTable(table)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, table: str, path: str, subject: str, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write a bucketed, sorted table and read it: of two such tables with as many buckets, joins on the subject move no rows.
+
+    The default number of buckets is that of shuffle partitions, so that tables of one session fit each other.
+    """
+    write_bucketed(df, table, path, subject, order, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(table)
+
+
 def write_index(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Task index under split=/task= folders; only the partitions that are written are replaced.
 

@@ -132,3 +132,18 @@ def test_stream_keeps_newest_counts(spark, tmp_path):
     jobs.keep_latest(stream, str(tmp_path / "o"), str(tmp_path / "c"), keys).awaitTermination()
     got = jobs.latest(spark, str(tmp_path / "o"), keys).collect()
     assert [r["count"] for r in got] == [6]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
+    from cohortline.plans.files import bucketed_pair
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks, people = bucketed_pair(spark, sf_dir)
+        found = blocks.join(people, "subject_id").groupBy("subject_id").count()
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
