@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators import labels_followup as lf, phenotype as ph
 from cohortline.sources import delimited, refresh, tables
+from cohortline.sources.versions import VersionedTable
 from cohortline.streaming import jobs
 
 
@@ -99,7 +100,7 @@ def test_refresh_rebuilds_only_changes(spark, tmp_path):
     (folder / "b.csv").write_text("x\n5\n")
     read = lambda: spark.read.schema("x int").option("header", True).csv(str(folder))
     build = lambda rows: rows.groupBy("source").agg(F.sum("x").alias("total"))
-    totals = lambda: sorted(r["total"] for r in spark.read.parquet(f"{output}/data").collect())
+    totals = lambda: sorted(r["total"] for r in refresh.current(spark, output).collect())
     assert refresh.refresh(spark, read(), {"v": 1}, build, output) == 2
     assert refresh.refresh(spark, read(), {"v": 1}, build, output) == 0
     (folder / "b.csv").write_text("x\n5\n70\n")
@@ -147,3 +148,44 @@ def test_bucketed_tables_join_without_a_shuffle(spark, sf_dir):
         assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_refresh_that_breaks_off_shows_nothing(spark, tmp_path, monkeypatch):
+    """Broken off before any of its writes and before its commit, a refresh leaves the whole version of before; done again, the next."""
+    folder, output = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for name, values in (("a", "1 2"), ("b", "5"), ("c", "9")):
+        (folder / f"{name}.csv").write_text("x\n" + "\n".join(values.split()) + "\n")
+    read = lambda: spark.read.schema("x int").option("header", True).csv(str(folder))
+    build = lambda rows: rows.groupBy("source").agg(F.sum("x").alias("total"))
+    seen = lambda: sorted(r["total"] for r in refresh.current(spark, output).collect())
+    assert refresh.refresh(spark, read(), {}, build, output) == 3 and seen() == [3, 5, 9]
+    held = refresh.current(spark, output)
+    (folder / "a.csv").write_text("x\n1\n20\n")
+    (folder / "b.csv").unlink()
+    for broken in ("data", "manifest", "commit"):
+        with monkeypatch.context() as patch:
+            write, commit = VersionedTable.new_run, VersionedTable.commit
+
+            def new_run(self, rows, name="run", partition_by=(), write=write, broken=broken):
+                found = write(self, rows, name, partition_by)
+                if name == broken:
+                    raise OSError("lost")  # after the folder was written
+                return found
+
+            def late(self, *args, commit=commit, broken=broken):
+                if broken == "commit":
+                    raise OSError("lost")
+                return commit(self, *args)
+
+            patch.setattr(VersionedTable, "new_run", new_run)
+            patch.setattr(VersionedTable, "commit", late)
+            with pytest.raises(OSError, match="lost"):
+                refresh.refresh(spark, read(), {}, build, output)
+        assert seen() == [3, 5, 9]
+    assert refresh.refresh(spark, read(), {}, build, output) == 1 and seen() == [9, 21]
+    assert sorted(r["total"] for r in held.collect()) == [3, 5, 9]  # a reader of the version before goes on
+    monkeypatch.setattr(refresh, "MOST_RUNS", 1)
+    (folder / "c.csv").write_text("x\n10\n")
+    assert refresh.refresh(spark, read(), {}, build, output) == 1 and seen() == [10, 21]
+    assert sum(n.startswith("data") for n in VersionedTable(spark, output).version().runs) == 1
