@@ -88,6 +88,19 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return special.select("text", "id").unionByName(ranked.select("text", "id"))
 
 
+def grown_vocabulary(known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The known texts with their ids, and new ones numbered in text order from the highest id on.
+
+    An id never moves, so cached embeddings and token rows stay right when texts are added. The new texts are found by one anti-join
+    and ranked by a distributed sort; `known` is written first if it is made anew on each use.
+    """
+    last = known.agg(F.coalesce(F.max("id"), F.lit(len(SPECIAL_TOKENS) - 1).cast("bigint")).alias("_last"))
+    fresh = texts.select("text").where(F.col("text").isNotNull() & ~F.col("text").isin(*SPECIAL_TOKENS)).distinct()
+    fresh = fresh.join(known.select("text"), "text", "left_anti").withColumn("_all", F.lit(1))
+    ranked = position(fresh, ["_all"], ["text"], "_rank", start=1)
+    return known.select("text", "id").unionByName(ranked.select("text", (F.col("_rank") + last.scalar()).alias("id")))
+
+
 def token_rows(rows: DataFrame, vocab: DataFrame, types: Sequence[str], pad: int = 0) -> DataFrame:
     """Ids of item, unit, worded value and category, numeric value with its mask, relative time.
 

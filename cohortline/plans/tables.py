@@ -204,6 +204,22 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.vocabulary(ft.harvested_texts(sample_tables(spark, sf_dir)))
 
 
+@query(
+    "grown_vocabulary", "E1 E5",
+    f"""WITH {TEXTS_SQL},
+    old AS (SELECT DISTINCT x AS text FROM (SELECT item AS x FROM ut WHERE CAST(sample_id AS BIGINT) % 3 = 0 UNION ALL SELECT unit FROM ut WHERE CAST(sample_id AS BIGINT) % 3 = 0
+      UNION ALL SELECT value FROM ut WHERE CAST(sample_id AS BIGINT) % 3 = 0 AND TRY_CAST(value AS DOUBLE) IS NULL) WHERE trim(x) <> ''),
+    first AS (SELECT text, row_number() OVER (ORDER BY encode(text)) + 2 AS id FROM old UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[MASK]', 2))),
+    later AS (SELECT text, row_number() OVER (ORDER BY encode(text)) + (SELECT max(id) FROM first) AS id FROM texts ANTI JOIN first USING (text))
+    SELECT text, CAST(id AS BIGINT) AS id FROM first UNION ALL SELECT text, CAST(id AS BIGINT) FROM later""",
+)
+def grown_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a third of the samples, then those of all: no id of the first step moves."""
+    rows = cut(sample_tables(spark, sf_dir))
+    first = cut(ft.vocabulary(ft.harvested_texts(rows.where(F.col("sample_id").cast("bigint") % 3 == 0))))
+    return ft.grown_vocabulary(first, ft.harvested_texts(rows))
+
+
 TYPES = ("person", "measurement", "drug_exposure")
 TOKENS_SQL = TEXTS_SQL + """,
 tk AS (SELECT ut.sample_id, ut.pos, coalesce(i.id, 0)::BIGINT AS item_id, coalesce(u.id, 0)::BIGINT AS unit_id,

@@ -251,3 +251,16 @@ def test_holdout_covers_classes(spark):
     split = splits.covering_holdout(people, "id", ["rare", "b"], 100).join(people, "id")
     seen = {(r["split"], r["rare"]) for r in split.collect()}
     assert {("holdout", 1), ("train", 1), ("holdout", 0), ("train", 0)} <= seen
+
+
+def test_vocabulary_grows_without_moving_an_id(spark):
+    from cohortline.operators import features as ft
+
+    make = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    first = ft.vocabulary(make("b", "d", "b", "[PAD]"))
+    second = ft.grown_vocabulary(first, make("a", "d", "z", "c", "a", "[UNK]", None))
+    third = ft.grown_vocabulary(second, make("d"))
+    ids = {r["text"]: r["id"] for r in second.collect()}
+    assert ids == {"[PAD]": 0, "[UNK]": 1, "[MASK]": 2, "b": 3, "d": 4, "a": 5, "c": 6, "z": 7}
+    assert {r["text"]: r["id"] for r in third.collect()} == ids
+    assert {r["text"]: r["id"] for r in ft.grown_vocabulary(first.limit(0), make("q")).collect()} == {"q": 3}
