@@ -16,7 +16,7 @@ HEADLINE = (
     "phenotype_pair_counts", "item_unit_counts", "encounter_statistics", "concept_prevalence", "event_blocks", "merged_timeline",
     "forward_context", "emergency_tasks", "hospital_durations", "icu_lab_severity", "events_inside_stays", "hospital_measurements",
     "subject_tables", "harvested_texts", "graph_triples", "negative_triples", "stratified_split", "ranking_metrics",
-    "concordance_index", "kaplan_meier",
+    "concordance_index", "kaplan_meier", "cumulative_auc", "integrated_brier",
 )
 
 
