@@ -14,6 +14,7 @@ SLICE = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,10 +34,25 @@ def values(batch: pa.Array) -> Iterator:
         yield from batch.slice(start, SLICE).to_pylist()
 
 
-def row_function(make: Callable[[], Callable], kind: DataType) -> Callable[..., Column]:
+#: What the last kept function of this worker process made, by its name: the next task of the worker goes on with it
+_KEPT: dict[object, Callable] = {}
+
+
+def ready(make: Callable[[], Callable], kept: object) -> Callable:
+    if kept not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        if kept is None:
+            return make()
+        _KEPT[kept] = make()
+    return _KEPT[kept]
+
+
+def row_function(make: Callable[[], Callable], kind: DataType, kept: object = None) -> Callable[..., Column]:
     """A column function: make() runs once in each task, its result maps one row's values to a value or a tuple.
 
-    Values go through Arrow, a slice of each batch at a time.
+    Values go through Arrow, a slice of each batch at a time. Under a name in `kept` what make() gives stays in the worker for its
+    next tasks, until a function of another name comes; the name must tell all that make() depends on.
     """
     fields = kind.fields if isinstance(kind, StructType) else None
 
@@ -48,12 +64,12 @@ def row_function(make: Callable[[], Callable], kind: DataType) -> Callable[...,
             [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)], names=[f.name for f in fields])
 
     def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        each = make()
+        each = ready(make, kept)
         for batch in batches:
             yield built([each(x) for x in values(batch)])
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        each = make()
+        each = ready(make, kept)
         for columns in batches:
             yield built([each(*x) for x in zip(*map(values, columns), strict=True)])
 
@@ -68,14 +84,38 @@ def row_function(make: Callable[[], Callable], kind: DataType) -> Callable[...,
 
 
 class Memo(dict):
-    """A dict that computes what it lacks; it starts anew when it holds `limit` entries, so its memory is bounded."""
+    """A dict that computes what it lacks, in bounded memory.
+
+    At `limit` entries or `room` bytes (by the length of keys and values) it starts anew, but keeps the entries so far as the
+    older half: what is asked again comes back from there, and only what isn't is lost the next time.
+    """
 
-    def __init__(self, compute: Callable, limit: int = 200_000):
+    def __init__(self, compute: Callable, limit: int = 150_000, room: int = 16 << 20):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.room, self.held, self.older = compute, limit, room, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.held += len(key) + (len(value) if isinstance(value, (bytes, str)) else 8)
+        if len(self) >= self.limit or self.held > self.room:
+            self.older, self.held = dict(self), 0
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts go to Python in batches of so many rows at most: documents are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

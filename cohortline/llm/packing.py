@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     length / unit, get their offsets in one window.
     """
     spark = docs.sparkSession
-    told = row_function(lambda: pieces(path, length, end), PIECES)(utf8(text_col))
+    told = row_function(lambda: pieces(path, length, end), PIECES, ("pieces", path, length, end))(utf8(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), told.alias("t")).select("doc_id", "t.doc_tokens", F.explode("t.pieces").alias("p"))
     rows = rows.select("doc_id", "doc_tokens", "p.*").withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     rows = cut(rows)

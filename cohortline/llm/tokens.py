@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType
 
 from cohortline.llm.common import Memo, row_function, utf8, words
 
+T = TypeVar("T")
 #: How the tokenizer cuts lower-case words of printable ASCII and Latin letters; fixed by the vocabulary file's own pre-tokenizer
-PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+"
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9\\x20\\x09-\\x0D]+"
 #: Words that its normalizer changes by lower-casing alone: no character here composes with another, and İ, which becomes two, is out
 PLAIN = "[!-~À-ÖØ-įı-ſ]*"
+#: Texts of such words
+PLAIN_TEXT = "[\\x20\\x09-\\x0D!-~À-ÖØ-įı-ſ]*"
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,45 +58,52 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 class Pieces:
-    """Cuts a word as the tokenizer does, or says that the library has to."""
+    """Cuts a lower-cased text as the tokenizer does, or says that the library has to."""
 
     def __init__(self, tokenizer):
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.plain, self.cut, self.letters = re.compile(PLAIN).fullmatch, re.compile(PIECES).findall, byte_letters()
+        self.plain, self.cut, self.letters = re.compile(PLAIN_TEXT).fullmatch, re.compile(PIECES).findall, byte_letters()
 
-    def __call__(self, word: str) -> list[str] | None:
-        if not self.plain(word) or ("<" in word and any(s in word for s in self.special)):
-            return None
-        return self.cut(word.lower())
+    def known(self, text: str) -> bool:
+        return self.plain(text) is not None and ("<" not in text or not any(s in text for s in self.special))
 
     def coded(self, piece: str) -> str:
         return piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
 
 
-def counter(path: str, whole: frozenset[str]):
-    """A function from a text's bytes to its number of tokens.
+def by_piece(tokenizer, one: Callable[[str], T], joined: Callable[[Iterable[T]], T], other: Callable[[str], T]) -> Callable[[bytes], T]:
+    """A function from a text's bytes to what its pre-tokens give, joined: `one` of each, or `other` of a word that can't be cut here.
 
-    White space parts words for every rule of the tokenizer, so a text's count is the sum over its words. A word is
-    cut into pre-tokens; those in `whole` count one, only the rest is merged. A word with other characters than
-    printable ASCII and Latin letters, or with a special string, goes to the library as it is.
+    White space parts words for every rule of the tokenizer. A text of printable ASCII and Latin letters without special strings
+    is lower-cased and cut in one go; in another, words with other characters or a special string go to `other` as they are.
+    Pre-tokens are held, not words: lower-cased and without marks few are new.
     """
-    tokenizer = load(path)
-    pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
-    merged = Memo(lambda piece: 1 if piece in whole else len(merge(pieces.coded(piece))))
+    pieces = Pieces(tokenizer)
+    core, odd = Memo(one, 200_000), Memo(other, 50_000)
+    each = lambda text: map(core.__getitem__, pieces.cut(text.lower()))
+
+    def of(raw: bytes) -> T:
+        text = raw.decode("utf-8", "replace")
+        if pieces.known(text):
+            return joined(each(text))
+        found = (word.decode("utf-8", "replace") for word in words(raw))
+        return joined(joined(each(word)) if pieces.known(word) else odd[word] for word in found)
+
+    return of
 
-    def of(word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        found = pieces(text)
-        return len(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else sum(map(merged.__getitem__, found))
 
-    counts = Memo(of)
-    return lambda text: sum(map(counts.__getitem__, words(text)))
+def counter(path: str, whole: frozenset[str]):
+    """A function from a text's bytes to its number of tokens: pre-tokens in `whole` count one, only the rest is merged."""
+    tokenizer = load(path)
+    pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
+    return by_piece(tokenizer, lambda piece: 1 if piece in whole else len(merge(pieces.coded(piece))), sum,
+                   lambda word: len(tokenizer.encode(word, add_special_tokens=False).ids))
 
 
 def n_tokens(spark: SparkSession, text: str | Column, path: str) -> Column:
     """Tokens of each text; null and empty texts have none. The proven set is broadcast, its size is the vocabulary's."""
     proven = spark.sparkContext.broadcast(whole_tokens(path))
-    return row_function(lambda: counter(path, proven.value), LongType())(utf8(text))
+    return row_function(lambda: counter(path, proven.value), LongType(), ("token counts", path))(utf8(text))
 
 
 def encoder(path: str):
@@ -99,19 +111,12 @@ def encoder(path: str):
     tokenizer = load(path)
     pieces, merge = Pieces(tokenizer), tokenizer.model.tokenize
     packed = lambda ids: array("I", ids).tobytes()
-    merged = Memo(lambda piece: packed([t.id for t in merge(pieces.coded(piece))]), 300_000)
-
-    def of(word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        found = pieces(text)
-        return packed(tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(merged.__getitem__, found))
-
-    ids = Memo(of, 300_000)
-    return lambda text: b"".join(map(ids.__getitem__, words(text)))
+    return by_piece(tokenizer, lambda piece: packed([t.id for t in merge(pieces.coded(piece))]), b"".join,
+                   lambda word: packed(tokenizer.encode(word, add_special_tokens=False).ids))
 
 
 def token_ids(text: str | Column, path: str) -> Column:
-    return row_function(lambda: encoder(path), BinaryType())(utf8(text))
+    return row_function(lambda: encoder(path), BinaryType(), ("token ids", path))(utf8(text))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
