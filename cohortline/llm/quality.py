@@ -6,6 +6,7 @@ counts come from all trusted text. A document's perplexity is that of its words.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -15,19 +16,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from cohortline.llm.common import row_function, utf8, values, words
+from cohortline.llm.common import row_function, unused, utf8, values, words
 from cohortline.llm.substrings import bitmap
 from cohortline.session import cut
 
 ORDER = 5
-#: Mark a word's start and end; neither is a character of a word
-START, END = "\x02", "\x03"
+#: Mark a word's start and end, and a piece that goes on in a long word; none is a character of a word
+START, END, ON = "\x02", "\x03", "\x01"
 #: n-grams, the most used ones, whose costs are sent to all scoring tasks; a document's others are joined with theirs
 HELD = 200_000
-#: Symbols of distinct words that a task spreads into n-grams at a time
-SYMBOLS = 1 << 20
-#: Longer words are scored and counted in pieces of this many characters
+#: Distinct words that a task counts before it spreads them, and symbols that it spreads into n-grams at a time
+WORDS, SYMBOLS = 200_000, 1 << 19
+#: Longer words are handled in pieces of so many symbols, each with the ORDER - 1 symbols before it: no n-gram is lost or added
 LONGEST = 64
+#: Bytes of text whose words a task counts at a time
+ROOM = 32 << 20
 #: Share of a language's trusted documents that a threshold lets pass, and what is added to its log perplexity
 QUANTILE, SLACK = 0.99, 0.10
 #: Symbols of the language's usual perplexity that each document is mixed with, so that few words decide nothing
@@ -39,30 +42,48 @@ STEP = 0.001
 NO_LANG = "und"
 
 
-def pieces_of(word: bytes) -> list[str]:
-    text = word.decode("utf-8", "replace").replace(START, "�").replace(END, "�")
+def pieces_of(word: bytes, order: int = ORDER) -> list[str]:
+    """The marked word, or a long one's pieces: all but the first begin with ON and the symbols that its first one follows."""
+    text = word.decode("utf-8", "replace")
+    if min(word, default=0) < 4:
+        for mark in (START, END, ON):
+            text = text.replace(mark, "\ufffd")
+    whole = START + text + END
     if len(text) <= LONGEST:
-        return [text]
-    return [text[k:k + LONGEST] for k in range(0, len(text), LONGEST)]
+        return [whole]
+    return [whole[:LONGEST]] + [ON + whole[k - order + 1:k + LONGEST] for k in range(LONGEST, len(whole), LONGEST)]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over the column `text` (bytes) of all rows; each task counts on its own first, in bounded memory."""
+def marked(piece: str) -> str:
+    return piece if piece[:1] in (START, ON) else START + piece + END
+
+
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
+    """Counts of words, WORDS of them or the words of ROOM bytes at a time."""
+    held, seen = Counter(), 0
+    for batch in batches:
+        for raw in values(batch.column("text")):
+            held.update(words(raw))
+            seen += len(raw)
+            if len(held) > WORDS or seen > ROOM:
+                yield held
+                held, seen = Counter(), 0
+    yield held
+
+
+def word_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """word, n over the column `text` (bytes) of all rows; each task counts on its own first, in bounded memory.
+
+    Words are marked, long ones in pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for raw in values(batch.column("text")):
-                held.update(words(raw))
-                if len(held) > 200_000:
-                    yield counted(held)
-                    held = Counter()
-        yield counted(held)
+        yield from map(counted, lots(batches))
 
     def counted(held: Counter) -> pa.RecordBatch:
         found: Counter = Counter()
         for word, n in held.items():
-            for piece in pieces_of(word):
+            for piece in pieces_of(word, order):
                 found[piece] += n
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
@@ -76,9 +97,9 @@ def ngram_counts(counted: DataFrame, order: int = ORDER) -> DataFrame:
     counts the distinct symbols seen before it: the rows one symbol longer that end in it. Each length is one shuffle on
     the n-gram.
     """
-    marked = counted.select(F.concat(F.lit(START), "word", F.lit(END)).alias("w"), "n")
-    ends = F.explode(F.sequence(F.lit(2), F.length("w"))).alias("end")
-    longest = marked.select("w", "n", ends).select(F.expr(f"substring(w, greatest(1, end - {order - 1}), least(end, {order}))").alias("gram"), "n")
+    whole = counted.select(F.col("word").alias("w"), "n")
+    ends = F.explode(F.sequence(F.when(F.startswith("w", F.lit(ON)), order + 1).otherwise(2), F.length("w"))).alias("end")
+    longest = whole.select("w", "n", ends).select(F.expr(f"substring(w, greatest(1, end - {order - 1}), least(end, {order}))").alias("gram"), "n")
     longest = cut(longest.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("length", F.length("gram")))
     levels = [longest.where(F.col("length") == order)]
     for length in range(order - 1, 0, -1):
@@ -105,7 +126,7 @@ def model(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> tup
     leaves to the next shorter context). Counts cover all trusted rows; none is left out. They meet their contexts' totals in
     shuffled joins.
     """
-    grams = cut(ngram_counts(word_counts(trusted.select(utf8(text_col).alias("text"))), order))
+    grams = cut(ngram_counts(word_counts(trusted.select(utf8(text_col).alias("text")), order), order))
     table = discounts(grams)
     grams = grams.withColumn("context", F.expr("substring(gram, 1, length - 1)"))
     off = [F.coalesce(*(F.when(F.col("length") == length, d[k]) for length, d in sorted(table.items()))) for k in range(3)]
@@ -143,10 +164,12 @@ def probabilities(needed: DataFrame, own: DataFrame, rest: DataFrame, order: int
 
 
 def grams_of(piece: str, order: int) -> list[str]:
-    """The longest n-gram up to each symbol of a marked word, its end included."""
-    marked = START + piece + END
-    size = len(marked)
-    return [marked[:k] for k in range(2, min(order, size + 1))] + [marked[k:k + order] for k in range(size - order + 1)]
+    """The longest n-gram up to each symbol of a marked word or piece, its end included."""
+    held = marked(piece)
+    size = len(held)
+    if held[0] == ON:
+        return [held[k:k + order] for k in range(1, size - order + 1)]
+    return [held[:k] for k in range(2, min(order, size + 1))] + [held[k:k + order] for k in range(size - order + 1)]
 
 
 def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tuple[str, int]]:
@@ -155,16 +178,18 @@ def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tu
     An n-gram is packed in one number, symbol by symbol, over the symbols that occur; where no further symbol would fit, the
     numbers so far are replaced by their ranks. So equal numbers are equal n-grams.
     """
-    joined = START + (END + START).join(pieces) + END
+    joined = "".join(map(marked, pieces))
     codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     rank = np.zeros(0x110000, np.int64)
     rank[codes] = 1
     base = int(rank.sum()) + 1
     rank = rank.cumsum()  # from 1 for those that occur; 0 is left of a word
-    starts = codes == ord(START)
+    on = codes == ord(ON)
+    starts = (codes == ord(START)) | on
     word = starts.cumsum() - 1
-    place = np.arange(len(codes)) - np.flatnonzero(starts)[word]
-    ends = np.flatnonzero(place)
+    first = np.flatnonzero(starts)
+    place = np.arange(len(codes)) - first[word]
+    ends = np.flatnonzero((place > 0) & ((place >= order) | ~on[first][word]))
     place, word = place[ends], word[ends]
     key, span = np.zeros(len(ends), np.int64), 1
     for back in range(order - 1, -1, -1):
@@ -183,42 +208,32 @@ def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tu
 
 
 def gram_uses(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, uses over the column `text` (bytes) of all rows; each task counts on its own first, in bounded memory."""
+    """gram, uses over the column `text` (bytes) of all rows.
+
+    A task counts words first and gives away the n-grams of each lot of words as they are spread; the sums are Spark's, before
+    the shuffle and after it. So Python holds one lot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        found: Counter = Counter()
-        for batch in batches:
-            for raw in values(batch.column("text")):
-                held.update(words(raw))
-                if len(held) > 200_000:
-                    spread(held, found)
-                    held = Counter()
-                    if len(found) > 500_000:
-                        yield counted(found)
-                        found = Counter()
-        spread(held, found)
-        yield counted(found)
-
-    def spread(held: Counter, found: Counter) -> None:
+        for held in lots(batches):
+            yield from spread(held)
+
+    def spread(held: Counter) -> Iterator[pa.RecordBatch]:
         pieces, times, size = [], [], 0
         for word, n in held.items():
-            for piece in pieces_of(word):
+            for piece in pieces_of(word, order):
                 pieces.append(piece)
                 times.append(n)
-                size += len(piece) + 2
-            if size > SYMBOLS:
-                add(pieces, times, found)
-                pieces, times, size = [], [], 0
+                size += len(piece)
+                if size > SYMBOLS:
+                    yield counted(pieces, times)
+                    pieces, times, size = [], [], 0
         if pieces:
-            add(pieces, times, found)
+            yield counted(pieces, times)
 
-    def add(pieces: list[str], times: list[int], found: Counter) -> None:
-        for gram, n in spread_grams(pieces, times, order):
-            found[gram] += n
-
-    def counted(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "uses"])
+    def counted(pieces: list[str], times: list[int]) -> pa.RecordBatch:
+        grams, uses = zip(*spread_grams(pieces, times, order), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(uses, pa.int64())], names=["gram", "uses"])
 
     return texts.select("text").mapInArrow(run, "gram string, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
 
@@ -227,18 +242,20 @@ class Scorer(dict):
     """A text's cost over held n-grams, its number of symbols, and the n-grams that aren't held with their times.
 
     As a dict it holds, by word, cost and number of symbols as the two parts of a complex number (whole numbers both, so
-    sums are exact), for words of held n-grams alone. Its memory is bounded: it starts anew at `limit` words.
+    sums are exact), for words of held n-grams alone. Its memory is bounded: words longer than LONGEST bytes aren't held, and
+    it starts anew at `limit` others, which it keeps as the older half.
     """
 
-    def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 300_000):
+    def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 160_000, limit_mixed: int = 50_000):
         super().__init__()
-        self.held, self.order, self.limit = held, order, limit
+        self.held, self.order, self.limit, self.limit_mixed = held, order, limit, limit_mixed
         #: The same, with the n-grams that aren't held, for the other words
         self.mixed: dict[bytes, tuple[complex, list[str]]] = {}
+        self.older: dict[bytes, complex] = {}
         self.rare: Counter = Counter()
 
     def parts(self, word: bytes) -> tuple[complex, list[str]]:
-        pieces = pieces_of(word)
+        pieces = pieces_of(word, self.order)
         grams = grams_of(pieces[0], self.order) if len(pieces) == 1 else [g for piece in pieces for g in grams_of(piece, self.order)]
         try:
             return complex(sum(map(self.held.__getitem__, grams)), len(grams)), []
@@ -246,19 +263,29 @@ class Scorer(dict):
             return complex(sum(self.held.get(g, 0) for g in grams), len(grams)), [g for g in grams if g not in self.held]
 
     def __missing__(self, word: bytes) -> complex:
+        if (value := self.older.get(word)) is not None:
+            self.hold(word, value)
+            return value
         found = self.mixed.get(word)
         value, rare = found or self.parts(word)
         if rare:
-            if len(self.mixed) >= self.limit:
+            self.rare.update(rare)
+        if len(word) > LONGEST:
+            return value
+        if rare:
+            if len(self.mixed) >= self.limit_mixed:
                 self.mixed.clear()
             self.mixed[word] = value, rare
-            self.rare.update(rare)
         else:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
+            self.hold(word, value)
         return value
 
+    def hold(self, word: bytes, value: complex) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+
     def __call__(self, raw: bytes) -> tuple[int, int, list[tuple[str, int]]]:
         self.rare = Counter()
         found = sum(map(self.__getitem__, words(raw)), 0j)
@@ -280,7 +307,7 @@ def scores(docs: DataFrame, own: DataFrame, rest: DataFrame, keep: list[Column],
     priced = cut(needed.join(probabilities(needed.select("gram"), own, rest, order), "gram").select("gram", "uses", cost.alias("cost")))
     held = {r["gram"]: r["cost"] for r in priced.orderBy(F.desc("uses"), "gram").limit(most_held).collect()}
     sent = docs.sparkSession.sparkContext.broadcast(held)
-    column = row_function(lambda: Scorer(sent.value, order), COST)(utf8(text_col))
+    column = row_function(lambda: Scorer(sent.value, order), COST, ("costs", uuid.uuid4().hex))(utf8(text_col))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, column.alias("s")))
     late = rows.select("_row", F.explode("s.rare").alias("gram", "n")).join(priced.select("gram", "cost"), "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("cost")).alias("late"))
     joined = rows.withColumns({"cost": F.col("s.cost"), "symbols": F.col("s.symbols")}).drop("s").join(late, "_row", "left")
@@ -368,5 +395,6 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_co
     """
     key = F.concat(F.md5(utf8(text_col)), language(lang_col))
     judged = fit(docs, labels, [key.alias("key")], text_col=text_col, lang_col=lang_col, **options)
-    gone = judged.where(~F.col("kept")).select(F.col("key").alias("_gone")).distinct()
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    own = unused(docs, "_gone")
+    gone = judged.where(~F.col("kept")).select(F.col("key").alias(own)).distinct()
+    return docs.join(gone, key == F.col(own), "left_anti")
