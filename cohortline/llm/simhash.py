@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from cohortline.llm.common import row_function, utf8, words
+from cohortline.llm.common import row_function, unused, utf8, words
 from cohortline.llm.components import components
 from cohortline.session import cut
 
@@ -195,5 +195,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Rows repeated under one id are one document. Documents without an id stay, since nothing tells them apart.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own = unused(docs, "_gone")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")

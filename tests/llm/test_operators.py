@@ -473,3 +473,40 @@ def test_pipeline_stages(spark, sf_dir, documents):
             lost = sum(map(len, removed_words(before)))
             assert sum(len(r["text"].split()) for r in docs.collect()) == sum(len(t.split()) for t in before) - lost
     assert seen["quality"] >= seen["near_duplicates"] == seen["substrings"] > 0 and seen["packing"] >= seen["mixing"] > 0
+
+
+def test_long_words_lose_no_ngrams(spark):
+    from collections import Counter
+
+    for word in ("ab", "x" * 63, "x" * 64, "y" * 65, "".join(map(chr, range(33, 127))) * 5, "äö" * 100, "abc" * 21 + "q", "z" * 129):
+        whole = quality.START + word + quality.END
+        want = Counter(whole[max(0, k - 4):k + 1] for k in range(1, len(whole)))
+        pieces = quality.pieces_of(word.encode())
+        spread: Counter = Counter()
+        for gram, n in quality.spread_grams(pieces, [1] * len(pieces), 5):
+            spread[gram] += n
+        assert want == Counter(g for p in pieces for g in quality.grams_of(p, 5)) == spread
+        counted = quality.ngram_counts(quality.word_counts(spark.createDataFrame([(word.encode(),)], "text binary")))
+        assert {r["gram"]: r["n"] for r in counted.where("length = 5").collect()} == {g: n for g, n in want.items() if len(g) == 5}
+
+
+def test_memo_is_bounded_and_keeps_what_is_used():
+    from cohortline.llm.common import Memo
+
+    asked = []
+    held = Memo(lambda k: asked.append(k) or k * 2, limit=10, room=1000)
+    for k in range(200):
+        assert held["hot"] == "hothot" and held[f"w{k}"] == f"w{k}w{k}"
+    assert asked.count("hot") == 1 and len(held) + len(held.older) <= 20
+    for k in range(50):
+        held["x" * 100 + str(k)]
+    assert sum(map(len, [*held, *held.older])) <= 2 * 1000
+
+
+def test_survivors_with_clashing_columns(spark, labels):
+    rows = [(1, "one two three four five six seven", "en"), (2, "one two three four five six seven", "en"), (3, None, None), (4, "the cat sat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS _gone", "2 AS __gone", "3 AS `_Id`", "4 AS component_id")
+    for kept in (resemblance.survivors(docs, size=5), simhash.survivors(docs)):
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.where("text IS NULL").count() == 1
