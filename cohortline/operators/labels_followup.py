@@ -77,9 +77,9 @@ def classification_index(labels: DataFrame, rows: DataFrame, info: DataFrame) ->
 
 
 def surgery_dates(rows: DataFrame) -> DataFrame:
-    """Operation time per subject: the first dated report less its post-operative day."""
-    place = F.when(F.col("day").isNotNull() & F.col("report_time").isNotNull(), F.struct("day", "report_time"))
-    first = rows.groupBy("subject").agg(F.min_by(F.struct("day", "report_time"), place).alias("_first"))
+    """Operation time per subject: the first dated report less its post-operative day. Subjects without one are left out."""
+    dated = rows.where(F.col("day").isNotNull() & F.col("report_time").isNotNull())
+    first = dated.groupBy("subject").agg(F.min(F.struct("day", "report_time")).alias("_first"))
     return first.select(
         "subject", times.add_days(F.col("_first.report_time"), -F.col("_first.day").cast("double")).alias("surgery_time")
     )

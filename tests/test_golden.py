@@ -264,3 +264,10 @@ def test_vocabulary_grows_without_moving_an_id(spark):
     assert ids == {"[PAD]": 0, "[UNK]": 1, "[MASK]": 2, "b": 3, "d": 4, "a": 5, "c": 6, "z": 7}
     assert {r["text"]: r["id"] for r in third.collect()} == ids
     assert {r["text"]: r["id"] for r in ft.grown_vocabulary(first.limit(0), make("q")).collect()} == {"q": 3}
+
+
+def test_subject_without_a_dated_report_has_no_operation(spark):
+    rows = spark.createDataFrame(
+        [("a", 3.0, START), ("a", 1.0, None), ("a", None, START), ("b", None, START), ("b", 2.0, None)], "subject string, day double, report_time timestamp_ntz"
+    )
+    assert [tuple(r) for r in lf.surgery_dates(rows).collect()] == [("a", START - dt.timedelta(days=3))]
