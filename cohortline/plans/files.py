@@ -192,14 +192,22 @@ def refreshed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rebuilt_again", F.lit(again).cast("bigint"))
 
 
-def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurement rows as a stream of four files, one per micro-batch."""
+#: Micro-batches that streamed lines come in, and lines of one of their files
+BATCHES, FILE_LINES = 4, 500_000
+
+
+def streamed_lines(spark: SparkSession, sf_dir: str, file_lines: int = FILE_LINES) -> DataFrame:
+    """Measurement rows as a stream of four micro-batches, over which an encounter's lines are spread.
+
+    The files of a micro-batch grow in number with the lines, not in size.
+    """
     folder = scratch_path(spark, "stream")
     rows = raw_measurements(spark, sf_dir).withColumns({
         "item_key": text.item_key(F.col("item")), "unit_key": text.unit_key(F.col("unit")),
     })
-    rows.repartition(4, "l_linenumber", "encounter").write.parquet(folder)
-    return jobs.file_stream(spark, folder, "*.parquet", rows.schema, files_per_batch=1)
+    files = max(1, -(-b.table(spark, sf_dir, "lineitem").count() // (BATCHES * file_lines)))
+    rows.repartition(BATCHES * files, "l_linenumber", "encounter").write.parquet(folder)
+    return jobs.file_stream(spark, folder, "*.parquet", rows.schema, files_per_batch=files)
 
 
 @query("streamed_encounter_support", "X1 A6", f"WITH {SUPPORT_SQL} SELECT * FROM support")

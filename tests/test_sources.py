@@ -189,3 +189,15 @@ def test_refresh_that_breaks_off_shows_nothing(spark, tmp_path, monkeypatch):
     (folder / "c.csv").write_text("x\n10\n")
     assert refresh.refresh(spark, read(), {}, build, output) == 1 and seen() == [10, 21]
     assert sum(n.startswith("data") for n in VersionedTable(spark, output).version().runs) == 1
+
+
+def test_streamed_files_grow_in_number(spark, sf_dir, tmp_path, monkeypatch):
+    from cohortline.plans import files
+
+    monkeypatch.setattr(files, "scratch_path", lambda _, name: str(tmp_path / name))
+    stream, seen = files.streamed_lines(spark, sf_dir, file_lines=400), []
+    note = lambda batch, _: seen.append(batch.count())
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    held = [spark.read.parquet(str(p)).count() for p in (tmp_path / "stream").glob("*.parquet")]
+    assert len(seen) == files.BATCHES and sum(seen) == sum(held) > 5000
+    assert max(held) < 800
