@@ -115,10 +115,11 @@ def concept_of(seen: Column, rules=CONCEPT_RULES) -> Column:
 def classify_labels(df: DataFrame, label: str, dictionary: DataFrame | None = None) -> DataFrame:
     """Add `concept`. The patterns run once per distinct label, not once per row.
 
-    The labels come from the item dictionary where there is one, so the rows are not read an extra time.
+    The labels come from the item dictionary where there is one, so the rows are not read an extra time. The patterns see an
+    aggregate of the label, so the filter on what they give stays above the grouping.
     """
     labels = (df if dictionary is None else dictionary).select(label).where(F.col(label).isNotNull()).distinct()
-    seen = labels.withColumn("_seen", text.rule_text(F.col(label)))
+    seen = labels.groupBy(label).agg(F.min(label).alias("_label")).withColumn("_seen", text.rule_text(F.col("_label")))
     concepts = seen.select(label, concept_of(F.col("_seen")).alias("concept")).where(F.col("concept").isNotNull())
     return df.join(concepts, label)
 

@@ -271,3 +271,15 @@ def test_subject_without_a_dated_report_has_no_operation(spark):
         [("a", 3.0, START), ("a", 1.0, None), ("a", None, START), ("b", None, START), ("b", 2.0, None)], "subject string, day double, report_time timestamp_ntz"
     )
     assert [tuple(r) for r in lf.surgery_dates(rows).collect()] == [("a", START - dt.timedelta(days=3))]
+
+
+def test_concept_patterns_stay_above_the_grouping_of_labels(spark):
+    from cohortline.operators import concepts
+
+    rows = spark.createDataFrame([("Hemoglobin A",), ("WBC count",), ("Glucose, urine",), (None,)] * 3, "item string")
+    found = concepts.classify_labels(rows, "item")
+    assert sorted(map(tuple, found.distinct().collect())) == [("Hemoglobin A", "hemoglobin"), ("WBC count", "white_blood_cell_count")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    patterns = [k for k, line in enumerate(plan) if "RLIKE" in line.upper()]
+    grouped = [k for k, line in enumerate(plan) if "Aggregate [" in line]
+    assert patterns and grouped and max(patterns) < min(grouped)
