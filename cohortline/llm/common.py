@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,10 +40,19 @@ def values(batch: pa.Array) -> Iterator:
 _KEPT: dict[object, Callable] = {}
 
 
+def give_back() -> None:
+    """What a worker process no longer uses goes back to the system, as far as its C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ready(make: Callable[[], Callable], kept: object) -> Callable:
     if kept not in _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         if kept is None:
             return make()
         _KEPT[kept] = make()

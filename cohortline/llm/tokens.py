@@ -79,7 +79,7 @@ def by_piece(tokenizer, one: Callable[[str], T], joined: Callable[[Iterable[T]],
     Pre-tokens are held, not words: lower-cased and without marks few are new.
     """
     pieces = Pieces(tokenizer)
-    core, odd = Memo(one, 200_000), Memo(other, 50_000)
+    core, odd = Memo(one, 100_000), Memo(other, 50_000)
     each = lambda text: map(core.__getitem__, pieces.cut(text.lower()))
 
     def of(raw: bytes) -> T:
