@@ -140,3 +140,21 @@ def test_negatives_are_filled_from_a_tiny_vocabulary(spark):
     vocabulary = spark.range(6).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("target"))
     rows = candidate_labels(samples, vocabulary, 4).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("label").alias("own")).collect()
     assert len(rows) == 400 and all((r["n"], r["own"]) == (5, 1) for r in rows)
+
+
+def test_keys_and_numbers_name_their_value_once(spark):
+    from cohortline.functions import numbers, text
+
+    for made in (text.item_key, text.unit_key, text.unit_key_loose, text.squeezed, text.rule_text, numbers.to_number):
+        assert str(made(F.col("zzz"))).count("zzz") == 1
+    odd = [" 1　", "\x1c2.5e3 ", " .5", "+7.", "1d", "0x1", "1e", "-", "", " NaN", "1 2", "١", "3\n", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in odd], "v string").select(numbers.to_number(F.col("v"))).collect()]
+    assert got == [1.0, 2500.0, 0.5, 7.0, None, None, None, None, None, None, None, None, 3.0, None]
+
+
+def test_tasks_of_measurements_stay_bounded(spark):
+    from cohortline.plans import bindings as b
+
+    rows = spark.range(100)
+    assert b.spread_lines(rows, 5_000_001, "id").rdd.getNumPartitions() == 11
+    assert b.spread_lines(rows, 100, "id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
