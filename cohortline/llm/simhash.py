@@ -32,27 +32,41 @@ PIECE = 4096
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """SimHash of the shingles of `size` lower-cased words, repeats included, as a signed 64-bit number.
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of the shingles of `size` lower-cased words, repeats included, as unsigned 64-bit numbers.
 
-    A bit is 1 if it is set in over half of the XXH64 hashes (seed 42). A text with fewer words is one shingle; one
-    without words is zero.
+    A text with fewer words is one shingle; one without words has none.
     """
     parts = words(text.translate(UPPER))
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= size:
-        return int(np.uint64(digest(joined, SEED)).astype(np.int64))
+        return np.array([digest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[: 1 - size], ends[size - 1:]
-    total = np.zeros(64, np.int64)
+    found = np.empty(len(starts), np.uint64)
     for k in range(0, len(starts), 65_536):  # very long texts in pieces
         some = zip(starts[k:k + 65_536].tolist(), ends[k:k + 65_536].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in some), np.uint64, min(65_536, len(starts) - k))
-        total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts)).view(">i8")[0])
+        found[k:k + 65_536] = np.fromiter((digest(joined[a:b], SEED) for a, b in some), np.uint64, min(65_536, len(starts) - k))
+    return found
+
+
+def vote(found: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(found), 65_536):
+        total += np.unpackbits(found[k:k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(found)).view(">i8")[0])
+
+
+def fingerprint(text: bytes, size: int) -> int:
+    """SimHash of the shingles of `size` lower-cased words, repeats included, as a signed 64-bit number.
+
+    A text with fewer words is one shingle; one without words is zero.
+    """
+    return vote(hashes(text, size))
 
 
 def fingerprints(text: str | Column, size: int) -> Column:

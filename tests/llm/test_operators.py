@@ -172,6 +172,24 @@ def test_near_copies_against_all_pairs(spark, documents, sample):
     assert kept == set(expected.values())
 
 
+def test_near_copies_go_through_the_simhash_ring(spark, sf_dir, monkeypatch):
+    """The pipeline's stage links prints by op2's ring first; what the ring proposes is confirmed, what it misses is found."""
+    import corpus_pipeline
+
+    base = [f"w{x}" for x in np.random.default_rng(4).integers(0, 5000, 400)]
+    rows = [(k, " ".join([*base[:200 + k], "changed", *base[201 + k:]])) for k in range(30)] + [(90, "something else"), (91, None), (92, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(resemblance, "links", lambda prints, *a: asked.append({r["print"] for r in prints.collect()}) or simhash.links(prints, *a))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert asked == [{simhash.fingerprint((t or "").encode(), 5) for _, t in rows}]
+    assert kept == {0, 90, 91}
+    # a ring that links all or nothing moves costs, never results
+    for ring in (lambda p, *a: p.toDF("a").crossJoin(p.toDF("b")).where("a < b"), lambda p, *a: p.selectExpr("print AS a", "print AS b").limit(0)):
+        monkeypatch.setattr(resemblance, "links", ring)
+        assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == kept
+
+
 def test_pipeline_removes_near_copies_at_the_stated_likeness(spark, sf_dir):
     import corpus_pipeline
 
