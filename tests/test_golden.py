@@ -283,3 +283,19 @@ def test_concept_patterns_stay_above_the_grouping_of_labels(spark):
     patterns = [k for k, line in enumerate(plan) if "RLIKE" in line.upper()]
     grouped = [k for k, line in enumerate(plan) if "Aggregate [" in line]
     assert patterns and grouped and max(patterns) < min(grouped)
+
+
+def test_encounters_of_drawn_subjects_alone_are_numbered(spark, monkeypatch):
+    values = spark.range(400).selectExpr(
+        "'train' AS split", "0 AS query_id", "'s' AS scope", "cast(id % 2 as string) AS diagnosis", "cast(id % 40 as string) AS patient", "id AS record_index", "id / 2.0D AS value")
+    groups = pr.pair_groups(values)
+    numbered, plain = {}, pr.position
+
+    def counted(df, keys, order, name, *more, **named):
+        numbered[name] = df.count()
+        return plain(df, keys, order, name, *more, **named)
+
+    monkeypatch.setattr(pr, "position", counted)
+    queries = spark.createDataFrame([(0,)], "query_id int")
+    assert len(pr.sample_pairs(values, groups, pr.query_scale(values, groups), queries, 1, "train").collect()) == 1
+    assert numbered == {"patient_index": 20, "encounter_index": 20}
