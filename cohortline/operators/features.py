@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from cohortline.functions import numbers, text, times
 from cohortline.operators.ordered import Running, position, scan
+from cohortline.session import cut
 
 # The tokens that lead every vocabulary.
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[MASK]")
@@ -158,22 +159,34 @@ def multi_hot(labels: Column, classes: int) -> Column:
 def candidate_labels(samples: DataFrame, vocabulary_rows: DataFrame, negatives: int, seed: int = 42) -> DataFrame:
     """Candidates per sample: its own targets and `negatives` hashed picks from the vocabulary that are none of them.
 
-    `samples`: sample_id, target (one row per target); `vocabulary_rows`: idx (dense from 0), target. Each
-    pick is a number from a hash, looked up by an equi join; a few spare picks replace hits on own targets. After them
-    come as many neighbours of one more hashed place as can be taken already plus `negatives`, so a sample gets all its
-    negatives whenever the vocabulary has them.
+    `samples`: sample_id, target (one row per target); `vocabulary_rows`: idx (dense from 0), target. Each pick is a number
+    from a hash; a few spare picks replace hits on own targets. After them come as many neighbours of one more hashed place
+    as can be taken already plus `negatives`, so a sample gets all its negatives whenever the vocabulary has them. Places are
+    drawn, made distinct and rid of the sample's own inside its row; only the chosen ones become rows and are looked up.
     """
-    size = vocabulary_rows.agg(F.count(F.lit(1))).scalar()
-    keys = samples.groupBy("sample_id").agg(F.count_distinct("target").alias("_own"))
-    spare = F.lit(negatives * 4) + F.col("_own").cast("int")
-    asked = keys.withColumn("_size", size).withColumn("draw", F.explode(F.sequence(F.lit(1), spare + F.col("_own").cast("int") + F.lit(negatives))))
-    hashed = F.col("draw") <= spare
-    turn = F.when(hashed, F.col("draw")).otherwise(0).cast("string")
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), turn, F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
-    place = (number + F.when(hashed, 0).otherwise(F.col("draw"))) % F.col("_size")
-    drawn = asked.withColumn("idx", place).join(vocabulary_rows, "idx")
-    fresh = drawn.join(samples.select("sample_id", "target").distinct(), ["sample_id", "target"], "left_anti")
-    once = fresh.groupBy("sample_id", "target").agg(F.min("draw").alias("draw"))
-    ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("draw")))
-    chosen = ranked.where(F.col("_rank") <= negatives).select("sample_id", "target", F.lit(0).alias("label"))
-    return samples.select("sample_id", "target").distinct().withColumn("label", F.lit(1)).unionByName(chosen)
+    vocabulary_rows = cut(vocabulary_rows.select("idx", "target"))
+    size, distinct = vocabulary_rows.agg(F.count(F.lit(1)), F.count_distinct("target")).first()
+    if distinct < size:
+        places = vocabulary_rows.groupBy("target").agg(F.collect_list("idx").alias("_places"))
+    else:
+        places = vocabulary_rows.select("target", F.array("idx").alias("_places"))
+    own = samples.select("sample_id", "target").distinct()
+    keys = own.join(places, "target", "left").groupBy("sample_id").agg(
+        F.count(F.lit(1)).cast("int").alias("_own"), F.flatten(F.collect_list("_places")).alias("_taken"))
+
+    def number(turn: Column) -> Column:
+        text = F.concat(F.col("sample_id").cast("string"), F.lit("|"), turn.cast("string"), F.lit(f"|{seed}"))
+        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+    held, spare = F.lit(max(size, 1)), F.col("_own") + F.lit(negatives * 4)
+    hashed = F.transform(F.sequence(F.lit(1), spare), lambda draw: number(draw) % held)
+    beside = F.transform(F.sequence(spare + 1, spare + F.col("_own") + negatives), lambda draw: (F.col("_beside") + draw) % held)
+    drawn = keys.withColumn("_beside", number(F.lit(0))).withColumn("_fresh", F.array_except(F.concat(hashed, beside), F.col("_taken")))
+    if distinct < size:
+        found = drawn.select("sample_id", F.posexplode("_fresh").alias("draw", "idx")).join(vocabulary_rows, "idx")
+        once = found.groupBy("sample_id", "target").agg(F.min("draw").alias("draw"))
+        ranked = once.withColumn("_rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("draw")))
+        chosen = ranked.where(F.col("_rank") <= negatives)
+    else:
+        chosen = drawn.select("sample_id", F.explode(F.slice("_fresh", 1, negatives)).alias("idx")).join(vocabulary_rows, "idx")
+    return own.withColumn("label", F.lit(1)).unionByName(chosen.select("sample_id", "target", F.lit(0).alias("label")))

@@ -158,3 +158,17 @@ def test_tasks_of_measurements_stay_bounded(spark):
     rows = spark.range(100)
     assert b.spread_lines(rows, 5_000_001, "id").rdd.getNumPartitions() == 11
     assert b.spread_lines(rows, 100, "id").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_negatives_of_repeated_targets_and_of_no_sample(spark):
+    from cohortline.operators.features import candidate_labels
+
+    samples = spark.createDataFrame([(1, "0"), (None, "1"), (2, "x")], "sample_id long, target string")
+    twice = spark.range(12).select(F.col("id").alias("idx"), F.expr("cast(id div 2 as string)").alias("target"))
+    once = spark.range(6).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("target"))
+    for vocabulary in (once, twice):
+        rows = candidate_labels(samples, vocabulary, 3)
+        assert "LeftAnti" not in rows._jdf.queryExecution().toString()
+        got = sorted((r["sample_id"] or 0, r["label"], r["target"]) for r in rows.collect())
+        assert [r[:2] for r in got] == [(0, 1), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0), (2, 0), (2, 0), (2, 1)]
+        assert len(set(got)) == 9 and (1, 0, "0") not in got
