@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cohortline.functions import numbers, text, times, values
 from cohortline.operators.durations import with_duration
+from cohortline.session import cut
 
 # How a hospital discharge location reads; anything else is Other.
 DISCHARGE_CLASSES = {
@@ -63,17 +64,25 @@ def cohort(
 
 def cohort_summary(stays: DataFrame) -> DataFrame:
     """Size, age and stay statistics, and counts by gender, mortality and discharge class, as rows."""
-    numbers_rows = stays.agg(
-        F.count(F.lit(1)).cast("double").alias("stays"), F.avg("age_years").alias("age_mean"),
-        F.percentile("age_years", 0.5).alias("age_median"), F.min("age_years").alias("age_min"),
-        F.max("age_years").alias("age_max"), F.avg("los").alias("los_mean"), F.percentile("los", 0.5).alias("los_median"),
+    classes = ("gender", "died_in_unit", "discharge_class")
+    # stays alike are counted once, and the cohort is made once for all figures
+    alike = cut(stays.groupBy("age_years", "los", *classes).agg(F.count(F.lit(1)).alias("n")))
+    n = F.col("n")
+
+    def mean(c: str) -> Column:
+        return F.sum(F.col(c) * n) / F.sum(F.when(F.col(c).isNotNull(), n))
+
+    numbers_rows = alike.agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("double").alias("stays"), mean("age_years").alias("age_mean"),
+        F.percentile("age_years", 0.5, n).alias("age_median"), F.min("age_years").alias("age_min"),
+        F.max("age_years").alias("age_max"), mean("los").alias("los_mean"), F.percentile("los", 0.5, n).alias("los_median"),
     )
     wide = numbers_rows.unpivot([], list(numbers_rows.columns), "name", "value").withColumn("level", F.lit(""))
     groups = [
-        stays.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("level")).agg(
-            F.count(F.lit(1)).cast("double").alias("value")
+        alike.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("level")).agg(
+            F.sum(n).cast("double").alias("value")
         ).withColumn("name", F.lit(c))
-        for c in ("gender", "died_in_unit", "discharge_class")
+        for c in classes
     ]
     return reduce(lambda a, x: a.unionByName(x), groups, wide.select("name", "level", "value"))
 

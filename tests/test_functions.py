@@ -172,3 +172,14 @@ def test_negatives_of_repeated_targets_and_of_no_sample(spark):
         got = sorted((r["sample_id"] or 0, r["label"], r["target"]) for r in rows.collect())
         assert [r[:2] for r in got] == [(0, 1), (1, 0), (1, 0), (1, 0), (1, 1), (2, 0), (2, 0), (2, 0), (2, 1)]
         assert len(set(got)) == 9 and (1, 0, "0") not in got
+
+
+def test_the_summary_makes_its_cohort_once(spark):
+    from cohortline.operators.labels_icu import cohort_summary
+
+    stays = spark.range(5).selectExpr("id", "id * 10.0D AS age_years", "if(id = 4, null, id / 2.0D) AS los", "if(id < 2, 'Male', null) AS gender", "id = 1 AS died_in_unit", "'Home' AS discharge_class")
+    summary = cohort_summary(stays.unionAll(stays.where("id = 4")))
+    assert "Range (" not in summary._jdf.queryExecution().toString()
+    got = {(r["name"], r["level"]): r["value"] for r in summary.collect()}
+    assert (got["stays", ""], got["age_median", ""], got["los_mean", ""], got["los_median", ""]) == (6.0, 25.0, 0.75, 0.75)
+    assert (got["gender", ""], got["gender", "Male"], got["died_in_unit", "true"]) == (4.0, 2.0, 1.0)
