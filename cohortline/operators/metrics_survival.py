@@ -91,6 +91,18 @@ def step_value(queries: DataFrame, curve: DataFrame, keys: Sequence[str], at: st
     return found.withColumn(name, F.coalesce(F.col("_f.s"), F.lit(1.0))).drop("_f")
 
 
+def step_value_of_rows(rows: DataFrame, curve: DataFrame, keys: Sequence[str], at: str, name: str) -> DataFrame:
+    """`step_value` for many wide rows: looked up once per distinct time, so that no row is ordered.
+
+    The looked up values are written, so the optimizer knows whether they are few enough to be sent to the rows.
+    """
+    times = rows.select(*keys, F.col(at).alias("_at_row")).distinct()
+    found = cut(step_value(times, curve, keys, "_at_row", name))
+    marked = found.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_at_row", name)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col(at).eqNullSafe(F.col("_at_row"))]
+    return rows.join(marked, same).drop("_at_row", *[f"_of_{k}" for k in keys])
+
+
 def concordance(
     df: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", risk: str = "risk", strict: bool = False,
     part_rows: int = PART_ROWS,
@@ -164,9 +176,10 @@ def usable_grid(grid: DataFrame, train: DataFrame, rows: DataFrame, keys: Sequen
 def _on_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], each: Callable[[Column, Column], Column], more: Sequence[str] = ()) -> DataFrame:
     """The entries that a row gives at the points of its key's grid: `each` makes an array from a point and the row's risk there.
 
-    Hazards are summed once per row, and only the entries leave it. A key's grid is one small array (it has a fixed number of points).
+    Hazards are summed once per row, and only the entries leave it. A key's grid is one small array (it has a fixed number of points);
+    the arrays are written, so the optimizer knows their size and need not deal the rows by key.
     """
-    listed = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grid", "grid_time", *more))).alias("_grid"))
+    listed = cut(grid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grid", "grid_time", *more))).alias("_grid")))
     ready = rows.withColumn("_sums", cumulative(F.col("hazards"))).join(listed, list(keys))
     entries = F.transform("_grid", lambda g: each(g, risk_by(F.col("_sums"), F.col("hazards"), g["grid_time"])))
     return ready.select(*keys, F.explode(F.flatten(entries)).alias("_e")).select(*keys, "_e.*")
@@ -175,8 +188,8 @@ def _on_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], each: Callab
 def _ranked_part(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     order = np.lexsort((found["mark"], found["value"]))
     mark, weight = found["mark"][order], found["weight"][order]
-    before = np.cumsum(mark == 1)
-    told = {"part": np.array([TaskContext.get().partitionId()]), "points": np.array([int((mark == 1).sum())])}
+    before = np.cumsum(np.where(mark == 1, weight, 0.0))
+    told = {"part": np.array([TaskContext.get().partitionId()]), "points": np.array([round(weight[mark == 1].sum())])}
     for name, m in (("low", 0), ("high", 2)):
         told[f"{name}_weight"] = np.array([weight[mark == m].sum()])
         told[name] = np.array([(weight * before)[mark == m].sum()])
@@ -186,7 +199,8 @@ def _ranked_part(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def weighted_ranks(entries: DataFrame, keys: Sequence[str], rows: int, part_rows: int = PART_ROWS) -> DataFrame:
     """keys, points, weight, low, high: the sums over questions of their weight times the points before them.
 
-    entries: keys, value, mark (0 question below points of its value, 1 point, 2 question above them), weight; about `rows` of them.
+    entries: keys, value, mark (0 question below points of its value, 1 point, 2 question above them), weight (a point's: how many
+    it stands for); about `rows` of them.
     They are cut by range once; a part gives a row per key, and the points of earlier parts are added to those few.
     """
     keys = list(keys)
@@ -208,8 +222,8 @@ def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Seq
     controls below a case's risk is a count along the risks, which leave their row as numbers.
     """
     curve = censoring_curve(train, keys)
-    weighted = cut(step_value(rows, curve, keys, "time", "g").select(
-        *keys, "time", "hazards", F.when((F.col("event") == 1) & (F.col("g") > 0), 1.0 / F.col("g")).otherwise(0.0).alias("ipcw")))
+    weighted = step_value_of_rows(rows.select(*keys, "time", "event", "hazards"), curve, keys, "time", "g").select(
+        *keys, "time", "hazards", F.when((F.col("event") == 1) & (F.col("g") > 0), 1.0 / F.col("g")).otherwise(0.0).alias("ipcw"))
 
     def compared(point: Column, risk: Column) -> Column:
         entry = lambda mark, value, weight: F.struct(point["grid"].alias("grid"), F.lit(mark).alias("mark"), value.alias("value"), weight.alias("weight"))
@@ -220,7 +234,9 @@ def cumulative_auc(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: Seq
 
     # ties count half: half the counts below the low bound and half of those up to the high bound
     entries = _on_grid(weighted, grid.withColumn("grid", F.col("grid").cast("int")), keys, compared)
-    ranks = weighted_ranks(entries, [*keys, "grid"], 256 * weighted.count(), part_rows).where("points > 0 AND weight > 0")
+    # entries alike are one with their weights' sum: no part holds more of them than it has places
+    alike = cut(entries.groupBy(*keys, "grid", "mark", "value").agg(F.sum("weight").alias("weight")))
+    ranks = weighted_ranks(alike, [*keys, "grid"], alike.count(), part_rows).where("points > 0 AND weight > 0")
     per_time = ranks.select(*keys, "grid", ((F.col("low") + F.col("high")) / 2 / (F.col("weight") * F.col("points"))).alias("auc"))
     per_time = cut(grid.select(*keys, "grid", "grid_time").join(per_time, [*keys, "grid"]))
     survival = step_value(per_time, km_curve(rows, keys), keys, "grid_time", "survival")
@@ -239,7 +255,7 @@ def integrated_brier(rows: DataFrame, train: DataFrame, grid: DataFrame, keys: S
     A row's scores are made inside it and added up before they move: the shuffle holds a row per task and grid point.
     """
     curve = censoring_curve(train, keys)
-    observed = step_value(rows, curve, keys, "time", "g").select(*keys, "time", "event", "g", "hazards")
+    observed = step_value_of_rows(rows.select(*keys, "time", "event", "hazards"), curve, keys, "time", "g")
     timed = step_value(grid.select(*keys, "grid", "grid_time"), curve, keys, "grid_time", "g_time")
 
     def scored(point: Column, risk: Column) -> Column:
@@ -290,8 +306,8 @@ def calibration(rows: DataFrame, keys: Sequence[str], row_id: str, bins: int = 1
     `rows`: keys, row id, time, event, predicted (survival at `at`), at. A group whose last time is before
     `at` without an event counts no value.
     """
-    held = rows.withColumn("predicted", F.least(F.greatest("predicted", F.lit(eps)), F.lit(1.0 - eps)))
-    total = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    held = rows.select(*keys, row_id, "time", "event", "predicted", "at").withColumn("predicted", F.least(F.greatest("predicted", F.lit(eps)), F.lit(1.0 - eps)))
+    total = cut(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2))
     ranked = position(held.join(total, list(keys)), keys, ["predicted", row_id], "_rank")
     groups = F.greatest(F.lit(2), F.least(F.lit(bins), F.col("_n")))
     size, larger = F.floor(F.col("_n") / groups), F.col("_n") % groups
@@ -322,9 +338,9 @@ def stage_report(rows: DataFrame, train: DataFrame, stage: str, row_id: str, poi
     whole = evaluation_grid(rows, keys, points)
     grid = cut(usable_grid(whole, train, rows, keys))
     _, auc = cumulative_auc(rows, train, grid, keys)
-    ends = grid.groupBy(stage).agg(
+    ends = cut(grid.groupBy(stage).agg(
         F.min("grid_time").alias("t_min"), F.max("grid_time").alias("t_max"), F.first("median_time").alias("t_median")
-    )
+    ))
     scored = rows.join(ends, stage).withColumns({
         "risk": mean_hazard(F.col("hazards"), F.col("t_min"), F.col("t_max")),
         # rounded so that the bins of equal predictions don't hang on the last bit

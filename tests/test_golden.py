@@ -299,3 +299,19 @@ def test_encounters_of_drawn_subjects_alone_are_numbered(spark, monkeypatch):
     queries = spark.createDataFrame([(0,)], "query_id int")
     assert len(pr.sample_pairs(values, groups, pr.query_scale(values, groups), queries, 1, "train").collect()) == 1
     assert numbered == {"patient_index": 20, "encounter_index": 20}
+
+
+def test_ranks_count_points_by_their_weight(spark):
+    rows = [("a", 0, 1, 0.1, 2.0), ("a", 0, 1, 0.3, 3.0), ("a", 0, 0, 0.2, 0.5), ("a", 0, 2, 0.4, 0.5)]
+    entries = spark.createDataFrame(rows, "k string, grid int, mark int, value double, weight double")
+    got = ms.weighted_ranks(entries, ["k", "grid"], 4).first()
+    assert (got["points"], got["weight"], got["low"], got["high"]) == (5, 0.5, 1.0, 2.5)
+
+
+def test_rows_stay_where_they_are_for_step_values(spark):
+    curve = spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 0.25)], "k string, time double, survival double")
+    rows = spark.createDataFrame([("a", 0.5), ("a", 1.5), ("a", 1.5), ("a", None), (None, 2.0)], "k string, time double")
+    found = ms.step_value_of_rows(rows, curve, ["k"], "time", "g")
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    plain = ms.step_value(rows, curve, ["k"], "time", "g")
+    assert sorted(map(str, found.select("k", "time", "g").collect())) == sorted(map(str, plain.select("k", "time", "g").collect()))
