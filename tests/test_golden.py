@@ -379,6 +379,7 @@ def test_cells_give_the_groups_scales_and_numbers_of_long_values(spark):
     subjects = pr.cell_subjects(stats, ph.STATISTICS)
     groups = pr.pair_groups(values)
     assert plain(pr.cell_groups(subjects, ph.STATISTICS)) == plain(groups)
+    assert plain(pr.group_scale(values)) == plain(pr.query_scale(values, groups))
     for width in (4, 65_536):
         assert plain(pr.cell_subject_index(subjects, groups, ph.STATISTICS, width)) == plain(pr.subject_index(values, groups))
 
