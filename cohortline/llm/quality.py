@@ -172,6 +172,22 @@ def grams_of(piece: str, order: int) -> list[str]:
     return [held[:k] for k in range(2, min(order, size + 1))] + [held[k:k + order] for k in range(size - order + 1)]
 
 
+def most_used(priced: DataFrame, most: int) -> DataFrame:
+    """About `most` rows of those with the most uses, all of them if there are no more.
+
+    Uses are counted in classes of 64 to the octave, a few thousand at most; of the last class that finds room a share by hash is
+    taken. So nothing is sorted, and no row but the chosen ones goes to the driver.
+    """
+    step = F.floor(F.log2(F.col("uses").cast("double")) * 64)
+    room = most
+    for at, n in sorted(map(tuple, priced.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if n > room:
+            share = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < (room << 20) // n
+            return priced.where((step > at) | ((step == at) & share))
+        room -= n
+    return priced
+
+
 def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tuple[str, int]]:
     """Each distinct n-gram that grams_of() gives for the pieces, with the sum of their times.
 
@@ -305,9 +321,13 @@ def scores(docs: DataFrame, own: DataFrame, rest: DataFrame, keep: list[Column],
     needed = cut(gram_uses(docs.select(utf8(text_col).alias("text")), order))
     cost = F.round(-F.log("p") * 1_000_000).cast("long")
     priced = cut(needed.join(probabilities(needed.select("gram"), own, rest, order), "gram").select("gram", "uses", cost.alias("cost")))
-    held = {r["gram"]: r["cost"] for r in priced.orderBy(F.desc("uses"), "gram").limit(most_held).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(held)
-    column = row_function(lambda: Scorer(sent.value, order), COST, ("costs", uuid.uuid4().hex))(utf8(text_col))
+    # as columns: as Python objects they would weigh many times as much in the driver
+    sent = docs.sparkSession.sparkContext.broadcast(most_used(priced, most_held).select("gram", "cost").toArrow())
+
+    def make() -> Scorer:
+        return Scorer(dict(zip(*(column.to_pylist() for column in sent.value.columns), strict=True)), order)
+
+    column = row_function(make, COST, ("costs", uuid.uuid4().hex))(utf8(text_col))
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, column.alias("s")))
     late = rows.select("_row", F.explode("s.rare").alias("gram", "n")).join(priced.select("gram", "cost"), "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("cost")).alias("late"))
     joined = rows.withColumns({"cost": F.col("s.cost"), "symbols": F.col("s.symbols")}).drop("s").join(late, "_row", "left")

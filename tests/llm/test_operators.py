@@ -371,6 +371,20 @@ def test_spread_of_words_into_ngrams():
         assert len(dict(found)) == len(found) and want.items() <= dict(found).items()
 
 
+def test_most_used_ngrams_are_chosen_without_a_sort(spark):
+    """The chosen rows alone go to the driver: a limit over an order sends as many rows from each task."""
+    rows = spark.createDataFrame([(f"g{k}", 1 + 10_000 // (k + 1) if k < 2000 else 1) for k in range(6000)], "gram string, uses long")
+    for most in (0, 50, 1000, 4000, 6000, 9000):
+        found = quality.most_used(rows, most)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Sort" not in plan
+        uses = sorted((r["uses"] for r in found.collect()), reverse=True)
+        assert abs(len(uses) - min(most, 6000)) <= max(0.1 * most, 8) * (0 < most < 6000)
+        every = sorted((r["uses"] for r in rows.collect()), reverse=True)
+        sure = every[: int(most * 0.8)]
+        assert uses[: len(sure)] == sure
+
+
 @pytest.mark.parametrize("most_held", [0, 7, 200_000])
 def test_costs_by_join_and_by_held_ngrams(spark, learned, most_held):
     texts = [*TRUSTED, "the cat", "the cat", "zebra Q the the the", "x" * 40]
