@@ -45,7 +45,7 @@ NO_LANG = "und"
 def pieces_of(word: bytes, order: int = ORDER) -> list[str]:
     """The marked word, or a long one's pieces: all but the first begin with ON and the symbols that its first one follows."""
     text = word.decode("utf-8", "replace")
-    if min(word, default=0) < 4:
+    if START in text or END in text or ON in text:
         for mark in (START, END, ON):
             text = text.replace(mark, "\ufffd")
     whole = START + text + END
@@ -213,7 +213,7 @@ def spread_grams(pieces: list[str], times: list[int], order: int) -> Iterator[tu
             held, key = np.unique(key, return_inverse=True)
             span = len(held)
         key, span = key * base + np.where(place >= back, rank[codes[ends - np.minimum(place, back)]], 0), span * base
-    sort = key.argsort(kind="stable")
+    sort = key.argsort()
     key = key[sort]
     tops = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     uses = np.add.reduceat(np.array(times, np.int64)[word[sort]], tops)
@@ -265,16 +265,21 @@ class Scorer(dict):
     def __init__(self, held: dict[str, int], order: int = ORDER, limit: int = 160_000, limit_mixed: int = 50_000):
         super().__init__()
         self.held, self.order, self.limit, self.limit_mixed = held, order, limit, limit_mixed
+        self.cost, self.starts = held.__getitem__, range(2, order)
         #: The same, with the n-grams that aren't held, for the other words
         self.mixed: dict[bytes, tuple[complex, list[str]]] = {}
         self.older: dict[bytes, complex] = {}
         self.rare: Counter = Counter()
 
     def parts(self, word: bytes) -> tuple[complex, list[str]]:
-        pieces = pieces_of(word, self.order)
-        grams = grams_of(pieces[0], self.order) if len(pieces) == 1 else [g for piece in pieces for g in grams_of(piece, self.order)]
+        order, pieces = self.order, pieces_of(word, self.order)
+        if len(pieces) == 1 and len(held := pieces[0]) >= order:  # most words: what grams_of() gives, without its cases
+            grams = [held[k:k + order] for k in range(len(held) - order + 1)]
+            grams += [held[:k] for k in self.starts]
+        else:
+            grams = [g for piece in pieces for g in grams_of(piece, order)]
         try:
-            return complex(sum(map(self.held.__getitem__, grams)), len(grams)), []
+            return complex(sum(map(self.cost, grams)), len(grams)), []
         except KeyError:
             return complex(sum(self.held.get(g, 0) for g in grams), len(grams)), [g for g in grams if g not in self.held]
 

@@ -385,6 +385,17 @@ def test_most_used_ngrams_are_chosen_without_a_sort(spark):
         assert uses[: len(sure)] == sure
 
 
+def test_word_costs_are_those_of_the_words_ngrams():
+    words = ["a", "ab", "abc", "abcd", "abcdef", "\u00e9t\u00e9s", "", "x\x02y", "\x00", "long" * 40]
+    grams = sorted({g for w in words for p in quality.pieces_of(w.encode()) for g in quality.grams_of(p, 5)})
+    for held in ({g: k + 1 for k, g in enumerate(grams)}, {g: k + 1 for k, g in enumerate(grams) if k % 3}):
+        scorer = quality.Scorer(held)
+        for w in words:
+            whole = [g for p in quality.pieces_of(w.encode()) for g in quality.grams_of(p, 5)]
+            value, rare = scorer.parts(w.encode())
+            assert (value.real, value.imag, sorted(rare)) == (sum(held.get(g, 0) for g in whole), len(whole), sorted(g for g in whole if g not in held))
+
+
 @pytest.mark.parametrize("most_held", [0, 7, 200_000])
 def test_costs_by_join_and_by_held_ngrams(spark, learned, most_held):
     texts = [*TRUSTED, "the cat", "the cat", "zebra Q the the the", "x" * 40]
