@@ -16,7 +16,10 @@ UNIT_SPELLING = {"A": "μg", "N": " µ g", "R": "MG ( total )"}
 
 def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements as sources spell them: mixed case, both micro signs, some values that are no number."""
-    rows = b.measurements(spark, sf_dir)
+    return as_spelled(b.measurements(spark, sf_dir))
+
+
+def as_spelled(rows: DataFrame) -> DataFrame:
     item = F.when(F.col("l_linenumber") % 2 == 0, F.col("item")).otherwise(F.concat(F.lit("  "), F.lower("item")))
     number = F.col("value").cast("int").cast("string")
     value = (

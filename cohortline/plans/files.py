@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from cohortline.operators import phenotype as ph
 from cohortline.functions import text
 from cohortline.plans import bindings as b
-from cohortline.plans.counting import RAW_SQL, SUPPORT_SQL, raw_measurements
+from cohortline.plans.counting import RAW_SQL, SUPPORT_SQL, as_spelled
 from cohortline.plans.registry import query
 from cohortline.plans.timelines import BLOCKS_SQL, block_table
 from cohortline.sources import delimited, refresh, tables
@@ -202,21 +202,22 @@ def streamed_lines(spark: SparkSession, sf_dir: str, file_lines: int = FILE_LINE
     The files of a micro-batch grow in number with the lines, not in size.
     """
     folder = scratch_path(spark, "stream")
-    rows = raw_measurements(spark, sf_dir).withColumns({
+    files = max(1, -(-b.table(spark, sf_dir, "lineitem").count() // (BATCHES * file_lines)))
+    dealt = b.measurements(spark, sf_dir).repartition(BATCHES * files, "l_linenumber", "encounter")
+    rows = as_spelled(dealt).withColumns({
         "item_key": text.item_key(F.col("item")), "unit_key": text.unit_key(F.col("unit")),
     })
-    files = max(1, -(-b.table(spark, sf_dir, "lineitem").count() // (BATCHES * file_lines)))
-    rows.repartition(BATCHES * files, "l_linenumber", "encounter").write.parquet(folder)
+    rows.write.parquet(folder)
     return jobs.file_stream(spark, folder, "*.parquet", rows.schema, files_per_batch=files)
 
 
 @query("streamed_encounter_support", "X1 A6", f"WITH {SUPPORT_SQL} SELECT * FROM support")
 def streamed_encounter_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = scratch_path(spark, "support"), scratch_path(spark, "support-state")
-    stream = jobs.support_stream(ph.numeric_rows(streamed_lines(spark, sf_dir)))
-    keys = ["scope", "encounter", "item_key", "unit_key"]
-    jobs.keep_latest(stream, output, checkpoint, keys).awaitTermination()
-    return jobs.latest(spark, output, keys)
+    rows = ph.numeric_rows(streamed_lines(spark, sf_dir))
+    batch_rows = -(-b.table(spark, sf_dir, "lineitem").count() // BATCHES)
+    jobs.support_stream(rows, output, checkpoint, batch_rows=batch_rows).awaitTermination()
+    return jobs.supports(spark, output)
 
 
 @query(

@@ -20,11 +20,6 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return reader.parquet(folder)
 
 
-def support_stream(rows: DataFrame, keys: Sequence[str] = ("item_key", "unit_key")) -> DataFrame:
-    """Running encounter support: the state per key is a count and two times."""
-    return ph.encounter_support(rows, keys)
-
-
 def count_stream(rows: DataFrame, keys: Sequence[str] = ("dataset", "table", "item", "unit")) -> DataFrame:
     """Running item and unit counts."""
     return ph.item_unit_counts(rows, keys)
@@ -78,6 +73,43 @@ def latest(spark: SparkSession, output: str, keys: Sequence[str]) -> DataFrame:
     return newest(spark.read.parquet(*table.folders()), keys).drop("batch")
 
 
+#: Rows that one task aggregates
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n_rows: int, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows shuffled by `key`, about `task_rows` for a task where the session's shuffle partitions would hold more."""
+    parts = -(-n_rows // task_rows)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
+
+
+def support_stream(rows: DataFrame, output: str, checkpoint: str, keys: Sequence[str] = ("item_key", "unit_key"), batch_rows: int = 0) -> StreamingQuery:
+    """Running encounter support of a stream's rows, into a versioned table of supports.
+
+    Supports of two parts merge, so what is known is the table itself and the stream keeps no state: a micro-batch's own supports
+    are a run, and runs are merged as they grow in number. An encounter's rows may come in any micro-batches. `batch_rows` is about
+    how many rows one of them has, where that is known.
+    """
+    table, spark = VersionedTable(rows.sparkSession, output), rows.sparkSession
+
+    def save(batch: DataFrame, now: Version) -> dict[str, int]:
+        run = table.new_run(ph.encounter_support(dealt(batch, batch_rows, "encounter"), keys))
+        schema = spark.read.parquet(f"{output}/{run}").schema
+        return table.folded({**now.runs, run: 0}, lambda parts: merged(parts, keys), schema)
+
+    return _each_batch(rows, checkpoint, "append", table, save)
+
+
+def supports(spark: SparkSession, output: str, keys: Sequence[str] = ("item_key", "unit_key")) -> DataFrame:
+    """The supports so far: those of the runs that count, merged."""
+    return merged(spark.read.parquet(*VersionedTable(spark, output).folders()), keys)
+
+
+def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Supports in written runs, merged."""
+    return ph.merged_support(dealt(parts, parts.count(), "encounter"), keys)
+
+
 #: Hash prefixes by which the known texts lie on disk
 TEXT_BUCKETS = 64
 
