@@ -145,6 +145,7 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, pie
     keys = F.array(*(F.struct(F.lit(k).alias("choice"), F.col("print").bitwiseAND(F.lit(_signed(sum(masks[s] for s in c)))).alias("key")) for k, c in enumerate(choices)))
     rows = prints.select("print", F.explode(keys).alias("at")).select("at.choice", "at.key", "print")
     large = rows.groupBy("choice", "key").count().where(F.col("count") > piece).withColumn("pieces", F.ceil(F.col("count") / piece).cast("int"))
+    large = cut(large)  # mostly empty: its size is known before the rows are joined, so they don't move for it
     rows = rows.join(large.select("choice", "key", "pieces"), ["choice", "key"], "left")
     own = F.pmod(F.xxhash64("print"), F.coalesce("pieces", F.lit(1))).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))

@@ -190,6 +190,48 @@ def test_near_copies_go_through_the_simhash_ring(spark, sf_dir, monkeypatch):
         assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == kept
 
 
+def test_the_ring_of_the_pipeline_reaches_eight_bits(spark, sf_dir, monkeypatch):
+    """Copies of likeness 0.8 or more whose fingerprints are 5 to 8 bits apart are proposed by the ring, not by shingles alone."""
+    import corpus_pipeline
+
+    rng, pairs = np.random.default_rng(12), []
+    while len(pairs) < 6:
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        other = list(w)
+        for at in rng.choice(200, 3, replace=False):
+            other[at] = "changed"
+        texts = " ".join(w), " ".join(other)
+        a, b = (simhash.fingerprint(t.encode(), 5) for t in texts)
+        if 5 <= ((a ^ b) & (2**64 - 1)).bit_count() <= 8 and len(set(likeness(dict(enumerate(texts))).values())) == 1:
+            pairs.append(texts)
+    docs = spark.createDataFrame([(2 * k + n, t) for k, p in enumerate(pairs) for n, t in enumerate(p)], "doc_id long, text string")
+    linked, proposed = resemblance.linked, set()
+
+    def noted(nodes, sets, least, likeliest):
+        proposed.update((r["a"], r["b"]) for r in likeliest.collect())
+        return linked(nodes, sets, least, likeliest)
+
+    monkeypatch.setattr(resemblance, "linked", noted)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert proposed >= {tuple(sorted(resemblance.named(resemblance.shingles(t.encode(), 5)) for t in p)) for p in pairs}
+    assert kept == set(range(0, 12, 2))
+
+
+@pytest.mark.parametrize("piece", [4096, 8])
+def test_ring_of_ten_segments_against_all_pairs(spark, piece):
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 2**64, 10, dtype=np.uint64)
+    prints = sorted({int(b) ^ sum(1 << int(x) for x in draw.choice(64, draw.integers(0, 10), replace=False)) for b in base for _ in range(20)})
+    signed = [x - 2**64 if x >> 63 else x for x in prints]
+    links = [tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "print long"), 8, 10, piece).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 8 for a, b in links)
+    root = {k: k for k in range(len(prints))}
+    for a, b in links:
+        low, high = sorted((root[signed.index(a)], root[signed.index(b)]))
+        root = {d: low if r == high else r for d, r in root.items()}
+    assert root == reachable(dict(enumerate(prints)), 8)
+
+
 def test_pipeline_removes_near_copies_at_the_stated_likeness(spark, sf_dir):
     import corpus_pipeline
 
